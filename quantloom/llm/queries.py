@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, decontaminate, language_id, near_dedup, packing, suffix_dedup, token_counts
+from quantloom.llm import ann_search, chat_format, decontaminate, language_id, near_dedup, packing, suffix_dedup, token_counts, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,41 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages in which records of known ids were damaged (first byte) or lost."""
+    records = warc_fixity.archive(_table(spark, sf_dir, "pages"))
+    fate = F.crc32(F.col("page_id").cast("string").cast("binary")) % 101
+    damaged = F.when(fate == 3, F.overlay("record", F.lit("X"), 1)).otherwise(F.col("record"))
+    replica = records.where(fate.isNull() | (fate != 7)).withColumn("record", damaged)
+    return warc_fixity.audit(records, replica)
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text in DuckDB."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda t: ascii(t)::bigint)), lambda c, b: {step}), 4294967295)"
+
+
+OP5_SQL = f"""
+with p as (
+  select coalesce(floor(page_id / 512.0)::bigint, -1) as file, page_id,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record,
+    {_crc32_sql("page_id::varchar")} % 101 as fate
+  from pages
+), r as (
+  select *, strlen(record)::bigint as length, sha256(record) as digest from p
+), o as (
+  select *, coalesce(sum(length) over (partition by file order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from r
+)
+select file, "offset", length, digest,
+  case when fate = 7 then null when fate = 3 then sha256('X' || substr(record, 2)) else digest end as replica_digest,
+  case when fate = 7 then 'lost' when fate = 3 then 'changed' else 'ok' end as status
+from o
+"""
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -78,6 +113,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann_search.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run")
@@ -88,12 +128,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_counts": op2_token_counts,
         "op4_language_id": op4_language_id,
+        "op5_warc_fixity": op5_warc_fixity,
         "op6_near_dedup": op6_near_dedup,
         "op7_chat_format": op7_chat_format,
         "op8_packing": op8_packing,
+        "op9_nearest": op9_nearest,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": OP7_SQL}
+    return {"op5_warc_fixity": OP5_SQL, "op7_chat_format": OP7_SQL}
