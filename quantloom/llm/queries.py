@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann_search, chat_format, decontaminate, language_id, near_dedup, packing, suffix_dedup, token_counts, warc_fixity
+from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, suffix_dedup, token_counts, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.held_out(F.col("doc_id"), 7, 2)
+    scored, model = lm_scoring.score_documents(_table(spark, sf_dir, "documents"), ~out)
+    tokens = F.lit(model.train_tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score", "bits_per_byte")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language_id.held_out(F.col("doc_id"), 4, 2)
@@ -127,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_language_id": op4_language_id,
         "op5_warc_fixity": op5_warc_fixity,
         "op6_near_dedup": op6_near_dedup,

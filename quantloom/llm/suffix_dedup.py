@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     return done.unionByName(_tied(tx.reliable(single), "digit").select("doc_id", "text_key", "first", F.col("first").alias("last")))
 
 
-def _cut(width: int):
+def _cut(width: int, whole_characters: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -198,6 +198,10 @@ def _cut(width: int):
                     last = found.values.field(1).to_numpy(zero_copy_only=False) + width
                     order = np.argsort(first)
                     for s, e in zip(first[order].tolist(), last[order].tolist(), strict=True):
+                        while whole_characters and data[s] & 0xC0 == 0x80:
+                            s -= 1
+                        while whole_characters and e < len(data) and data[e] & 0xC0 == 0x80:
+                            e += 1
                         if own and s <= own[-1][1]:
                             own[-1][1] = max(own[-1][1], e)
                         else:
@@ -212,20 +216,30 @@ def _cut(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, whole_characters: bool = False) -> DataFrame:
     """Removes every byte covered by a width-byte string that also starts anywhere else in the corpus.
 
     Works on the UTF-8 bytes of whole texts; strings never cross documents, may overlap themselves, and are
     judged on the input. Per row of docs: doc_id, text_key (hash of the text), n_bytes, n_removed, kept (the
     remaining bytes) and spans (maximal removed runs). Null and empty texts, and texts shorter than width,
-    keep all they have. Every row counts as a document: rows that are repeated (with one doc_id, or a null
+    keep all they have. whole_characters: a character that is cut through goes whole. Every row counts as a document: rows that are repeated (with one doc_id, or a null
     one) repeat each other's text. Other columns are not read. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).select("doc_id", "text_key", "text")
     found = repeated_windows(docs, width).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     found = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["text_key"] == found["_key"]), "left")
-    return both.select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "found").mapInArrow(_cut(width), RESULT)
+    return both.select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "found").mapInArrow(_cut(width, whole_characters), RESULT)
+
+
+def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+    """docs with all their columns, and text without its repeated bytes. A character that is cut through goes whole.
+
+    Texts without repeats, and null ones, stay as they are. Rows that share doc_id and text share their cut.
+    """
+    cut = remove_repeats(docs, width, whole_characters=True).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("kept").alias("_kept"))
+    both = docs.withColumn("_hash", F.xxhash64("text")).join(cut, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    return both.withColumn("text", F.coalesce(F.col("_kept").cast("string"), F.col("text"))).drop("_id", "_key", "_kept", "_hash")
 
 
 def digest(result: DataFrame) -> DataFrame:
