@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.durable import durable
 from quantloom.errors import EmptySample, UnknownName
 
 #: Value ranges of a key that the first pass of an exact median counts.
@@ -23,11 +24,12 @@ def exact_median(df: DataFrame, keys: Iterable[str], value: str = "quant", name:
     """The exact median of value by key, for keys of any size; null and NaN are left out.
 
     A key's values are counted in RANGES equal ranges; only the ranges with the middle ranks are then counted
-    by single value. So no task ever holds a key's values, unlike a plain median aggregate.
+    by single value. So no task ever holds a key's values, unlike a plain median aggregate. The three passes over
+    df run when this is called; only their small results are kept.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
-    bounds = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    bounds = durable(rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")))  # a row per key
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / RANGES)
     at = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(0))
     placed = rows.join(bounds, keys).withColumn("_range", at)
@@ -35,12 +37,12 @@ def exact_median(df: DataFrame, keys: Iterable[str], value: str = "quant", name:
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-    middle = counted.withColumn("_before", before).where(holds(low) | holds(high)).select(*keys, "_range", "_before")
+    middle = durable(counted.withColumn("_before", before).where(holds(low) | holds(high)).select(*keys, "_range", "_before"))  # two rows per key
     values = placed.join(middle, [*keys, "_range"]).groupBy(*keys, "_range", "_before", "_v").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     inner = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = values.withColumn("_before", F.col("_before") + inner)
     pick = lambda rank: F.max(F.when(holds(rank), F.col("_v")))
-    return found.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(name))
+    return durable(found.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(name)))
 
 
 def shift_factors(df: DataFrame, value: str = "quant") -> DataFrame:

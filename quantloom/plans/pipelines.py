@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.columns import col, require, require_keys
+from quantloom.durable import durable
 from quantloom.errors import UnknownName
 from quantloom.operators import annotate, normalize, quantify, reshape
 from quantloom.operators.grouped import Kernel, quantify_grouped, sample_axis
@@ -43,10 +44,10 @@ def load_quads(source: DataFrame | str, roles: Roles, spark: SparkSession | None
 
 
 def preprocess(quads: DataFrame, cutoff: float | None = 0.0, normalization: str = "median", on_empty_sample: str = "error") -> DataFrame:
-    """log2, cutoff and median normalisation of linear quads."""
+    """log2, cutoff and median normalisation of linear quads. The logged values are kept once for all passes that follow."""
     if normalization not in ("median", "none"):
         raise UnknownName(f"no normalisation '{normalization}'")
-    logged = normalize.log2_cutoff(quads, cutoff)
+    logged = durable(normalize.log2_cutoff(quads, cutoff))
     return normalize.median_normalize(logged, normalization, quads, on_empty_sample)
 
 
@@ -104,17 +105,28 @@ def to_store(source: DataFrame | str, path: str, roles: Roles = DIANN_PARQUET, n
     store.write_store(quads, path, roles.annotation)
 
 
-def from_store(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, **options) -> DataFrame:
-    """Estimates of a store: equal cells are summed, all samples of the store make the axis, entities without values have null rows."""
-    facts, entities, samples, _ = store.read_store(spark, path)
-    key = ("entity_idx", "ion_idx", "sample_idx")
-    linear = reshape.cells(facts, "sum", key=key).select(F.col("entity_idx").alias("entity"), F.col("ion_idx").alias("ion"), F.col("sample_idx").alias("sample"), "quant")
+def _from_facts(facts: DataFrame, entities: DataFrame, samples: DataFrame, method: str | Kernel, rescale: str | None, options: dict) -> DataFrame:
+    """Equal cells are summed, all samples of the dimension make the axis, entities without values have null rows."""
+    linear = reshape.cells(facts, "sum", key=("entity_idx", "ion_idx", "sample_idx"))
+    linear = linear.select(F.col("entity_idx").alias("entity"), F.col("ion_idx").alias("ion"), F.col("sample_idx").alias("sample"), "quant")
     axis = [r[0] for r in samples.select("sample_idx").orderBy("sample_idx").collect()]  # the columns of the result
-    found = quantify_grouped(reshape.log_cells(linear), method, axis, rescale, **options).select(F.col("entity").alias("entity_idx"), F.col("sample").alias("sample_idx"), "estimate")
+    found = quantify_grouped(reshape.log_cells(linear), method, axis, rescale, **options).withColumnsRenamed({"entity": "entity_idx", "sample": "sample_idx"}).drop("annotation")
     every = entities.select("entity", "entity_idx").join(F.broadcast(samples.select("sample", "sample_idx")), F.lit(True))  # the result's own shape
     return every.join(found, ["entity_idx", "sample_idx"], "left").select("entity", "sample", "estimate")
 
 
+def from_store(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, **options) -> DataFrame:
+    """Estimates of a Parquet store."""
+    facts, entities, samples, _ = store.read_store(spark, path)
+    return _from_facts(facts, entities, samples, method, rescale, options)
+
+
+def from_directory(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, **options) -> DataFrame:
+    """Estimates of the literal directory layout."""
+    entities, samples, _ = store.directory_dims(spark, path)
+    return _from_facts(spark.read.format("iondir").load(path), entities, samples, method, rescale, options)
+
+
 def process_wide(source: DataFrame, id_column: str, quant_columns: list[str], method: str | Kernel = "maxLFQ", is_log: bool = False, annotation: Iterable[str] = (), **options) -> DataFrame:
     """Collapses rows of one id: entity, sample, estimate of every id, and annotation columns of its first row."""
     annotation = list(annotation)

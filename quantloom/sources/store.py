@@ -6,6 +6,7 @@ Directory: _protein.tsv, _sample.tsv, _ion.tsv and one headerless <entity index>
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,17 +74,36 @@ class DirectoryReader(DataSourceReader):
                 continue
 
 
+class DimensionReader(DataSourceReader):
+    """The lines of one dimension file, numbered from 1; its header's other columns are the annotation."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with open(self.path, newline="") as lines:
+            rows = csv.reader(lines, delimiter="\t")
+            next(rows)
+            for i, (key, *rest) in enumerate(rows, 1):
+                yield i, key, [None if x == "NA" else x for x in rest]
+
+
 class DirectoryStore(DataSource):
-    """spark.read.format("iondir").load(path): entity_idx, sample_idx, ion_idx, quant. The path must be mounted on all executors."""
+    """spark.read.format("iondir").load(path): entity_idx, sample_idx, ion_idx, quant. The path must be mounted on all executors.
+
+    option("table", "protein" | "sample" | "ion"): index, key and annotation (array) of that dimension instead.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "iondir"
 
     def schema(self) -> str:
-        return "entity_idx long, sample_idx long, ion_idx long, quant double"
+        return "index long, key string, annotation array<string>" if "table" in self.options else "entity_idx long, sample_idx long, ion_idx long, quant double"
 
-    def reader(self, schema) -> DirectoryReader:
+    def reader(self, schema) -> DataSourceReader:
+        if "table" in self.options:
+            return DimensionReader(f"{self.options['path']}/_{self.options['table']}.tsv")
         return DirectoryReader(self.options["path"], int(self.options.get("partitions", "64")))
 
 
@@ -119,11 +139,7 @@ def write_directory(spark: SparkSession, store: str, path: str) -> None:
 
 
 def directory_dims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three dimensions of the literal layout, with their 1-based indices."""
-    out = []
-    for name, key in (("_protein", "entity"), ("_sample", "sample"), ("_ion", "ion")):
-        rows = spark.read.csv(f"{path}/{name}.tsv", sep="\t", header=True, quote='"', nullValue="NA")
-        rows = rows.withColumnRenamed(rows.columns[0], key).withColumn("_at", F.monotonically_increasing_id())
-        order = dictionary(rows, key, "_at", [c for c in rows.columns if c not in (key, "_at")])
-        out.append(order.withColumnRenamed("index", f"{key}_idx"))
-    return tuple(out)
+    """Entities, samples and ions of the literal layout with their 1-based indices, and annotation."""
+    register(spark)
+    read = lambda table, key: spark.read.format("iondir").option("table", table).load(path).withColumnsRenamed({"index": f"{key}_idx", "key": key})
+    return read("protein", "entity"), read("sample", "sample"), read("ion", "ion")
