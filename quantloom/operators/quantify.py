@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.durable import durable
 from quantloom.errors import UnknownName
 from quantloom.operators.grouped import quantify_grouped
+from quantloom.operators.normalize import exact_median
 
 #: Cells of an entity from which its MaxLFQ is solved from distributed pair medians.
 LARGE = 2_000_000
@@ -51,16 +53,21 @@ def least_missing(cells: DataFrame) -> DataFrame:
     return cells.join(best, ["entity", "ion"]).select("entity", "sample", F.col("quant").alias("estimate"))
 
 
-def pair_ratios(cells: DataFrame) -> DataFrame:
+def pair_ratios(cells: DataFrame, spread: bool = False) -> DataFrame:
     """entity, sample_a < sample_b, ratio (median over shared ions of b - a) and n_ions.
 
-    The values of an ion meet in one row, at most one per sample, so the pairs need no self-join.
+    The values of an ion meet in one row, at most one per sample, so the pairs need no self-join. spread: medians of
+    entities with any number of ions, none of which a single task holds.
     """
     rows = cells.groupBy("entity", "ion").agg(F.array_sort(F.collect_list(F.struct("sample", "quant"))).alias("v"))
     left = rows.select("entity", "v", F.posexplode("v").alias("at", "a"))
     both = left.select("entity", "a", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("b"))
     pairs = both.select("entity", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), (F.col("b.quant") - F.col("a.quant")).alias("d"))
-    return pairs.groupBy("entity", "sample_a", "sample_b").agg(F.median("d").alias("ratio"), F.count("*").alias("n_ions"))
+    keys = ["entity", "sample_a", "sample_b"]
+    if spread:
+        pairs = durable(pairs)
+        return exact_median(pairs, keys, "d", "ratio").join(pairs.groupBy(*keys).agg(F.count("*").alias("n_ions")), keys)
+    return pairs.groupBy(*keys).agg(F.median("d").alias("ratio"), F.count("*").alias("n_ions"))
 
 
 def maxlfq_complete(cells: DataFrame) -> DataFrame:
@@ -85,9 +92,10 @@ def _from_pairs(cells: DataFrame, samples: list | None) -> DataFrame:
 
     from quantloom.functions import kernels
 
-    own = cells.groupBy("entity", "sample").agg(F.sum("quant").alias("s"), F.count("*").alias("n"), F.median("quant").alias("m"))
+    cells = durable(cells)
+    own = cells.groupBy("entity", "sample").agg(F.sum("quant").alias("s"), F.count("*").alias("n")).join(exact_median(cells, ["entity", "sample"], name="m"), ["entity", "sample"])
     own = own.groupBy("entity").agg(F.collect_list(F.struct("sample", "s", "n", "m")).alias("data"))  # samples at most
-    links = pair_ratios(cells).groupBy("entity").agg(F.collect_list(F.struct("sample_a", "sample_b", "ratio")).alias("links"))
+    links = pair_ratios(cells, spread=True).groupBy("entity").agg(F.collect_list(F.struct("sample_a", "sample_b", "ratio")).alias("links"))
     types = dict(cells.dtypes)
     axis = samples
 
