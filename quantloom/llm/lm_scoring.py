@@ -10,15 +10,15 @@ and refines the weights after every token by the coding error. The weights start
 tokens, so documents never learn from each other while they are scored.
 
 What is learned comes from the training documents alone and grows with them: exact counts of all distinct words,
-joined to the words of each chunk of documents (nothing of them is broadcast or collected). Only the
-context tables have a fixed size (TABLE_BITS); they are summed over all training documents in two streaming
-rounds and are the only thing that is broadcast, with the counts of the 2**CODE_BITS codes and the TOP
-most frequent words.
+joined to the words of each chunk of documents. What is broadcast has a fixed size: the context tables
+(TABLE_BITS), which are summed over all training documents in two streaming rounds, the counts of the
+2**CODE_BITS codes, and those of the FREQUENT most frequent words, which so need no join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,18 @@ _U = np.uint64
 CODE = (5, 4, 4)
 CODE_BITS = sum(CODE)
 TABLE_BITS = 19
+#: Words that contexts remember, and words whose counts are broadcast.
 TOP = 256
+FREQUENT = 1 << 16
 CONTEXTS = 2
 #: The bytes of unknown words are predicted from so many bytes before.
 ORDERS = (2, 3)
 LETTERS = len(ORDERS)
 SEGMENT = 1024
 BLOCK = 1 << 14
-#: Bytes of text of a chunk; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+#: Bytes of text of a chunk; a longer document is a chunk of its own. Its tokens are scored so many at a time.
+CHUNK = 4 << 20
+TOKENS = 160_000
 #: Pseudo-counts of the smoothing by the predictor before, by context.
 SMOOTH = (20.0, 2.0)
 LETTER_SMOOTH = (0.5, 2.0)
@@ -55,7 +58,7 @@ UNKNOWN_WEIGHT = 60.0
 END = np.uint64(0x9B97F4A7C15D1CE4)
 GATES = 3
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<long>, learn array<boolean>, sizes array<int>, words array<long>, seen array<int>, tokens binary, spelling binary"
+CHUNK_SCHEMA = "chunk long, doc_ids array<long>, learn array<boolean>, sizes array<int>, tokens binary, spelling binary"
 RESULT = "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
 
@@ -69,7 +72,7 @@ def _word_ids(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def _chunks(batches):
-    """Documents to chunks: token numbers, the distinct words (hash, spelling) and how often training documents have them."""
+    """Documents to chunks: token numbers, and the spellings of the distinct words in the order of their ids."""
     pack = zstandard.ZstdCompressor(level=1).compress
     key = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -84,21 +87,20 @@ def _chunks(batches):
             own = np.ones(len(tokens), bool)
             own[at - 1] = False
             tokens[own] = _word_ids(low, starts, ends)
-            words, first, number = np.unique(tokens, return_index=True, return_inverse=True)
+            _, first, number = np.unique(tokens, return_index=True, return_inverse=True)
             number = number.ravel()
             position = np.cumsum(own) - 1
             data = low.tobytes()
             s, e = starts[position[first]] if len(starts) else first * 0, ends[position[first]] if len(starts) else first * 0
             spelled = b" ".join(data[a:b] if w else b"" for a, b, w in zip(s.tolist(), e.tolist(), own[first].tolist(), strict=True))
-            seen = np.bincount(number[np.repeat(learn[row:end], sizes)], minlength=len(words))
             one = lambda x, kind: pa.array([x], kind)
             yield pa.record_batch(
                 [
                     one(key, pa.int64()), one(batch.column(0).slice(row, n).to_pylist(), pa.list_(pa.int64())), one(learn[row:end].tolist(), pa.list_(pa.bool_())),
-                    one(sizes.astype(np.int32), pa.list_(pa.int32())), one(words.view(np.int64), pa.list_(pa.int64())), one(seen.astype(np.int32), pa.list_(pa.int32())),
+                    one(sizes.astype(np.int32), pa.list_(pa.int32())),
                     one(pack(number.astype(np.uint32).tobytes()), pa.binary()), one(pack(spelled), pa.binary()),
                 ],
-                ["chunk", "doc_ids", "learn", "sizes", "words", "seen", "tokens", "spelling"],
+                ["chunk", "doc_ids", "learn", "sizes", "tokens", "spelling"],
             )
             key += 1
 
@@ -109,11 +111,16 @@ class _Chunk:
     def __init__(self, row: dict[str, pa.Array], i: int):
         values = lambda k: row[k][i].values.to_numpy(zero_copy_only=False)
         unpack = zstandard.ZstdDecompressor().decompress
-        self.sizes, self.words = values("sizes").astype(np.int64), values("words").view(_U)
-        self.learn = values("learn").astype(bool)
+        self.sizes, self.learn = values("sizes").astype(np.int64), values("learn").astype(bool)
         self.tokens = np.frombuffer(unpack(row["tokens"][i].as_py()), dtype=np.uint32).astype(np.int64)
-        self.spelling = unpack(row["spelling"][i].as_py())
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(unpack(row["spelling"][i].as_py()) + b" ", dtype=np.uint8)
+        self.ends = np.flatnonzero(self.data == 0x20)
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1])
+        full = self.ends > self.begins
+        self.words = np.full(len(self.ends), END, dtype=_U)
+        self.words[full] = _word_ids(self.data, self.begins[full], self.ends[full])
+        self.codes = (self.words >> _U(64 - CODE_BITS)).astype(np.int32)
 
     def contexts(self, top: np.ndarray) -> list[np.ndarray]:
         """32-bit hashes of every token's contexts."""
@@ -123,7 +130,7 @@ class _Chunk:
         first, second = np.zeros_like(h), np.zeros_like(h)
         first[1:] = np.where(place[1:] > begin[1:], h[:-1], _U(1))
         second[2:] = np.where(place[2:] > begin[2:] + 1, h[:-2], _U(2))
-        frequent = top[np.minimum(np.searchsorted(top, self.words), max(len(top) - 1, 0))] == self.words if len(top) else np.zeros(len(self.words), bool)
+        frequent = _find(top, self.words) >= 0
         last = np.maximum.accumulate(np.where(frequent[self.tokens], place, -1))
         last = np.concatenate([[-1], last[:-1]])
         near = np.where(last >= begin, h[np.maximum(last, 0)], _U(3))
@@ -132,10 +139,8 @@ class _Chunk:
 
     def letters(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Bytes of these words (each closed by a blank), their contexts (the bytes before), and the word of each byte."""
-        data = np.frombuffer(self.spelling + b" ", dtype=np.uint8)
-        ends = np.flatnonzero(data == 0x20)
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        size = (ends - begins + 1)[which]
+        data, begins = self.data, self.begins
+        size = (self.ends - begins + 1)[which]
         owner = np.repeat(np.arange(len(which)), size)
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         at = begins[which][owner] + inner
@@ -147,6 +152,40 @@ class _Chunk:
         return data[at].astype(np.int32), out, owner
 
 
+def _rows(batches):
+    for batch in batches:
+        row = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for i in range(batch.num_rows):
+            yield row, i, _Chunk(row, i)
+
+
+def _counts(batches):
+    """Words of the training documents and how often each occurs, by chunk."""
+    for _, _, c in _rows(batches):
+        n = np.bincount(c.tokens[np.repeat(c.learn, c.sizes)], minlength=len(c.words))
+        own = np.flatnonzero(n)
+        yield pa.record_batch([tx.as_long(c.words[own]), pa.array(n[own])], ["word", "n"])
+
+
+def _find(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted ones, or -1."""
+    if not len(sorted_words):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
+    return np.where(sorted_words[at] == words, at, -1)
+
+
+def _rare(frequent):
+    """(chunk, word) of the words whose counts are not broadcast."""
+
+    def run(batches):
+        for row, i, c in _rows(batches):
+            words = c.words[_find(frequent.value, c.words) < 0]
+            yield pa.record_batch([pa.array(np.full(len(words), row["chunk"][i].as_py(), np.int64)), tx.as_long(words)], ["chunk", "word"])
+
+    return run
+
+
 def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     x = context ^ (node.astype(np.uint32) * np.uint32(0x9E3779B1))
     x *= np.uint32(0x85EBCA6B)
@@ -160,31 +199,28 @@ def _nodes(code: np.ndarray, bits: int, k: int) -> tuple[np.ndarray, np.ndarray]
     return (1 << k) | (code >> (bits - k)), (code >> (bits - 1 - k)) & 1
 
 
-def _tables(top):
+def _tables(top, spread: int):
     """Counts of zeros and ones by slot, for each context; a task adds up all its chunks and gives their non-zero blocks."""
 
     def run(batches):
         known = top.value
         total = np.zeros((CONTEXTS + LETTERS, 2 << TABLE_BITS), dtype=np.int64)
-        for batch in batches:
-            row = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for i in range(batch.num_rows):
-                c = _Chunk(row, i)
-                use = np.repeat(c.learn, c.sizes)
-                if not use.any():
-                    continue
-                code = (c.words >> _U(64 - CODE_BITS)).astype(np.int32)[c.tokens[use]]
-                letters, before, _ = c.letters(np.unique(c.tokens[use]))
-                for k, (context, code, bits) in enumerate([*((x[use], code, CODE_BITS) for x in c.contexts(known)), *((x, letters, 8) for x in before)]):
-                    path = [_nodes(code, bits, b) for b in range(bits)]
-                    total[k] += np.bincount(np.concatenate([2 * _slots(context, node) + bit for node, bit in path]), minlength=2 << TABLE_BITS)
+        for _, _, c in _rows(batches):
+            use = np.repeat(c.learn, c.sizes)
+            if not use.any():
+                continue
+            letters, before, _ = c.letters(np.unique(c.tokens[use]))
+            for k, (context, code, bits) in enumerate([*((x[use], c.codes[c.tokens[use]], CODE_BITS) for x in c.contexts(known)), *((x, letters, 8) for x in before)]):
+                for at in range(0, len(code), TOKENS):
+                    path = [_nodes(code[at : at + TOKENS], bits, b) for b in range(bits)]
+                    total[k] += np.bincount(np.concatenate([2 * _slots(context[at : at + TOKENS], node) + bit for node, bit in path]), minlength=2 << TABLE_BITS)
         pack = zstandard.ZstdCompressor(level=1).compress
-        spread = TaskContext.get().partitionId() % 64
+        task = TaskContext.get().partitionId() % spread
         for k in range(CONTEXTS + LETTERS):
             for b in range((2 << TABLE_BITS) // BLOCK):
                 part = total[k, b * BLOCK : (b + 1) * BLOCK]
                 if part.any():
-                    yield pa.record_batch([pa.array([k * ((2 << TABLE_BITS) // BLOCK) + b], pa.int32()), pa.array([spread], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], ["block", "spread", "counts"])
+                    yield pa.record_batch([pa.array([k * ((2 << TABLE_BITS) // BLOCK) + b], pa.int32()), pa.array([task], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], ["block", "spread", "counts"])
 
     return run
 
@@ -216,12 +252,14 @@ class LanguageModel:
     distinct: int
     single: int
     codes: np.ndarray  # training tokens of each code
-    top: np.ndarray  # hashes of the most frequent words, sorted
+    top: np.ndarray  # ids of the TOP most frequent words, sorted
+    frequent: np.ndarray  # and of the FREQUENT ones
+    counts: np.ndarray  # and how often these occur
     tables: np.ndarray  # contexts x (ones, all) x slots
     words: DataFrame  # word, n: all distinct words of the training documents
 
     def shared(self) -> LanguageModel:
-        return LanguageModel(self.train_tokens, self.distinct, self.single, self.codes, self.top, self.tables, None)
+        return replace(self, words=None)
 
 
 def chunk_documents(docs: DataFrame, learn: Column) -> DataFrame:
@@ -233,16 +271,18 @@ def chunk_documents(docs: DataFrame, learn: Column) -> DataFrame:
 def learn_model(chunks: DataFrame) -> LanguageModel:
     """Learns from the documents marked in the chunks. Without any, every word is unknown."""
     spark = chunks.sparkSession
-    pairs = chunks.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).where("x.seen > 0")
-    words = tx.reliable(pairs.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.seen").alias("n")))
+    counted = chunks.mapInArrow(_counts, "word long, n long")
+    words = tx.reliable(counted.groupBy("word").agg(F.sum("n").alias("n")))
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
     code = F.shiftrightunsigned("word", 64 - CODE_BITS)
     codes = np.zeros(1 << CODE_BITS)
     for k, n in words.groupBy(code.alias("code")).agg(F.sum("n")).collect():  # 2**CODE_BITS rows
         codes[k] = n
-    frequent = words.orderBy(F.desc("n"), "word").limit(TOP).select("word").collect()
-    top = np.sort(np.array([r[0] for r in frequent], dtype=np.int64).view(_U))
-    parts = chunks.mapInArrow(_tables(spark.sparkContext.broadcast(top)), "block int, spread int, counts binary")
+    often = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    frequent, counts = often.column("word").to_numpy().view(_U), often.column("n").to_numpy()
+    top, order = np.sort(frequent[:TOP]), np.argsort(frequent)
+    spread = math.isqrt(chunks.rdd.getNumPartitions()) + 1  # so both rounds below add up about as many rows of a block
+    parts = chunks.mapInArrow(_tables(spark.sparkContext.broadcast(top), spread), "block int, spread int, counts binary")
     for _ in range(2):  # first over the tasks of one remainder, then over the remainders
         parts = parts.repartition("block", "spread").sortWithinPartitions("block", "spread").mapInArrow(_sum_blocks, "block int, spread int, counts binary")
     tables = np.zeros((CONTEXTS + LETTERS, 2 << TABLE_BITS), dtype=np.float32)
@@ -251,7 +291,7 @@ def learn_model(chunks: DataFrame) -> LanguageModel:
         k, b = divmod(block, (2 << TABLE_BITS) // BLOCK)
         tables[k, b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(unpack(bytes(data)), dtype=np.int64)
     pairs = tables.reshape(CONTEXTS + LETTERS, 1 << TABLE_BITS, 2)
-    return LanguageModel(whole["n"], whole["v"], whole["one"], codes, top, np.stack([pairs[:, :, 1], pairs.sum(2)], axis=1), words)
+    return LanguageModel(whole["n"], whole["v"], whole["one"], codes, top, frequent[order], counts[order], np.stack([pairs[:, :, 1], pairs.sum(2)], axis=1), words)
 
 
 def _code_tree(codes: np.ndarray) -> np.ndarray:
@@ -271,13 +311,24 @@ def _stretch(p: np.ndarray) -> np.ndarray:
 
 def _mixed(m: LanguageModel, tree: np.ndarray, c: _Chunk, known: np.ndarray) -> np.ndarray:
     """Natural log probability of each known token's code."""
-    n = len(c.tokens)
-    code = (c.words >> _U(64 - CODE_BITS)).astype(np.int32)[c.tokens]
-    contexts = c.contexts(m.top)
+    contexts, plain = c.contexts(m.top), _stretch(tree)
+    whole = -(-c.sizes // SEGMENT)
+    doc = np.repeat(np.arange(len(c.sizes)), whole)
+    part = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+    begin, size = c.starts[doc] + part * SEGMENT, np.minimum(SEGMENT, c.sizes[doc] - part * SEGMENT)
+    out = np.empty(len(c.tokens))
+    for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // TOKENS)) + 1):
+        lo, hi = int(begin[own[0]]), int(begin[own[-1]] + size[own[-1]])
+        code = c.codes[c.tokens[lo:hi]]
+        out[lo:hi] = _mixed_lanes(m, tree, plain, code, [x[lo:hi] for x in contexts], known[lo:hi], begin[own] - lo, size[own])
+    return out
+
+
+def _mixed_lanes(m: LanguageModel, tree, plain, code, contexts, known, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    n = len(code)
     flat = np.empty((CODE_BITS, CONTEXTS + 1, n), dtype=np.float32)
     sign = np.empty((CODE_BITS, n), dtype=np.float32)
     gate = np.zeros(n, dtype=np.int64)
-    plain = _stretch(tree)
     for b in range(CODE_BITS):
         node, sign[b] = _nodes(code, CODE_BITS, b)
         p, flat[b, 0] = tree[node], plain[node]
@@ -292,11 +343,7 @@ def _mixed(m: LanguageModel, tree: np.ndarray, c: _Chunk, known: np.ndarray) ->
                 gate = (both > 0.5).astype(np.int64) + (both > 3.5)
     inputs = np.ascontiguousarray(flat.reshape(-1, n).T).reshape(n, CODE_BITS, CONTEXTS + 1)
     sign = np.ascontiguousarray(sign.T)
-    # Lanes: segments of documents, longest first; step t takes token t of every lane that has one.
-    whole = -(-c.sizes // SEGMENT)
-    doc = np.repeat(np.arange(len(c.sizes)), whole)
-    part = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
-    begin, size = c.starts[doc] + part * SEGMENT, np.minimum(SEGMENT, c.sizes[doc] - part * SEGMENT)
+    # A segment is a lane, longest first; step t takes token t of every lane that has one.
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
     weights = np.broadcast_to(START, (len(size), GATES, CODE_BITS, CONTEXTS + 1)).copy()
@@ -337,40 +384,37 @@ def _scores(model):
     def run(batches):
         m = model.value
         tree = _code_tree(m.codes)
-        for batch in batches:
-            row = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for i in range(batch.num_rows):
-                c = _Chunk(row, i)
-                count = np.zeros(len(c.words), dtype=np.int64)
-                if row["known"][i].is_valid:
-                    found = row["known"][i].values
-                    count[np.searchsorted(c.words, found.field(0).to_numpy(zero_copy_only=False).view(_U))] = found.field(1).to_numpy(zero_copy_only=False)
-                n = count[c.tokens]
-                known = n > 0
-                base = np.log10((n + 1) / (m.train_tokens + m.distinct + 1))
-                logs = _mixed(m, tree, c, known)
-                inside = np.log(np.maximum(count, 1) / np.maximum(m.codes[(c.words >> _U(64 - CODE_BITS)).astype(np.int64)], 1))
-                place = np.arange(len(n)) - np.repeat(c.starts, c.sizes)
-                missed = np.cumsum(~known) - ~known
-                missed = missed - np.repeat(missed[c.starts], c.sizes)
-                share = (m.single + 1) / (m.train_tokens + 2)
-                new = (missed + UNKNOWN_WEIGHT * share) / (place + UNKNOWN_WEIGHT)
-                spelled = np.zeros(len(c.words))
-                rare = np.flatnonzero(count == 0)
-                if len(rare):
-                    spelled[rare] = _spelled(m, c, rare)
-                logs = np.where(known, np.log1p(-new) + logs + inside[c.tokens], np.log(new) + spelled[c.tokens])
-                add = lambda x: np.add.reduceat(x, c.starts)
-                score = add(logs) / np.log(10)
-                size = np.char.str_len(np.array(c.spelling.split(b" ")))[c.tokens] + 1
-                size = add(size)
-                yield pa.record_batch(
-                    [
-                        row["doc_ids"][i].values, pa.array(c.learn), pa.array(size, pa.int64()), pa.array(c.sizes), pa.array(add(known.astype(np.int64))),
-                        pa.array(add(base)), pa.array(score), pa.array(-score * np.log2(10) / size),
-                    ],
-                    ["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"],
-                )
+        for row, i, c in _rows(batches):
+            at = _find(m.frequent, c.words)
+            count = np.where(at >= 0, m.counts[at], 0) if len(m.counts) else np.zeros(len(c.words), np.int64)
+            if row["known"][i].is_valid:
+                found = row["known"][i].values
+                count[_find(c.words, found.field(0).to_numpy(zero_copy_only=False).view(_U))] = found.field(1).to_numpy(zero_copy_only=False)
+            n = count[c.tokens]
+            known = n > 0
+            base = np.log10((n + 1) / (m.train_tokens + m.distinct + 1))
+            logs = _mixed(m, tree, c, known)
+            inside = np.log(np.maximum(count, 1) / np.maximum(m.codes[c.codes], 1))
+            place = np.arange(len(n)) - np.repeat(c.starts, c.sizes)
+            missed = np.cumsum(~known) - ~known
+            missed = missed - np.repeat(missed[c.starts], c.sizes)
+            share = (m.single + 1) / (m.train_tokens + 2)
+            new = (missed + UNKNOWN_WEIGHT * share) / (place + UNKNOWN_WEIGHT)
+            spelled = np.zeros(len(c.words))
+            rare = np.flatnonzero(count == 0)
+            if len(rare):
+                spelled[rare] = _spelled(m, c, rare)
+            logs = np.where(known, np.log1p(-new) + logs + inside[c.tokens], np.log(new) + spelled[c.tokens])
+            add = lambda x, at=c.starts: np.add.reduceat(x, at)
+            score = add(logs) / np.log(10)
+            size = add((c.ends - c.begins + 1)[c.tokens])
+            yield pa.record_batch(
+                [
+                    row["doc_ids"][i].values, pa.array(c.learn), pa.array(size, pa.int64()), pa.array(c.sizes), pa.array(add(known.astype(np.int64))),
+                    pa.array(add(base)), pa.array(score), pa.array(-score * np.log2(10) / size),
+                ],
+                ["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"],
+            )
 
     return run
 
@@ -378,9 +422,9 @@ def _scores(model):
 def score_chunks(chunks: DataFrame, model: LanguageModel) -> DataFrame:
     """Scores of every document of the chunks."""
     spark = chunks.sparkSession
-    wanted = chunks.select("chunk", F.explode("words").alias("word"))
+    wanted = chunks.mapInArrow(_rare(spark.sparkContext.broadcast(model.frequent)), "chunk long, word long")
     known = wanted.join(model.words, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # the words of one chunk
-    rows = chunks.drop("seen").join(known, "chunk", "left")
+    rows = chunks.join(known, "chunk", "left")
     return rows.mapInArrow(_scores(spark.sparkContext.broadcast(model.shared())), RESULT)
 
 
