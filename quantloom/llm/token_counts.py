@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm import text as tx
+
 _tokenizers: dict = {}
 #: Lengths of one range of the two-level suffix sums.
 RANGE = 1024
@@ -75,7 +77,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     documents strictly longer; truncated_total: tokens left of the whole corpus if each document is cut to
     this length; rank: documents of this length or less. An empty table gives no rows; a null length is left out.
     """
-    base = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    base = tx.reliable(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")))  # else each use below would tokenize again
     base = base.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("n_tokens_total"), F.floor(F.col("n_tokens") / RANGE).alias("part"))
     # Two levels, so that no task holds all lengths: sums of ranges of lengths, and suffix sums inside each.
     after = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
