@@ -110,7 +110,8 @@ def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples:
     places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, sample_at int")
     ion = F.col("ion") if types["ion"] in ("int", "bigint", "string") else F.to_json(F.struct("ion"))
     rows = cells.join(F.broadcast(places), "sample").select("entity", "sample_at", (F.xxhash64(ion) if types["ion"] not in ("int", "bigint") else ion).alias("ion"), F.col("quant").cast("double").alias("quant"))
-    rows = rows.repartition("entity").sortWithinPartitions("entity", "ion", "sample_at")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work stay spread
+    rows = rows.repartition(tasks, "entity").sortWithinPartitions("entity", "ion", "sample_at")
     kind = pa.string() if types["entity"] == "string" else pa.int64() if types["entity"] == "bigint" else pa.int32()
     found = rows.mapInArrow(_run(named_kernel(method, **options), len(axis), rescale, kind), f"entity {types['entity']}, sample_at int, estimate double, annotation string")
     if not keep_missing:
