@@ -30,6 +30,14 @@ def annotate(result: DataFrame, source: DataFrame, id_column: str, annotation: I
     return result.join(table, result["entity"].cast("string") == table["_id"].cast("string"), "left").drop("_id")
 
 
+def rows_of_ids(groups: DataFrame, ids: str, rows: DataFrame, key: str, separator: str = ";") -> DataFrame:
+    """The rows whose key is in a group's packed id list, with the group's other columns; an id twice in a list counts twice."""
+    require(groups, [ids])
+    require(rows, [key])
+    listed = groups.select("*", F.explode(F.split(col(ids), "\\Q" + separator + "\\E", -1)).alias("_member")).drop(ids)
+    return listed.join(rows, F.trim("_member") == col(key).cast("string")).drop("_member")
+
+
 def strip_from_digit(ion: Column) -> Column:
     """A peptide extractor: what stands before the first digit, without what follows an underscore or a bracket."""
     return F.regexp_replace(F.regexp_replace(ion, r"\([^)]*\)|\[[^\]]*\]", ""), r"[0-9_].*$", "")

@@ -387,6 +387,24 @@ def exact_median_by_sample(spark: SparkSession, sf: str) -> DataFrame:
     return qc.cutoff_report(_cells(spark, sf, "A"), 15.0).select("sample", "n", "n_above", _r("median", "median"))
 
 
+@_query("select o_custkey, count(*)::bigint as n, round(sum(o_totalprice), 2) as total from orders group by o_custkey")
+def rows_of_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    orders = _t(spark, sf, "orders")
+    groups = orders.groupBy("o_custkey").agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), ";").alias("ids"))
+    found = annotate.rows_of_ids(groups, "ids", orders.select("o_orderkey", "o_totalprice").dropDuplicates(["o_orderkey"]), "o_orderkey")
+    return found.groupBy("o_custkey").agg(F.count("*").alias("n"), _r(F.sum("o_totalprice"), "total", 2))
+
+
+@_query("select l_suppkey::varchar as entity, l_partkey || '_1' as ion, l_returnflag as sample, count(*)::bigint as n, round(sum(l_quantity), 4) as total from lineitem where l_returnflag = 'R' and l_discount < 0.04 group by all")
+def scan_delimited(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the table as tab-separated text and reads it back with the rules of files."""
+    path = _scratch(spark, "report")
+    _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_discount", "l_quantity").write.csv(path, sep="\t", header=True, quote="")
+    roles = Roles(sample="l_returnflag", primary="l_suppkey", secondary=("l_partkey",), intensity="l_quantity", filters=Filters(equal={"l_returnflag": "R"}, less={"l_discount": 0.04}))
+    quads, _ = pipelines.load_quads(path, roles, spark)
+    return quads.groupBy("entity", "ion", "sample").agg(F.count("*").alias("n"), _r(F.sum("quant"), "total", 4))
+
+
 # Pipelines --------------------------------------------------------------------------------------------------------------
 
 _REPORT = Roles(sample="year", primary="p_brand", secondary=("l_partkey",), intensity="price", annotation=("p_mfgr",), filters=Filters(equal={"l_linestatus": "F"}, less={"l_discount": 0.08}))

@@ -6,7 +6,7 @@ fails the load when strict, whichever columns are used. Null cells of the reader
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,12 @@ def read_delimited(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return rows.select(*[F.coalesce(col(n), F.lit("")).alias(n) for n in own if not n.startswith("\0")], order.alias(ROW_ORDER))
 
 
+def observed(rows: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """rows, and what is counted as they first pass: n_rows, and about how many entities and samples."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("entity").alias("n_entities"), F.approx_count_distinct("sample").alias("n_samples")), seen
+
+
 def write_wide(df: DataFrame, path: str) -> None:
     """One tab-separated file in a folder: header, no quotes, nulls as NA. Meant for results, a row per entity."""
     texts = [F.coalesce(col(c).cast("string"), F.lit("NA")).alias(c) for c in df.columns]

@@ -92,6 +92,12 @@ def test_frame_nulls_in_ion_parts(spark):
     assert reshape.to_long(frame, ROLES.but(annotation=(), secondary=("I.a",))).count() == 0
 
 
+def test_observed_ingest(spark):
+    rows, seen = delimited.observed(long(spark, [("p", "a", "s1", 1.0), ("q", "a", "s1", 2.0)]))
+    rows.count()
+    assert seen.get == {"n_rows": 2, "n_entities": 2, "n_samples": 1}
+
+
 def test_duplicate_policies(spark):
     df = spark.createDataFrame([("p", "i", "s", 3.0, 1), ("p", "i", "s", 5.0, 2), ("p", "j", "s", 1.0, 3)], "entity string, ion string, sample string, quant double, row_no int")
     assert got(reshape.cells(df, "sum"), "ion", "quant") == [("i", 8.0), ("j", 1.0)]
