@@ -176,10 +176,26 @@ def _two_way_fit(x: np.ndarray, weights: np.ndarray, rows: np.ndarray, cols: np.
     return rows, cols
 
 
+def _connected_fit(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same fit from its normal equations, if all samples with data are linked; the column effects add up to zero."""
+    ok = ~np.isnan(x)
+    there = ok.any(0)
+    w, v = np.where(ok, weights, 0)[:, there], np.where(ok, x, 0)[:, there]
+    share = w / np.maximum(w.sum(1, keepdims=True), 1e-300)
+    system = np.diag(w.sum(0)) - w.T @ share
+    right = (w * v).sum(0) - share.T @ (w * v).sum(1)
+    cols = np.zeros(x.shape[1])
+    cols[there] = np.linalg.solve(system + w.sum() / there.sum() ** 2, right)
+    rows = (share * (v - cols[there])).sum(1)
+    return rows, cols
+
+
 def _robust_fit(x: np.ndarray, k: float, rounds: int, prior: np.ndarray | None = None) -> np.ndarray:
     """Huber M-estimate of the two-way model; prior: weights of rows that multiply Huber's."""
     ok = ~np.isnan(x)
-    rows, cols = _two_way_fit(x, np.ones_like(x), np.zeros(len(x)), np.zeros(x.shape[1]), rounds)
+    linked = len(set(components(x)[ok.any(0)].tolist())) == 1
+    fit = (lambda w, *_: _connected_fit(x, w)) if linked else lambda w, r, c: _two_way_fit(x, w, r, c, rounds)
+    rows, cols = fit(np.ones_like(x), np.zeros(len(x)), np.zeros(x.shape[1]))
     for _ in range(rounds):
         res = x - rows[:, None] - cols
         scale = _residual_scale(res)
@@ -188,7 +204,7 @@ def _robust_fit(x: np.ndarray, k: float, rounds: int, prior: np.ndarray | None =
         weights = np.minimum(1, k / np.maximum(np.abs(res / scale), 1e-300))
         if prior is not None:
             weights = weights * prior[:, None]
-        new_rows, new_cols = _two_way_fit(x, weights, rows, cols, rounds)
+        new_rows, new_cols = fit(weights, rows, cols)
         done = np.abs(new_rows - rows).max() <= TINY and np.abs(new_cols - cols).max() <= TINY
         rows, cols = new_rows, new_cols
         if done:

@@ -127,3 +127,19 @@ def test_properties(shape):
             y = K.process_matrix(x, method)
             close(np.nanmean(y), np.nanmean(x))
             assert (np.isnan(y) == ~quantified).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(matrices)
+def test_direct_fit_equals_alternating_fit(shape):
+    x = matrix(*shape)
+    ok = ~np.isnan(x)
+    if not ok.any() or len(set(K.components(x)[ok.any(0)].tolist())) != 1:
+        return
+    w = np.random.default_rng(shape[2]).uniform(0.2, 1, x.shape)
+    with np.errstate(all="ignore"):
+        a, b = K._two_way_fit(x, w, np.zeros(len(x)), np.zeros(x.shape[1]), 100_000), K._connected_fit(x, w)
+    fit = [np.where(ok, r[:, None] + c, 0) for r, c in (a, b)]
+    loss = [(np.where(ok, w * (x - f) ** 2, 0)).sum() for f in fit]
+    assert loss[1] <= loss[0] + 1e-9
+    close(fit[0], fit[1], 1e-2)
