@@ -23,9 +23,13 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """All columns as text, and row_no (file, block and row: comparable within one read)."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
+    """All columns as text, and row_no (file, block and row: comparable within one read).
+
+    Names that differ in case only make the session case-sensitive, as Spark cannot tell them apart otherwise.
+    """
     names, seen = header(spark, path), set()
+    if len({n.lower() for n in names}) < len(set(names)):
+        spark.conf.set("spark.sql.caseSensitive", "true")
     own = []
     for i, n in enumerate(names):
         own.append(f"\0{i}" if n in seen else n)
