@@ -183,8 +183,9 @@ def learn_partitions(vectors: DataFrame, sample: int = SAMPLE, parts: int = PART
     return fit_router(data, near, parts)
 
 
-def _route(router, visits: int | None):
-    """Rows get their most probable partition (visits None), or one row for each of the first `visits`."""
+def _route(router, visits: int | None, counts: np.ndarray | None = None, need: int = 0):
+    """Rows get their most probable partition (visits None), or one row for each of the first `visits`, and for as
+    many more as it takes to meet `need` vectors; counts: vectors of each partition."""
 
     def run(batches):
         r = router.value
@@ -192,10 +193,11 @@ def _route(router, visits: int | None):
             if not batch.num_rows:
                 continue
             logits = r.logits(_matrix(batch.column(1)))
-            m = 1 if visits is None else min(visits, logits.shape[1])
-            part = np.argsort(-logits, axis=1, kind="stable")[:, :m]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), m))
-            yield pa.record_batch([*(batch.column(k).take(at) for k in range(batch.num_columns)), pa.array(part.ravel().astype(np.int32))], [*batch.schema.names, "part"])
+            part = np.argsort(-logits, axis=1, kind="stable")
+            least = 1 if visits is None else np.maximum(visits, (counts[part].cumsum(1) < need).sum(1) + 1)[:, None]
+            row, k = np.nonzero(np.arange(part.shape[1])[None] < np.broadcast_to(least, (len(part), 1)))
+            at = pa.array(row)
+            yield pa.record_batch([*(batch.column(c).take(at) for c in range(batch.num_columns)), pa.array(part[row, k].astype(np.int32))], [*batch.schema.names, "part"])
 
     return run
 
@@ -243,7 +245,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMP
     placed = tx.reliable(vectors.select("key", "vector", "ids").mapInArrow(_route(shared, None), "key long, vector array<double>, ids array<long>, part int"))
     sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each partition
     placed = placed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int"))
-    routed = asked.mapInArrow(_route(shared, visits or router.visits), "query_id long, vector array<double>, part int")
+    counts = np.zeros(len(router.b2), dtype=np.int64)
+    for p, n in placed.groupBy("part").count().collect():  # a row for each partition
+        counts[p] = n
+    routed = asked.mapInArrow(_route(shared, visits or router.visits, counts, k + 1), "query_id long, vector array<double>, part int")
     count = routed.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
     both = F.broadcast(sizes.join(count, "part"))
     routed = routed.join(both, "part").withColumn("own", F.pmod(F.xxhash64("query_id", F.lit(2)), "query_blocks").cast("int"))

@@ -6,12 +6,13 @@ and retries the work. A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+
+from quantloom.durable import durable as reliable  # noqa: F401  for the operators
 
 #: Bytes of text handled at once inside a task; a longer document is a piece of its own.
 CHUNK_BYTES = 2 << 20
@@ -135,19 +136,9 @@ def binary_rows(data: bytes, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names.
-
-    The folder comes from spark.checkpoint.dir; only a session without that setting (tests, a laptop)
-    gets one of its own, which is refused on a cluster.
-    """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, a text, is compressed for a shuffle (null stays null)."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        yield pa.record_batch([*batch.columns[:-1], pa.array([None if t is None else pack(t.encode()) for t in texts], pa.binary())], batch.schema.names)
