@@ -209,4 +209,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     key = F.xxhash64("text")
     hits = find_contamination(docs.select(F.struct("doc_id", key.alias("h")).alias("k"), "doc_id", "text").select(key.alias("doc_id"), "text"), benchmark, window)
     bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")

@@ -189,4 +189,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel, reject_below: float =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     judged = docs.select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_predict(shared, 0.2), RESULT)
     bad = judged.where((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous") & (F.col("score") < reject_below))
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), F.xxhash64(docs["text"]) == F.col("_bad"), "left_anti")
+    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")

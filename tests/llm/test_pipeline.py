@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline as P
-from quantloom.llm import packing
+from quantloom.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup
 from tests.llm import brute
 from tests.llm.test_operators import prose
 
@@ -61,6 +61,22 @@ def test_stages(spark, folder):
     assert last.groupby("doc_id")["length"].sum().to_dict() == {d: len(encode([r["text"]])[0]) // 4 + 1 for d, r in rows(fourth).items()}
 
 
+def test_clashing_columns_null_ids_and_shared_ids(spark):
+    schema = "doc_id long, text string, _bad long, _id long, _key long, row string, text_key long, found string, k long, item string"
+    texts = [(7, "one two three four five six"), (7, "seven eight nine ten eleven twelve"), (7, "seven eight nine ten eleven twelve"), (None, "a b c d e f g"), (None, "h i j k l m n"), (None, None), (8, "the benchmark text is here")]
+    docs = spark.createDataFrame([(d, t, 1, 1, 1, "r", 1, "f", 1, "i") for d, t in texts], schema)
+    model = language_id.learn_languages(spark.createDataFrame([("one two three", "en"), ("un deux trois", "fr")], "text string, lang string"))
+    bench = spark.createDataFrame([(1, "benchmark text")], "item_id long, text string")
+    stages = [lambda d: language_id.keep_identified(d, model, 0.0), near_dedup.keep_first_of_groups, suffix_dedup.without_repeats, lambda d: decontaminate.decontaminate(d, bench)]
+    sizes = []
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns and {r["row"] for r in out.collect()} == {"r"}
+        sizes.append(out.count())
+    assert sizes == [6, 6, 7, 6]
+    assert near_dedup.keep_first_of_groups(docs.where("false")).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
