@@ -5,7 +5,7 @@ and goes on with groups that are still tied; a suffix that is alone drops out. W
 digits is exactly the set of repeated windows. Neighbouring suffixes are carried as runs, so that no pass
 holds a row for each byte of the corpus:
 
-1. The first digit of a window is its anchor: the smallest hash among its 128-byte grams, leftmost on ties.
+1. The first digit of a window is its anchor: the smallest hash among its grams (GRAM bytes), leftmost on ties.
    Equal windows have equal anchors at equal distances. A run is all neighbouring windows of one anchor
    (some 130); runs with an anchor of their own leave here.
 2. Second digit: the whole text under the run. Equal runs repeat in all their windows and are done.
@@ -20,16 +20,17 @@ adaptive execution splits where they are skewed. Digits are 64-bit hashes of the
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm import text as tx
 
 _U = np.uint64
+#: Bytes of a gram; the shorter it is against the windows, the fewer anchors there are, and the more chance ties.
 GRAM = 128
 PIECE = 16
 #: Windows of a very long document that a task hashes at once.
@@ -49,11 +50,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def _runs(buf: np.ndarray, room: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def _runs(buf: np.ndarray, room: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """First and last window, anchor, anchor hash and text hash of every run; room: bytes to the document's end."""
     sums = tx.prefix_hashes(buf)
     _, down = tx.powers(len(buf) + 1)
-    gram = min(GRAM, width)
     grams = tx.mix((sums[gram:] - sums[:-gram]) * down[: len(buf) - gram + 1])
     ranked = (grams & ~_LOW) | np.arange(len(grams), dtype=_U)
     least = _sliding_min(ranked, width - gram + 1)
@@ -70,7 +70,7 @@ def _runs(buf: np.ndarray, room: np.ndarray, width: int) -> tuple[np.ndarray, ..
     return lo, hi, a, grams[a], tx.mix(tx.mix(under) ^ shape ^ grams[a])
 
 
-def _first_digits(width: int):
+def _first_digits(width: int, gram_bytes: int):
     def run(batches):
         for batch in batches:
             for row, end, buf, offsets in tx.text_chunks(batch, "text"):
@@ -79,7 +79,7 @@ def _first_digits(width: int):
                     part = buf[at : at + SEGMENT + width - 1]
                     doc = np.searchsorted(offsets, np.arange(at, at + len(part)), side="right") - 1 if len(offsets) > 2 else np.zeros(len(part), np.int64)
                     room = offsets[doc + 1] - np.arange(at, at + len(part))
-                    lo, hi, a, gram, under = _runs(part, room, width)
+                    lo, hi, a, gram, under = _runs(part, room, width, gram_bytes)
                     owner = doc[lo]
                     base = at - offsets[owner]
                     found.append((owner + row, lo + base, hi + base, a + base, gram, under))
@@ -92,9 +92,9 @@ def _first_digits(width: int):
     return run
 
 
-def _pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, width: int):
+def _pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, width: int, gram: int):
     """Third digits of one document's runs: first window, core, text (and whether it is whole) and the 16 last digits."""
-    back = width - min(GRAM, width)  # the first window of an anchor starts so far before it
+    back = width - gram  # the first window of an anchor starts so far before it
     q0, q1 = (lo - a + back) // PIECE, (hi - a + back) // PIECE
     n = q1 - q0 + 1
     owner = np.repeat(np.arange(len(lo)), n)
@@ -124,17 +124,18 @@ def _pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, widt
     return first, core, text, whole, leaves
 
 
-def _third_digits(width: int):
+def _third_digits(width: int, gram: int):
     names = ["doc_id", "text_key", "first", "core", "whole", "leaves"]
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             runs = batch.column(3)
             for i in range(batch.num_rows):
                 own = runs[i].values
                 lo, hi, a = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                buf = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint8)
-                first, core, text, whole, leaves = _pieces(buf, lo, hi, a, width)
+                buf = np.frombuffer(unpack(batch.column(2)[i].as_py()), dtype=np.uint8)
+                first, core, text, whole, leaves = _pieces(buf, lo, hi, a, width, gram)
                 n = len(first)
                 data = tx.binary_rows(leaves.tobytes(), np.arange(n + 1) * 4 * PIECE)
                 same = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for k in (0, 1)]
@@ -170,76 +171,117 @@ def _judged(df: DataFrame, digit: str, place: str) -> DataFrame:
     return out.withColumn("rest", F.col("open") & (~F.col("done") | me.eqNullSafe(F.col("_first")))).drop("_digit", "_n", "_first")
 
 
-def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with their last column, the text, compressed."""
+    return rows.mapInArrow(tx.pack_texts, T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.BinaryType())]))
+
+
+def repeated_windows(docs: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     """doc_id, text_key and runs (first, last) of windows that also start anywhere else."""
-    anchors = docs.mapInArrow(_first_digits(width), "doc_id long, text_key long, lo long, hi long, a long, gram long, run long")
+    gram = min(gram, width)
+    anchors = docs.mapInArrow(_first_digits(width, gram), "doc_id long, text_key long, lo long, hi long, a long, gram long, run long")
     runs = tx.reliable(_judged(tx.reliable(_tied(anchors, "gram", "run")), "run", "lo"))
     done = runs.where("done").select("doc_id", "text_key", F.col("lo").alias("first"), F.col("hi").alias("last"))
     rest = runs.where("rest").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("lo", "hi", "a")).alias("runs"))
-    pieces = docs.join(rest, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["text_key"] == F.col("_key")))
-    pieces = pieces.select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "runs").mapInArrow(_third_digits(width), "doc_id long, text_key long, first long, core long, whole long, leaves binary")
+    packed = _packed(docs)
+    pieces = packed.join(rest, packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["text_key"] == F.col("_key")))
+    pieces = pieces.select("doc_id", "text_key", "text", "runs").mapInArrow(_third_digits(width, gram), "doc_id long, text_key long, first long, core long, whole long, leaves binary")
     pieces = tx.reliable(_judged(tx.reliable(_tied(tx.reliable(pieces), "core", "whole")), "whole", "first"))
     done = done.unionByName(pieces.where("done").select("doc_id", "text_key", "first", (F.col("first") + PIECE - 1).alias("last")))
     single = pieces.where("rest").select("doc_id", "text_key", "first", "core", "leaves").mapInArrow(_last_digits, "doc_id long, text_key long, first long, digit long")
     return done.unionByName(_tied(tx.reliable(single), "digit").select("doc_id", "text_key", "first", F.col("first").alias("last")))
 
 
-def _cut(width: int, whole_characters: bool):
+def _spans(data: bytes, found: pa.Scalar, width: int, whole_characters: bool) -> list[list[int]]:
+    """Maximal removed runs (start, end) of one text; found: its repeated windows as (first, last), or null."""
+    own: list[list[int]] = []
+    if found.is_valid:
+        first = found.values.field(0).to_numpy(zero_copy_only=False)
+        last = found.values.field(1).to_numpy(zero_copy_only=False) + width
+        order = np.argsort(first)
+        for s, e in zip(first[order].tolist(), last[order].tolist(), strict=True):
+            while whole_characters and data[s] & 0xC0 == 0x80:
+                s -= 1
+            while whole_characters and e < len(data) and data[e] & 0xC0 == 0x80:
+                e += 1
+            if own and s <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], e)
+            else:
+                own.append([s, e])
+    return own
+
+
+def _rest(data: bytes, spans: list[list[int]]) -> bytes:
+    edges = [0, *(x for s in spans for x in s), len(data)]
+    return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if spans else data
+
+
+def _cut(width: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             kept, removed, size, spans = [], [], [], []
             for data, found in zip(batch.column(2), batch.column(3), strict=True):
-                data = data.as_buffer().to_pybytes() if data.is_valid else b""
-                own: list[list[int]] = []
-                if found.is_valid:
-                    first = found.values.field(0).to_numpy(zero_copy_only=False)
-                    last = found.values.field(1).to_numpy(zero_copy_only=False) + width
-                    order = np.argsort(first)
-                    for s, e in zip(first[order].tolist(), last[order].tolist(), strict=True):
-                        while whole_characters and data[s] & 0xC0 == 0x80:
-                            s -= 1
-                        while whole_characters and e < len(data) and data[e] & 0xC0 == 0x80:
-                            e += 1
-                        if own and s <= own[-1][1]:
-                            own[-1][1] = max(own[-1][1], e)
-                        else:
-                            own.append([s, e])
-                edges = [0, *(x for s in own for x in s), len(data)]
+                data = unpack(data.as_py()) if data.is_valid else b""
+                own = _spans(data, found, width, False)
                 size.append(len(data))
                 removed.append(sum(e - s for s, e in own))
-                kept.append(b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if own else data)
+                kept.append(_rest(data, own))
                 spans.append([{"start": s, "end": e} for s, e in own])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "text_key", "n_bytes", "n_removed", "kept", "spans"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, whole_characters: bool = False) -> DataFrame:
+def _cut_texts(width: int):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts = []
+            for data, found in zip(batch.column(1), batch.column(2), strict=True):
+                data = unpack(data.as_py()) if data.is_valid else None
+                texts.append(None if data is None else _rest(data, _spans(data, found, width, True)).decode())
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    return run
+
+
+def _found(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """_id, _key and found (first and last window of each repeated run) of the texts that have any."""
+    found = repeated_windows(docs, width, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    return found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+
+
+def remove_repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
     """Removes every byte covered by a width-byte string that also starts anywhere else in the corpus.
 
     Works on the UTF-8 bytes of whole texts; strings never cross documents, may overlap themselves, and are
     judged on the input. Per row of docs: doc_id, text_key (hash of the text), n_bytes, n_removed, kept (the
     remaining bytes) and spans (maximal removed runs). Null and empty texts, and texts shorter than width,
-    keep all they have. whole_characters: a character that is cut through goes whole. Every row counts as a document: rows that are repeated (with one doc_id, or a null
+    keep all they have. Every row counts as a document: rows that are repeated (with one doc_id, or a null
     one) repeat each other's text. Other columns are not read. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).select("doc_id", "text_key", "text")
-    found = repeated_windows(docs, width).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    found = found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["text_key"] == found["_key"]), "left")
-    return both.select("doc_id", "text_key", F.col("text").cast("binary").alias("text"), "found").mapInArrow(_cut(width, whole_characters), RESULT)
+    found = _found(docs, width, gram)
+    packed = _packed(docs)
+    both = packed.join(found, packed["doc_id"].eqNullSafe(found["_id"]) & (packed["text_key"] == found["_key"]), "left")
+    return both.select("doc_id", "text_key", "text", "found").mapInArrow(_cut(width), RESULT)
 
 
-def without_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
     """docs with all their columns, and text without its repeated bytes. A character that is cut through goes whole.
 
     Texts without repeats, and null ones, stay as they are. Rows that share doc_id and text share their cut.
     """
-    cut = remove_repeats(docs, width, whole_characters=True).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("kept").alias("_kept"))
-    both = docs.withColumn("_hash", F.xxhash64("text")).join(cut, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
-    return both.withColumn("text", F.coalesce(F.col("_kept").cast("string"), F.col("text"))).drop("_id", "_key", "_kept", "_hash")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = _found(rows.select("doc_id", "text_key", "text"), width, gram)
+    packed = _packed(rows)
+    both = packed.join(found, packed["doc_id"].eqNullSafe(found["_id"]) & (packed["text_key"] == found["_key"]), "left")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    cut = both.select("row", "text", "found").mapInArrow(_cut_texts(width), schema)
+    return cut.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(result: DataFrame) -> DataFrame:
