@@ -18,8 +18,8 @@ from quantloom.llm import decontaminate, language_id, near_dedup, packing, suffi
 
 #: Stages share this shingle size and similarity with any near-duplicate work that has no contract of its own.
 SHINGLE, PERCENT = 5, 80
-#: Well below 50 words, the usual length of a passage worth removing.
-REPEAT_BYTES = 200
+#: About 50 words, the usual length of a passage worth removing, and the grams that anchor such windows.
+REPEAT_BYTES, GRAM_BYTES = 320, 96
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated passages cut out of their texts; n_chars follows. Documents left empty go."""
-    return suffix_dedup.without_repeats(docs, REPEAT_BYTES).where("text is null or text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffix_dedup.without_repeats(docs, REPEAT_BYTES, GRAM_BYTES).where("text is null or text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
