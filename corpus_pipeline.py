@@ -18,8 +18,8 @@ from quantloom.llm import decontaminate, language_id, near_dedup, packing, suffi
 
 #: Stages share this shingle size and similarity with any near-duplicate work that has no contract of its own.
 SHINGLE, PERCENT = 5, 80
-#: About 50 words, the usual length of a passage worth removing, and the grams that anchor such windows.
-REPEAT_BYTES, GRAM_BYTES = 320, 96
+#: Below 50 words, the usual length of a passage worth removing, and the grams that anchor such windows.
+REPEAT_BYTES, GRAM_BYTES = 200, 96
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

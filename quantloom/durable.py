@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def durable(df: DataFrame) -> DataFrame:
     """A checkpoint of df in spark.checkpoint.dir; a local session without that setting gets a folder of its own."""
@@ -19,3 +22,20 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def released(df: DataFrame) -> DataFrame:
+    """As durable, without keeping the shuffle files behind df. Checkpoints that nothing refers to go before it is made
+    (if spark.cleaner.referenceTracking.cleanCheckpoints is set)."""
+    spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return durable(df.select("*"))  # a plan of its own takes the setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)

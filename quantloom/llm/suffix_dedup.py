@@ -180,16 +180,18 @@ def repeated_windows(docs: DataFrame, width: int, gram: int = GRAM) -> DataFrame
     """doc_id, text_key and runs (first, last) of windows that also start anywhere else."""
     gram = min(gram, width)
     anchors = docs.mapInArrow(_first_digits(width, gram), "doc_id long, text_key long, lo long, hi long, a long, gram long, run long")
-    runs = tx.reliable(_judged(tx.reliable(_tied(anchors, "gram", "run")), "run", "lo"))
+    runs = _judged(tx.released(_tied(anchors, "gram", "run")), "run", "lo").where("done or rest")
+    runs = tx.released(runs.select("doc_id", "text_key", "lo", "hi", "a", "done", "rest"))
     done = runs.where("done").select("doc_id", "text_key", F.col("lo").alias("first"), F.col("hi").alias("last"))
     rest = runs.where("rest").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("lo", "hi", "a")).alias("runs"))
     packed = _packed(docs)
     pieces = packed.join(rest, packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["text_key"] == F.col("_key")))
     pieces = pieces.select("doc_id", "text_key", "text", "runs").mapInArrow(_third_digits(width, gram), "doc_id long, text_key long, first long, core long, whole long, leaves binary")
-    pieces = tx.reliable(_judged(tx.reliable(_tied(tx.reliable(pieces), "core", "whole")), "whole", "first"))
+    pieces = _judged(tx.released(_tied(tx.released(pieces), "core", "whole")), "whole", "first").where("done or rest")
+    pieces = tx.released(pieces.select("doc_id", "text_key", "first", "done", "rest", *[F.when(F.col("rest"), F.col(c)).alias(c) for c in ("core", "leaves")]))
     done = done.unionByName(pieces.where("done").select("doc_id", "text_key", "first", (F.col("first") + PIECE - 1).alias("last")))
     single = pieces.where("rest").select("doc_id", "text_key", "first", "core", "leaves").mapInArrow(_last_digits, "doc_id long, text_key long, first long, digit long")
-    return done.unionByName(_tied(tx.reliable(single), "digit").select("doc_id", "text_key", "first", F.col("first").alias("last")))
+    return done.unionByName(tx.released(_tied(tx.released(single), "digit").select("doc_id", "text_key", "first", F.col("first").alias("last"))))
 
 
 def _spans(data: bytes, found: pa.Scalar, width: int, whole_characters: bool) -> list[list[int]]:
@@ -250,7 +252,7 @@ def _cut_texts(width: int):
 
 def _found(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """_id, _key and found (first and last window of each repeated run) of the texts that have any."""
-    found = repeated_windows(docs, width, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    found = tx.released(repeated_windows(docs, width, gram).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("found")))
     return found.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import zstandard
 
 from quantloom.durable import durable as reliable  # noqa: F401  for the operators
+from quantloom.durable import released  # noqa: F401
 
 #: Bytes of text handled at once inside a task; a longer document is a piece of its own.
 CHUNK_BYTES = 2 << 20

@@ -83,3 +83,12 @@ def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert P.ORACLE_SQL is None
+
+
+def test_passages_of_just_over_50_words_go(spark):
+    rng = random.Random(11)
+    passage = " ".join(["of the by"] * 13 + [prose(rng, 12)])
+    assert len(passage.split()) > 50 and P.REPEAT_BYTES <= len(passage) < 320
+    docs = [(i, prose(rng, 40) + "." + passage + "." + prose(rng, 40), "en", "s", 0) for i in range(2)]
+    out = rows(P.repeats(spark, spark.createDataFrame(docs, SCHEMA), ""))
+    assert all(passage not in r["text"] and len(r["text"]) <= len(t[1]) - len(passage) for r, t in zip((out[0], out[1]), docs, strict=True))
