@@ -64,7 +64,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
             owner.append(short)
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     packed = np.unique((owner.astype(_U) << _U(52)) | (keys >> _U(12)))
-    at = np.searchsorted(packed, np.arange(len(n) + 1, dtype=_U) << _U(52))
+    at = np.append(np.searchsorted(packed, np.arange(len(n), dtype=_U) << _U(52)), len(packed))  # of 4096 documents, the end has no 64 bits
     return packed & _U((1 << 52) - 1), at
 
 

@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, suffix_dedup, token_counts, warc_fixity
@@ -335,3 +337,19 @@ def test_decontaminate_nothing(spark):
     docs, none = table(spark, [(1, "a b"), (None, None)]), table(spark, [], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.find_contamination(docs, none).collect()} == {0}
     assert decontaminate.find_contamination(docs.where("false"), none).count() == 0
+
+
+def test_near_dedup_full_chunks_of_short_texts():
+    texts = [f"some {i % 7} words of text {i}" for i in range(4095)]
+    for last in ("the same few words of text", ""):
+        data = [t.encode() for t in [*texts, last]]
+        buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+        sets, at = near_dedup.shingle_sets(buf, offsets, 5)
+        alone, ends = near_dedup.shingle_sets(np.frombuffer(last.encode(), np.uint8), np.array([0, len(last)]), 5)
+        assert (np.diff(at) >= 0).all() and sets[at[-2] : at[-1]].tolist() == alone[ends[0] : ends[1]].tolist()
+    batch = pa.record_batch([pa.array(range(10_000)), pa.array(range(10_000)), pa.array(["a b c d e f g"] * 4095 + [""] + ["a b c d e f g"] * 5904)], ["doc_id", "text_key", "text"])
+    out = pa.Table.from_batches(list(near_dedup._signatures(5)([batch]))).to_pydict()
+    assert out["n_shingles"] == [0 if i == 4095 else 3 for i in range(10_000)] and len(set(out["node"]) - {None}) == 1
+    pack = zstandard.ZstdCompressor().compress
+    rows = pa.record_batch([pa.array([1] * 5000), pa.array([0] * 5000), pa.array([None, *range(2, 5001)]), pa.array([pack(b"a b c d e f g")] * 5000)], ["hub", "part", "member", "packed"])
+    assert sum(b.num_rows for b in near_dedup._confirm(5, 80, 100)([rows])) == 4999
