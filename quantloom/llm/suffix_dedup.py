@@ -102,7 +102,7 @@ def _pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, widt
     first = a[owner] - back + PIECE * q
     order = np.argsort(first, kind="stable")
     first, owner, q = first[order], owner[order], q[order]
-    core, text, leaves = np.zeros(len(q), _U), np.zeros(len(q), _U), np.zeros((len(q), PIECE), np.uint32)
+    core, text, leaves = np.zeros(len(q), _U), np.zeros(len(q), _U), np.zeros((len(q), PIECE), _U)
     whole = (first >= 0) & (first + PIECE - 1 + width <= len(buf))
     at = 0
     while at < len(q):
@@ -119,7 +119,7 @@ def _pieces(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, widt
             w = first[at:to] + j
             own = (w >= lo[owner[at:to]]) & (w <= hi[owner[at:to]])
             x = w[own] - base
-            leaves[at:to, j][own] = (tx.mix((sums[x + width] - sums[x]) * down[x]) >> _U(32)).astype(np.uint32) | np.uint32(1)
+            leaves[at:to, j][own] = np.maximum(tx.mix((sums[x + width] - sums[x]) * down[x]), _U(1))
         at = to
     return first, core, text, whole, leaves
 
@@ -137,7 +137,7 @@ def _third_digits(width: int, gram: int):
                 buf = np.frombuffer(unpack(batch.column(2)[i].as_py()), dtype=np.uint8)
                 first, core, text, whole, leaves = _pieces(buf, lo, hi, a, width, gram)
                 n = len(first)
-                data = tx.binary_rows(leaves.tobytes(), np.arange(n + 1) * 4 * PIECE)
+                data = tx.binary_rows(leaves.tobytes(), np.arange(n + 1) * 8 * PIECE)
                 same = [batch.column(k).slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for k in (0, 1)]
                 yield pa.record_batch([*same, pa.array(first), tx.as_long(core), pa.array(text.view(np.int64), mask=~whole), data], names)
 
@@ -146,10 +146,10 @@ def _third_digits(width: int, gram: int):
 
 def _last_digits(batches):
     for batch in batches:
-        leaves = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint32).reshape(-1, PIECE)
+        leaves = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=_U).reshape(-1, PIECE)
         row, j = np.nonzero(leaves)
         core = batch.column(3).to_numpy(zero_copy_only=False).view(_U)
-        key = tx.mix(core[row] ^ tx.mix((leaves[row, j].astype(_U) << _U(8)) | j.astype(_U)))
+        key = tx.mix(core[row] ^ tx.mix(leaves[row, j] ^ tx.mix(j.astype(_U))))
         at = pa.array(row)
         window = batch.column(2).to_numpy(zero_copy_only=False)[row] + j
         yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(window), tx.as_long(key)], ["doc_id", "text_key", "first", "digit"])

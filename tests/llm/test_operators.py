@@ -353,3 +353,16 @@ def test_near_dedup_full_chunks_of_short_texts():
     pack = zstandard.ZstdCompressor().compress
     rows = pa.record_batch([pa.array([1] * 5000), pa.array([0] * 5000), pa.array([None, *range(2, 5001)]), pa.array([pack(b"a b c d e f g")] * 5000)], ["hub", "part", "member", "packed"])
     assert sum(b.num_rows for b in near_dedup._confirm(5, 80, 100)([rows])) == 4999
+
+
+def test_last_digits_are_64_bits():
+    """Windows with one core: whole hashes differ though 31 bits of them agree."""
+    leaves = np.zeros((2, suffix_dedup.PIECE), np.uint64)
+    leaves[:, 0] = [0x1234567800000001, 0x1234567900000002]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([1, 2]), pa.array([0, 0]), pa.array([7, 7]), pa.array([r.tobytes() for r in leaves])], ["doc_id", "text_key", "first", "core", "leaves"])
+    out = pa.Table.from_batches(list(suffix_dedup._last_digits([batch]))).to_pydict()
+    assert out["first"] == [0, 0] and len(set(out["digit"])) == 2
+    data = np.frombuffer(b"the bytes of one document, with all windows of their own" * 2, np.uint8)
+    at = np.array([0]), np.array([20]), np.array([8])
+    own = suffix_dedup._pieces(data, *at, 40, 16)[-1]
+    assert own.dtype == np.uint64 and (own[own > 0] >> np.uint64(33) > 0).all() and len(set((own[own > 0] & np.uint64(0xFFFFFFFF)).tolist())) == 21
