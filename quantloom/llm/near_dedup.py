@@ -8,11 +8,14 @@ every node has been near one). So a group of n copies costs O(n) candidates, not
 
 Candidates are confirmed on full shingle sets. Links are contracted to components, and further rounds only
 look at regions where components still differ: there every node that is not in the region's largest
-component meets the nodes of other components that are closest by signature. Rounds end when no candidate
-is left that has not been tried.
-
-A region's rows stream through one task in sorted order, at most BLOCK of them in memory at once; each
-block hands its pivot on to the next.
+component meets the nodes of other components that are closest by signature, four times as many in each
+round. Rounds end when no node has had to leave a candidate out, so in every region all nodes of different
+components whose sketches agree have then been tried.
+
+In the first round a region's rows stream through one task in sorted order, at most BLOCK of them in memory
+at once; each block shares a row with the next. In further rounds a region of more than BLOCK rows is dealt
+into cells: its nodes outside the largest component meet in pairs of half blocks, and each half block of
+them meets each half block of the largest component.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ DEPTH = 3
 TREES = HASHES // DEPTH
 BLOCK = 8192
 SMALL = 8
+#: Partners of a node in the second round.
 CLOSEST = 4
 #: Of the 64 4-bit sketch entries so many agree at least in a candidate; at a similarity of 0.8, 52 do on average (sd 3.1).
 AGREE = 37
@@ -114,8 +118,8 @@ def _labels(batches):
         yield pa.record_batch([tx.as_long(np.concatenate(region)), tx.as_long(np.concatenate(order)), pa.concat_arrays([node] * TREES)], ["region", "place", "node"])
 
 
-def _groups(batches, key: int):
-    """Arrow rows, sorted by their key column, as lists of slices, one list for each key; streaming."""
+def _groups(batches, key: int, most: float = BLOCK):
+    """Arrow rows, sorted by their key column, as lists of slices, one list for each key (or for each block of most rows); streaming."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -129,7 +133,7 @@ def _groups(batches, key: int):
                 held = []
             last = keys[s]
             held.append(batch.slice(s, e - s))
-            if sum(b.num_rows for b in held) >= BLOCK and e == len(keys):
+            if sum(b.num_rows for b in held) >= most and e == len(keys):
                 yield held
                 held = [held[-1].slice(held[-1].num_rows - 1, 1)]  # the next block of this region begins with the last row of this one
     if held:
@@ -166,7 +170,7 @@ def _agreement(nib: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def _region_pairs(comp, size, nib, numerator: int, denominator: int) -> set[tuple[int, int]]:
-    """Candidate pairs (row numbers) of one block of a region."""
+    """The first round's candidate pairs (row numbers) of one block of a region: all of a small one."""
     m = len(comp)
     found: set[tuple[int, int]] = set()
     close = lambda i, at: at[(comp[at] != comp[i]) & (_agreement(nib[at], nib[i]) >= AGREE) & (np.minimum(size[at], size[i]) * denominator >= np.maximum(size[at], size[i]) * numerator)]
@@ -177,28 +181,33 @@ def _region_pairs(comp, size, nib, numerator: int, denominator: int) -> set[tupl
         return found
     for i in range(m - 1):  # neighbours by longest common prefix
         note(i, close(i, np.arange(i + 1, min(m, i + 2))))
-    names, number, many = np.unique(comp, return_inverse=True, return_counts=True)
     rest = np.arange(m)
-    if len(names) == m:  # first round: pivots
-        while len(rest) > 1:
-            counts = np.bincount((np.arange(HASHES) * 16 + nib[rest]).ravel(), minlength=16 * HASHES).reshape(HASHES, 16)
-            pivot = int(rest[_agreement(nib[rest], counts.argmax(1)).argmax()])
-            rest = rest[rest != pivot]
-            near = close(pivot, rest)
-            note(pivot, near)
-            rest = np.setdiff1d(rest, near, assume_unique=True)
-    else:
-        for i in np.flatnonzero(number != many.argmax()).tolist():
-            at = close(i, np.flatnonzero(comp != comp[i]))
-            agree = _agreement(nib[at], nib[i])
-            note(i, at[np.argsort(-agree, kind="stable")[:CLOSEST]])
+    while len(rest) > 1:
+        counts = np.bincount((np.arange(HASHES) * 16 + nib[rest]).ravel(), minlength=16 * HASHES).reshape(HASHES, 16)
+        pivot = int(rest[_agreement(nib[rest], counts.argmax(1)).argmax()])
+        rest = rest[rest != pivot]
+        near = close(pivot, rest)
+        note(pivot, near)
+        rest = np.setdiff1d(rest, near, assume_unique=True)
     return found
 
 
-def _candidates(numerator: int, denominator: int):
+def _further_pairs(comp, size, nib, numerator: int, denominator: int, closest: int):
+    """For each node outside the largest component: its row number, the closest candidates in other components, and whether there are more."""
+    _, number, many = np.unique(comp, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(number != many.argmax()).tolist():
+        at = np.flatnonzero((comp != comp[i]) & (np.minimum(size, size[i]) * denominator >= np.maximum(size, size[i]) * numerator))
+        agree = _agreement(nib[at], nib[i])
+        at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+        yield i, at[np.argsort(-agree, kind="stable")[:closest]], len(at) > closest
+
+
+def _candidates(numerator: int, denominator: int, closest: int | None):
+    """Candidate pairs of the regions, or of their cells in further rounds (closest is null in the first one); a null row says that some were left out."""
+
     def run(batches):
-        a, b = [], []
-        for held in _groups(batches, 0):
+        a, b, more = [], [], False
+        for held in _groups(batches, 0, BLOCK if closest is None else np.inf):
             rows = pa.Table.from_batches(held)
             if rows.num_rows < 2:
                 continue
@@ -208,13 +217,23 @@ def _candidates(numerator: int, denominator: int):
             sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
             nib = np.concatenate([sketch >> 4, sketch & 15], axis=1)
             node = rows.column(2).to_numpy()
-            for i, j in _region_pairs(comp, rows.column(4).to_numpy(), nib, numerator, denominator):
-                x, y = int(node[i]), int(node[j])
-                a.append(min(x, y))
-                b.append(max(x, y))
-            if len(a) > 50_000:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
+            size = rows.column(4).to_numpy()
+            if closest is None:
+                more |= len(comp) > SMALL
+                both = np.array([*_region_pairs(comp, size, nib, numerator, denominator)], dtype=np.int64).reshape(-1, 2)
+                met = [(both[:, 0], both[:, 1], False)]
+            else:
+                met = _further_pairs(comp, size, nib, numerator, denominator, closest)
+            for i, at, cut in met:
+                more |= cut
+                a += np.minimum(node[i], node[at]).tolist()
+                b += np.maximum(node[i], node[at]).tolist()
+                if len(a) > 50_000:
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = [], []
+        if more:
+            a.append(None)
+            b.append(None)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -268,6 +287,21 @@ def _confirm(size: int, numerator: int, denominator: int):
     return run
 
 
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """The rows of regions with several components, with a cell for region; every two nodes of a region that are
+    not both in its largest component share a cell, and a cell has some block rows at most."""
+    half = max(1, block // 2)
+    comps = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    tops = comps.groupBy("region").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "comp")).alias("_top"), F.count("*").alias("_comps")).where("_comps > 1")
+    tops = tops.select("region", "_n", F.col("_top.comp").alias("_main"), F.ceil((F.col("_n") - F.col("_top.n")) / half).alias("_r"), F.ceil(F.col("_top.n") / half).alias("_l"))
+    rows = rows.join(tops, "region").withColumn("_in", F.col("comp") == F.col("_main"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.when(F.col("_in"), F.col("_l")).otherwise(F.col("_r"))))
+    cell = F.expr(f"""case when _n <= {block} then array(0L)
+        when _in then transform(sequence(0L, _r - 1), s -> s * (_r + _l) + _r + _own)
+        else concat(transform(sequence(0L, _r - 1), s -> least(s, _own) * (_r + _l) + greatest(s, _own)), transform(sequence(0L, _l - 1), t -> _own * (_r + _l) + _r + t)) end""")
+    return rows.select("region", F.explode(cell).alias("_cell"), "place", "node", "comp", "size", "sketch").select(F.xxhash64("region", "_cell").alias("region"), "place", "node", "comp", "size", "sketch")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node that it is connected with), for the nodes of edges (a, b).
 
@@ -303,7 +337,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denomi
     return rows.mapInArrow(_confirm(size, numerator, denominator), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for every row of docs.
 
     Lower-cases A-Z and takes words [^\\x20\\x09-\\x0D]+ of whole texts. A document's set: its distinct
@@ -313,8 +347,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     other); kept says that it is the row's own. Repeated rows and rows that share a doc_id are linked by their
     texts like any others and each get their row. Only doc_id and text are read; an empty table gives no rows.
 
-    Equal sets always meet. Different ones meet as candidates with a probability of 1 - (1 - J**3)**21 per
-    pair of similarity J (0.9999997 at 0.8) and further ones through the components.
+    Equal sets always meet. Different ones share a region with a probability of 1 - (1 - J**3)**21 per
+    pair of similarity J (0.9999997 at 0.8); all that share one and agree in AGREE sketch entries are tried,
+    unless links connect them already. block: rows of a region that one task holds at once in further rounds.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sigs = tx.reliable(docs.mapInArrow(_signatures(shingle), "doc_id long, text_key long, n_shingles long, node long, sig binary"))
@@ -328,28 +363,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     texts = tx.reliable(texts.mapInArrow(_compressed, "node long, packed binary").dropDuplicates(["node"]))
     state = nodes.join(company, "node", "left_semi").select("node", "size", "sig").mapInArrow(_sketches, "node long, size long, sketch binary")
     state = tx.reliable(state.withColumn("comp", F.col("node")))
-    tried = None
+    tried, closest = None, None
     while True:
         rows = places.join(state, "node").select("region", "place", "node", "comp", "size", "sketch")
         if tried is not None:
-            mixed = rows.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
-            rows = rows.join(mixed, "region", "left_semi")
+            rows = _cells(rows, block)
         rows = rows.repartition("region").sortWithinPartitions("region", "place", "node")
-        pairs = rows.mapInArrow(_candidates(percent, 100), "a long, b long").distinct()
+        found = tx.reliable(rows.mapInArrow(_candidates(percent, 100, closest), "a long, b long").distinct())
+        more = not found.where("a is null").isEmpty()
+        pairs = found.where("a is not null")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = tx.reliable(pairs)
+        closest = 4 * closest if closest else CLOSEST
         if pairs.isEmpty():
+            if more:
+                tried = pairs if tried is None else tried
+                continue
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = _links(pairs, texts, shingle, percent, 100)
         of = state.select("node", "comp")
         met = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         merged = connected_components(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        if merged.isEmpty() and more:
+            continue
         if merged.isEmpty():
             break
         merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         state = tx.reliable(state.join(merged, "comp", "left").select("node", "size", "sketch", F.coalesce("to", "comp").alias("comp")))
+        if not more:
+            break
     final = nodes.select("node", "doc_id").join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     final = final.join(least, "comp").select(F.col("node").alias("_node"), "component_id")

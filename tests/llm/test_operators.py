@@ -366,3 +366,28 @@ def test_last_digits_are_64_bits():
     at = np.array([0]), np.array([20]), np.array([8])
     own = suffix_dedup._pieces(data, *at, 40, 16)[-1]
     assert own.dtype == np.uint64 and (own[own > 0] >> np.uint64(33) > 0).all() and len(set((own[own > 0] & np.uint64(0xFFFFFFFF)).tolist())) == 21
+
+
+def test_near_dedup_links_behind_closer_failures(spark):
+    """A text links with its partner at a similarity of 0.81; most others are candidates too, many of them closer by sketch."""
+    rng = random.Random(3)
+    base = prose(rng, 100).split()
+    changed = lambda words, at: [f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+    docs = []
+    for i in range(150):
+        at = rng.sample(range(6, 94, 6), 4)
+        first = changed(base, at[:2])
+        docs += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(changed(first, at[2:])))]
+    wanted = {d: top for d, (_, top) in brute.near_groups(docs, 5, 80).items()}
+    assert len(set(wanted.values())) > 50
+    for more in ({}, {"block": 64}):
+        found = near_dedup.near_duplicates(table(spark, docs), **more).toPandas()
+        assert dict(zip(found["doc_id"], found["component_id"], strict=True)) == wanted
+
+
+def test_near_dedup_cells_bring_all_pairs_together(spark):
+    for size, main in ((50, 30), (50, 0), (50, 49), (7, 3)):
+        rows = [(1, n, n, 0 if n < main else n, 5, b"s") for n in range(size)]
+        cells = near_dedup._cells(table(spark, rows, "region long, place long, node long, comp long, size long, sketch binary"), 8).toPandas()
+        met = {(a, b) for _, c in cells.groupby("region") for a in c["node"] for b in c["node"]}
+        assert all((a, b) in met for a in range(size) for b in range(main, size)) and cells.groupby("region").size().max() <= 24
