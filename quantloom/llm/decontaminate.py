@@ -7,7 +7,7 @@ occur nowhere in the benchmark cannot match and are left out of the array before
 
 The benchmark is split into blocks of a bounded number of words, so what is broadcast never grows
 with the benchmark: with one block (the usual case) the result needs no shuffle at all; with more,
-each block is one pass and the hits are merged per document.
+each block is one pass and the hits are merged per document row.
 """
 
 from __future__ import annotations
@@ -185,22 +185,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     occurrence of a window is hit. Only doc_id, item_id and text are read; other columns don't matter.
 
     Null or empty text: no words, never contaminated. Null item_id: the item is left out. A repeated
-    item counts once; repeated document rows (also of one doc_id, also a null one) each get their row,
-    but for a benchmark of several blocks, where equal rows merge into one. Empty benchmark: no hits.
+    item counts once; repeated document rows (also of one doc_id, also a null one) each get their row.
+    Empty benchmark: no hits.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words(window), "item string, part int, words binary, n long")
     total = parts.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    if blocks > 1:  # hits are merged by a key of each row's own, which must outlive a retry
+        keyed = tx.reliable(docs.withColumn("row", F.monotonically_increasing_id()))
+        docs = keyed.select(F.col("row").alias("doc_id"), "text")
     out = None
     for k in range(blocks):
-        own = parts if blocks == 1 else parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == k)
-        tests = _Tests([(r[0], bytes(r[1])) for r in own.select("item", "words").collect()], window)  # block_words words, as expected
+        own = parts if blocks == 1 else parts.where(F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)) == k)
+        tests = _Tests([(r[0], bytes(r[1])) for r in own.select("item", "words").distinct().collect()], window)  # block_words words, as expected
         hits = docs.mapInArrow(_scan(spark.sparkContext.broadcast(tests)), RESULT)
         out = hits if out is None else out.unionByName(hits)
     if blocks > 1:
-        out = out.groupBy("doc_id", "n_words").applyInArrow(_merged, RESULT)
+        merged = out.groupBy("doc_id").applyInArrow(_merged, RESULT).withColumnRenamed("doc_id", "row")
+        out = merged.join(keyed.select("row", "doc_id"), "row").select(hits.columns)
     return out
 
 

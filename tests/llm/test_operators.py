@@ -391,3 +391,11 @@ def test_near_dedup_cells_bring_all_pairs_together(spark):
         cells = near_dedup._cells(table(spark, rows, "region long, place long, node long, comp long, size long, sketch binary"), 8).toPandas()
         met = {(a, b) for _, c in cells.groupby("region") for a in c["node"] for b in c["node"]}
         assert all((a, b) in met for a in range(size) for b in range(main, size)) and cells.groupby("region").size().max() <= 24
+
+
+def test_decontaminate_blocks_keep_rows_apart(spark):
+    item, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = [(1, item), (1, "a clean text of six words"), (None, other), (None, "some other text of six words"), (2, item), (2, item), (None, None)]
+    bench = table(spark, [(1, item), (1, other), (1, item), (2, "no text has this")], "item_id long, text string")
+    found = [sorted(map(str, decontaminate.find_contamination(table(spark, docs), bench, 5, block_words=n).collect())) for n in (1_000_000, 6)]
+    assert found[0] == found[1] and len(found[0]) == len(docs)
