@@ -371,13 +371,11 @@ def test_last_digits_are_64_bits():
 def test_near_dedup_links_behind_closer_failures(spark):
     """A text links with its partner at a similarity of 0.81; most others are candidates too, many of them closer by sketch."""
     rng = random.Random(3)
-    base = prose(rng, 100).split()
-    changed = lambda words, at: [f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+    base = prose(rng, 1500).split()
     docs = []
-    for i in range(150):
-        at = rng.sample(range(6, 94, 6), 4)
-        first = changed(base, at[:2])
-        docs += [(2 * i, " ".join(first)), (2 * i + 1, " ".join(changed(first, at[2:])))]
+    for i in range(80):  # 20 words of 300 places differ from the base; partners have 7 places in common, others one or two
+        at = rng.sample(range(0, 1500, 5), 33)
+        docs += [(2 * i + k, " ".join(f"x{rng.randrange(10**9)}" if j in own else w for j, w in enumerate(base))) for k, own in enumerate((set(at[:20]), set(at[13:])))]
     wanted = {d: top for d, (_, top) in brute.near_groups(docs, 5, 80).items()}
     assert len(set(wanted.values())) > 50
     for more in ({}, {"block": 64}):
