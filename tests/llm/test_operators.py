@@ -368,7 +368,8 @@ def test_last_digits_are_64_bits():
     assert own.dtype == np.uint64 and (own[own > 0] >> np.uint64(33) > 0).all() and len(set((own[own > 0] & np.uint64(0xFFFFFFFF)).tolist())) == 21
 
 
-def test_near_dedup_links_behind_closer_failures(spark):
+@pytest.mark.parametrize("more", [{}, {"block": 64}])
+def test_near_dedup_links_behind_closer_failures(spark, more):
     """A text links with its partner at a similarity of 0.81; most others are candidates too, many of them closer by sketch."""
     rng = random.Random(3)
     base = prose(rng, 1500).split()
@@ -378,9 +379,8 @@ def test_near_dedup_links_behind_closer_failures(spark):
         docs += [(2 * i + k, " ".join(f"x{rng.randrange(10**9)}" if j in own else w for j, w in enumerate(base))) for k, own in enumerate((set(at[:20]), set(at[13:])))]
     wanted = {d: top for d, (_, top) in brute.near_groups(docs, 5, 80).items()}
     assert len(set(wanted.values())) > 50
-    for more in ({}, {"block": 64}):
-        found = near_dedup.near_duplicates(table(spark, docs), **more).toPandas()
-        assert dict(zip(found["doc_id"], found["component_id"], strict=True)) == wanted
+    found = near_dedup.near_duplicates(table(spark, docs), **more).toPandas()
+    assert dict(zip(found["doc_id"], found["component_id"], strict=True)) == wanted
 
 
 def test_near_dedup_cells_bring_all_pairs_together(spark):
