@@ -4,15 +4,17 @@ Every shard of the documents (a run of whole documents inside a Spark task) gets
 its words, depth-limited to the window. Every window of every benchmark item is binary-searched in
 it; the equal range gives all places where the window occurs verbatim. Suffixes whose first words
 occur nowhere in the benchmark cannot match and are left out of the array before it is sorted.
+The longest verbatim match of a document comes from a second suffix array, without a depth limit, over
+the hit words of the shard's documents and the found windows of the items.
 
 The benchmark is split into blocks of a bounded number of words, so what is broadcast never grows
 with the benchmark: with one block (the usual case) the result needs no shuffle at all; with more,
 each block is one pass and the hits are merged per document row.
 """
 
-from __future__ import annotations
-
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ BLOCK_WORDS = 1_000_000
 #: Words of one row of the block table; longer items are cut, with an overlap.
 PART_WORDS = 50_000
 _FILTER_BITS = 22
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_run long, items array<string>, spans array<struct<start: long, end: long>>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, items array<string>, spans array<struct<start: long, end: long>>"
 
 
 def _lead(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -51,8 +53,6 @@ def _item_words(window: int):
                 ids, parts, data, sizes = [], [], [], []
                 for i, name in enumerate(batch.column(0).slice(row, end - row).to_pylist()):
                     own = hashes[before[i] : before[i + 1]]
-                    if name is None:
-                        continue
                     for k in range(0, max(0, len(own) - window + 1) or bool(len(own)), PART_WORDS):
                         ids.append(name)
                         parts.append(k // PART_WORDS)
@@ -65,28 +65,26 @@ def _item_words(window: int):
 
 
 class _Tests:
-    """The windows of a block, by length: sorted keys, and the items of each key."""
+    """The windows of a block, by length: sorted keys, and where each key is; words: all its words, a part after the other."""
 
     def __init__(self, rows, window: int):
-        self.items = sorted({r[0] for r in rows})
-        number = {x: i for i, x in enumerate(self.items)}
-        found: dict[int, tuple[list, list, list]] = {}
-        for item, data in rows:
-            hashes = np.frombuffer(data, dtype=np.uint64)
-            width = min(window, len(hashes))
-            keys, owner, lead = found.setdefault(width, ([], [], []))
-            at = np.arange(len(hashes) - width + 1)
-            keys.append(_keys(hashes, at, width))
-            owner.append(np.full(len(at), number[item]))
-            lead.append(_lead(hashes, width)[: len(at)])
+        self.items = sorted({r[0] for r in rows if r[0] is not None})
+        number = {x: i for i, x in enumerate(self.items)} | {None: -1}
+        parts = [np.frombuffer(data, dtype=np.uint64) for _, data in rows]
+        ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *parts])
+        self.owner = np.repeat(np.array([number[r[0]] for r in rows], dtype=np.int64), [len(x) for x in parts])
+        self.part = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        widths = np.array([min(window, len(x)) for x in parts], dtype=np.int64)
         self.by_width = {}
-        for width, (keys, owner, lead) in found.items():
-            keys, owner, lead = map(np.concatenate, (keys, owner, lead))
-            unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            pairs = np.unique(np.stack([inverse.ravel(), owner], 1), axis=0)
+        for width in np.unique(widths[widths > 0]).tolist():
+            at = np.concatenate([np.arange(e - len(x), e - width + 1) for x, e, w in zip(parts, ends.tolist(), widths, strict=True) if w == width])
+            unique, first, inverse = np.unique(_keys(self.words, at, width), return_index=True, return_inverse=True)
+            lead = _lead(self.words, width)[at[first]]
+            order = np.argsort(inverse.ravel(), kind="stable")
             seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
             seen[lead] = True
-            self.by_width[width] = (unique, lead[first], np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1)), pairs[:, 1], seen)
+            self.by_width[width] = (unique, lead, np.searchsorted(inverse.ravel()[order], np.arange(len(unique) + 1)), at[order], seen)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +94,20 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[owner], owner
 
 
-def _search(hashes: np.ndarray, before: np.ndarray, tests: _Tests) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard: which words are hit, and distinct (document, item) pairs."""
-    steps = np.zeros(len(hashes) + 1, dtype=np.int32)
+def _covered(n: int, places: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+    """Which of n words lie in a window that starts at one of the places."""
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, places, 1)
+    np.add.at(steps, places + widths, -1)
+    return np.cumsum(steps)[:-1] > 0
+
+
+def _search(hashes: np.ndarray, before: np.ndarray, tests: _Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one shard: which words are hit, distinct (document, item) pairs, and which words of the tests were found."""
+    hit, found = np.zeros(len(hashes), bool), np.zeros(len(tests.words), bool)
     pairs = [np.zeros((0, 2), dtype=np.int64)]
     doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    for width, (keys, lead, item_at, items, seen) in tests.by_width.items():
+    for width, (keys, lead, key_at, where, seen) in tests.by_width.items():
         first = _lead(hashes, width)
         at = np.flatnonzero(seen[first])
         at = at[at + width <= before[doc[at] + 1]] if len(at) else at
@@ -116,16 +122,67 @@ def _search(hashes: np.ndarray, before: np.ndarray, tests: _Tests) -> tuple[np.n
         lo, hi = np.searchsorted(suffixes, keys[asked], "left"), np.searchsorted(suffixes, keys[asked], "right")
         places, which = _ranges(lo, hi)
         places, which = at[places], asked[which]
-        np.add.at(steps, places, 1)
-        np.add.at(steps, places + width, -1)
+        if not len(places):
+            continue
+        hit |= _covered(len(hashes), places, width)
+        met = np.unique(which)
+        k, owner = _ranges(key_at[met], key_at[met + 1])
+        found |= _covered(len(found), where[k], width)
+        items = np.unique(np.stack([met[owner], tests.owner[where[k]]], 1), axis=0)  # of each key, its items once
+        item_at = np.searchsorted(items[:, 0], np.arange(len(keys) + 1))
         both = np.unique(np.stack([doc[places], which], 1), axis=0)
         k, owner = _ranges(item_at[both[:, 1]], item_at[both[:, 1] + 1])
-        pairs.append(np.stack([both[owner, 0], items[k]], 1))
-    return np.cumsum(steps)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
+        pairs.append(np.unique(np.stack([both[owner, 0], items[k, 1]], 1), axis=0))
+    return hit, np.unique(np.concatenate(pairs), axis=0), found
+
 
+def _longest(hashes: np.ndarray, doc: np.ndarray, hit: np.ndarray, tests: _Tests, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every hit word, in order: how many words match verbatim from there on, in any one item.
 
-def _result(ids, n_words, hit_spans, found) -> pa.RecordBatch:
-    """hit_spans: by document, maximal runs of hit words; found: by document, its items."""
+    One suffix array over the hit words and the found test words, each run of them closed by an end of its own,
+    sorted by doubling; a word's longest match stands next to it among the test suffixes.
+    """
+    mine, theirs = np.flatnonzero(hit), np.flatnonzero(found)
+    codes = np.concatenate([hashes[mine], tests.words[theirs]])
+    run = np.concatenate([doc[mine], tests.part[theirs] + (doc[-1] + 1)])
+    place = np.concatenate([mine, theirs])
+    last = np.append((run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1), True)
+    shift = np.concatenate([[0], np.cumsum(last)[:-1]]) + np.arange(len(codes))
+    n = len(codes) + int(last.sum())
+    rank = np.full(n, -1, dtype=np.int64)
+    rank[shift] = np.unique(codes, return_inverse=True)[1].ravel()
+    ends = np.flatnonzero(rank < 0)
+    rank[ends] = len(codes) + np.arange(len(ends))
+    levels = [rank]
+    longest = int(np.diff(np.concatenate([[-1], ends])).max())
+    while 1 << (len(levels) - 1) < longest:
+        step = 1 << (len(levels) - 1)
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - step] = rank[step:] + 1
+        rank = np.unique(rank * (2 * n + 1) + after, return_inverse=True)[1].ravel()
+        levels.append(rank)
+    order = np.argsort(rank, kind="stable")
+    is_test = np.zeros(n, bool)
+    is_test[shift[len(mine) :]] = True
+    tested = is_test[order]
+    at = np.arange(n)
+    previous = np.maximum.accumulate(np.where(tested, at, -1))
+    following = np.minimum.accumulate(np.where(tested, at, n)[::-1])[::-1]
+    spot = np.empty(n, np.int64)
+    spot[order] = at
+    own = shift[: len(mine)]
+    best = np.zeros(len(own), np.int64)
+    for near in (previous[spot[own]], following[spot[own]]):
+        ok = (near >= 0) & (near < n)
+        x, y, m = own[ok], order[near[ok]], np.zeros(int(ok.sum()), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            m += (levels[k][x + m] == levels[k][y + m]).astype(np.int64) << k
+        best[ok] = np.maximum(best[ok], m)
+    return mine, best
+
+
+def _result(ids, n_words, hit_spans, found, matches) -> pa.RecordBatch:
+    """By document: hit_spans, maximal runs of hit words; found, its items; matches, its longest one as (words, start)."""
     names = [sorted(set(x)) for x in found]
     n_hit = [sum(e - s for s, e in x) for x in hit_spans]
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -133,23 +190,30 @@ def _result(ids, n_words, hit_spans, found) -> pa.RecordBatch:
         [
             ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
             pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([n > 0 for n in n_hit]),
-            pa.array([max((e - s for s, e in x), default=0) for x in hit_spans], pa.int64()), pa.array(names, pa.list_(pa.string())),
+            pa.array([m[0] for m in matches], pa.int64()), pa.array([m[1] for m in matches], pa.int64()), pa.array(names, pa.list_(pa.string())),
             pa.array([[{"start": s, "end": e} for s, e in x] for x in hit_spans], kinds),
         ],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_run", "items", "spans"],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_start", "items", "spans"],
     )
 
 
+def _shards(batch: pa.RecordBatch):
+    """Runs of whole documents: first row, end row, word hashes, and the words before each document."""
+    for row, end, buf, offsets in tx.text_chunks(batch, "text"):
+        buf = tx.LOWER[buf]
+        starts, ends, before = tx.words(buf, offsets, tx.ALNUM_SEPARATORS)
+        yield row, end, tx.span_hashes(buf, starts, ends), before
+
+
 def _scan(block):
     def run(batches):
         tests = block.value
         for batch in batches:
-            for row, end, buf, offsets in tx.text_chunks(batch, "text"):
-                buf = tx.LOWER[buf]
-                starts, ends, before = tx.words(buf, offsets, tx.ALNUM_SEPARATORS)
-                hit, pairs = _search(tx.span_hashes(buf, starts, ends), before, tests)
+            for row, end, hashes, before in _shards(batch):
+                hit, pairs, met = _search(hashes, before, tests)
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(end - row)]
                 found: list[list[str]] = [[] for _ in range(end - row)]
+                matches: list[tuple[int, int | None]] = [(0, None)] * (end - row)
                 if hit.any():
                     doc = np.repeat(np.arange(end - row), np.diff(before))
                     inner = hit[1:] & hit[:-1] & (doc[1:] == doc[:-1])
@@ -159,12 +223,34 @@ def _scan(block):
                         d = int(doc[a])
                         spans[d].append((a - int(before[d]), b - int(before[d])))
                     for d, i in pairs.tolist():
-                        found[d].append(tests.items[i])
-                yield _result(batch.column(0).slice(row, end - row), np.diff(before), spans, found)
+                        if i >= 0:
+                            found[d].append(tests.items[i])
+                    place, size = _longest(hashes, doc, hit, tests, met)
+                    order = np.lexsort([place, -size, doc[place]])  # by document the longest one first, then the earliest
+                    first = order[np.unique(doc[place][order], return_index=True)[1]]
+                    for k in first.tolist():
+                        d = int(doc[place[k]])
+                        matches[d] = (int(size[k]), int(place[k] - before[d]))
+                yield _result(batch.column(0).slice(row, end - row), np.diff(before), spans, found, matches)
 
     return run
 
 
+def _clean(block):
+    """Whether a text has no hit."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            verdict = np.ones(len(text), bool)
+            for row, end, hashes, before in _shards(pa.record_batch([text], ["text"])):
+                hit = np.concatenate([[0], np.cumsum(_search(hashes, before, block.value)[0])])
+                verdict[row:end] = hit[before[1:]] == hit[before[:-1]]
+            yield pa.array(verdict)
+
+    return clean
+
+
 def _merged(table: pa.Table) -> pa.Table:
     """One row of a document from its rows of several blocks."""
     rows = table.to_pylist()
@@ -174,7 +260,23 @@ def _merged(table: pa.Table) -> pa.Table:
             spans[-1][1] = max(spans[-1][1], e)
         else:
             spans.append([s, e])
-    return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks().slice(0, 1), [rows[0]["n_words"]], [spans], [[i for r in rows for i in r["items"]]])])
+    match = min(((r["longest_match"], r["match_start"]) for r in rows), key=lambda m: (-m[0], m[1] or 0))
+    return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks().slice(0, 1), [rows[0]["n_words"]], [spans], [[i for r in rows for i in r["items"]]], [match])])
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[_Tests]:
+    """The benchmark's windows in blocks of block_words words at most (an item's part is never cut further)."""
+    parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words(window), "item string, part int, words binary, n long")
+    parts = parts.select("item", "words", "n").distinct()
+    count = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // block_words))
+    while True:
+        own = parts.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count)))
+        most, large = own.groupBy("block").agg(F.sum("n").alias("n"), F.max("n").alias("m")).agg(F.max("n"), F.max("m")).first()
+        if (most or 0) <= max(block_words, 2 * (large or 0)) or count == 1:
+            break
+        count *= 2
+    for k in range(count):
+        yield _Tests([(r[0], bytes(r[1])) for r in own.where(F.col("block") == k).select("item", "words").collect()], window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -182,35 +284,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Texts are lower-cased (A-Z) and cut into words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is `window`
     consecutive words of an item, or the whole item if it has fewer; a document word inside any
-    occurrence of a window is hit. Only doc_id, item_id and text are read; other columns don't matter.
+    occurrence of a window is hit. longest_match: the most words in a row that a document shares with one item
+    (0 without a hit; of an item that is cut into parts, with a part), and match_start, the first word of the
+    earliest such match. Only doc_id, item_id and text are read; other columns don't matter.
 
-    Null or empty text: no words, never contaminated. Null item_id: the item is left out. A repeated
-    item counts once; repeated document rows (also of one doc_id, also a null one) each get their row.
-    Empty benchmark: no hits.
+    Null or empty text: no words, never contaminated. An item with a null item_id hits like any other, but has no
+    name to be listed or counted by. A repeated item counts once; repeated document rows (also of one doc_id, also
+    a null one) each get their row. Empty benchmark: no hits.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words(window), "item string, part int, words binary, n long")
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    if blocks > 1:  # hits are merged by a key of each row's own, which must outlive a retry
-        keyed = tx.reliable(docs.withColumn("row", F.monotonically_increasing_id()))
-        docs = keyed.select(F.col("row").alias("doc_id"), "text")
-    out = None
-    for k in range(blocks):
-        own = parts if blocks == 1 else parts.where(F.pmod(F.xxhash64("item", "part", "words"), F.lit(blocks)) == k)
-        tests = _Tests([(r[0], bytes(r[1])) for r in own.select("item", "words").distinct().collect()], window)  # block_words words, as expected
-        hits = docs.mapInArrow(_scan(spark.sparkContext.broadcast(tests)), RESULT)
-        out = hits if out is None else out.unionByName(hits)
-    if blocks > 1:
-        merged = out.groupBy("doc_id").applyInArrow(_merged, RESULT).withColumnRenamed("doc_id", "row")
-        out = merged.join(keyed.select("row", "doc_id"), "row").select(hits.columns)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any hit, with all their columns. Rows of a null doc_id are judged by their text alone."""
-    key = F.xxhash64("text")
-    hits = find_contamination(docs.select(F.struct("doc_id", key.alias("h")).alias("k"), "doc_id", "text").select(key.alias("doc_id"), "text"), benchmark, window)
-    bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")
+    blocks = list(map(spark.sparkContext.broadcast, _blocks(benchmark, window, block_words)))
+    if len(blocks) == 1:
+        return docs.mapInArrow(_scan(blocks[0]), RESULT)
+    keyed = tx.reliable(docs.withColumn("row", F.monotonically_increasing_id()))  # a key of each row's own, which outlives a retry
+    hits = [keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan(b), RESULT) for b in blocks]
+    out = reduce(DataFrame.unionByName, hits)
+    merged = out.groupBy("doc_id").applyInArrow(_merged, RESULT).withColumnRenamed("doc_id", "row")
+    return merged.join(keyed.select("row", "doc_id"), "row").select(out.columns)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without any hit, with all their columns. Each row is judged where it stands, by its text alone:
+    nothing is shuffled."""
+    for tests in _blocks(benchmark, window, block_words):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(tests))(docs["text"]))
+    return docs

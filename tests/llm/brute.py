@@ -64,13 +64,13 @@ def near_groups(docs: list[tuple[int, str | None]], size: int, percent: int) ->
 
 
 def hits(docs: list[str | None], items: list[tuple[int, str | None]], window: int) -> list[tuple]:
-    """(n_words, n_hit, n_items, items_sha256) of each document."""
+    """(n_words, n_hit, n_items, items_sha256, longest match, its start) of each document."""
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     wanted: dict[tuple, set] = {}
     for i, t in items:
         w = split(t)
         for k in range(max(1, len(w) - window + 1)) if w else ():
-            wanted.setdefault(tuple(w[k : k + window]), set()).add(str(i))
+            wanted.setdefault(tuple(w[k : k + window]), set()).add(None if i is None else str(i))
     sizes = {len(x) for x in wanted}
     out = []
     for t in docs:
@@ -81,7 +81,18 @@ def hits(docs: list[str | None], items: list[tuple[int, str | None]], window: in
                 if own := wanted.get(tuple(w[k : k + n])):
                     found |= own
                     hit[k : k + n] = [True] * n
-        out.append((len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+        found.discard(None)
+        best = (0, None)
+        for _, item in items:
+            v = split(item)
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= min(window, len(v)) and (n, -p) > (best[0], -(best[1] or 0)):
+                        best = (n, p)
+        out.append((len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), *best))
     return out
 
 
