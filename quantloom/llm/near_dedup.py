@@ -308,8 +308,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a grouped minimum and a join, until nothing changes.
     """
     edges = tx.reliable(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    measure = lambda e: e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)"))).first()
+    state = measure(edges)
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)"))).first()
         if not state[0]:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -320,14 +321,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "v")
         small = small.select(F.col("m").alias("u"), "v").unionByName(small.select(F.col("m").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
         edges = tx.reliable(small)
-        if edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)"))).first() == state:
+        before, state = state, measure(edges)
+        if state == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("comp")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("comp")).distinct())
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs that full shingle sets confirm. A node with many partners is the hub: its text travels once for each 500 of them."""
     ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
-    both = pairs.join(ends.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
+    at_a, at_b = (tx.reliable(ends.select(F.col("x").alias(x), F.col("n").alias(f"n{x}"))) for x in "ab")  # written, so that the joins can split a hub
+    both = pairs.join(at_a, "a").join(at_b, "b")
     swap = F.col("nb") > F.col("na")
     both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("member"), F.greatest("na", "nb").alias("n"))
     both = tx.reliable(both.withColumn("part", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / 500)).cast("int")).select("hub", "part", "member"))
@@ -395,7 +398,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
         if not more:
             break
     final = nodes.select("node", "doc_id").join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    least = tx.reliable(final.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     final = final.join(least, "comp").select(F.col("node").alias("_node"), "component_id")
     out = sigs.select("doc_id", "text_key", "n_shingles", "node").join(final, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -14,8 +14,9 @@ holds a row for each byte of the corpus:
 4. Last digit, of the rest: each single window.
 
 Spark spreads the groups by digit and counts them with partial sums before each shuffle, so a digit that a
-third of all suffixes share costs one row per task there; the joins that follow are plain equi-joins, which
-adaptive execution splits where they are skewed. Digits are 64-bit hashes of the bytes.
+third of all suffixes share costs one row per task there. The counts are written before the rows are joined with
+them: both sides of such a join then have exchanges of their own, and adaptive execution splits a partition
+that one digit fills. Digits are 64-bit hashes of the bytes.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def _last_digits(batches):
 def _tied(df: DataFrame, digit: str, following: str | None = None) -> DataFrame:
     """The rows whose digit is not alone; open: whether the following digit tells some of its group apart."""
     group = df.groupBy(digit).agg(F.count("*").alias("_n"), *([F.expr(f"count({following}) < count(*) or min({following}) <> max({following})").alias("open")] if following else []))
-    several = group.where("_n > 1").drop("_n").withColumnRenamed(digit, "_digit")
+    several = tx.released(group.where("_n > 1").drop("_n").withColumnRenamed(digit, "_digit"))
     return df.join(several, F.col(digit) == F.col("_digit")).drop("_digit")
 
 
@@ -167,7 +168,7 @@ def _judged(df: DataFrame, digit: str, place: str) -> DataFrame:
     that is still open, or being the one that stands there for all that are equal to it."""
     me = F.struct("doc_id", "text_key", place)
     tied = df.where(F.col(digit).isNotNull()).groupBy(F.col(digit).alias("_digit")).agg(F.count("*").alias("_n"), F.min(me).alias("_first")).where("_n > 1")
-    out = df.join(tied, F.col(digit) == F.col("_digit"), "left").withColumn("done", F.col("_n").isNotNull())
+    out = df.join(tx.released(tied), F.col(digit) == F.col("_digit"), "left").withColumn("done", F.col("_n").isNotNull())
     return out.withColumn("rest", F.col("open") & (~F.col("done") | me.eqNullSafe(F.col("_first")))).drop("_digit", "_n", "_first")
 
 
