@@ -6,16 +6,16 @@ small one every two nodes are candidates, in a larger one each node meets its ne
 prefix and the region's pivots (the nodes closest to the most common signature, one after the other, until
 every node has been near one). So a group of n copies costs O(n) candidates, not n * n / 2.
 
-Candidates are confirmed on full shingle sets. Links are contracted to components, and further rounds only
-look at regions where components still differ: there every node that is not in the region's largest
-component meets the nodes of other components that are closest by signature, four times as many in each
-round. Rounds end when no node has had to leave a candidate out, so in every region all nodes of different
-components whose sketches agree have then been tried.
+Candidates are confirmed on full shingle sets, and links are contracted to components. What such a region has
+left is tried once and for all: its nodes of different components are compared by sketch, all of them, and
+those with candidates meet again with their texts, so that a candidate pair is confirmed or refused where it is
+found and never travels. A pair that shares several regions is tried in the first of them; a pair that links
+have connected meanwhile is not tried at all.
 
 In the first round a region's rows stream through one task in sorted order, at most BLOCK of them in memory
-at once; each block shares a row with the next. In further rounds a region of more than BLOCK rows is dealt
-into cells: its nodes outside the largest component meet in pairs of half blocks, and each half block of
-them meets each half block of the largest component.
+at once; each block shares a row with the next. Then a region of more than BLOCK rows is dealt into cells: its
+nodes outside the largest component meet in pairs of half blocks, and each half block of them meets each half
+block of the largest component.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ DEPTH = 3
 TREES = HASHES // DEPTH
 BLOCK = 8192
 SMALL = 8
-#: Partners of a node in the second round.
-CLOSEST = 4
+#: Bytes of shingle sets that a task keeps at once.
+KEPT_BYTES = 256 << 20
 #: Of the 64 4-bit sketch entries so many agree at least in a candidate; at a similarity of 0.8, 52 do on average (sd 3.1).
 AGREE = 37
 
@@ -101,15 +101,21 @@ def _sigs_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
 
 
+def _regions(sig: np.ndarray):
+    """A hash of every node's region in each tree."""
+    for t in range(TREES):
+        value = np.full(len(sig), t + 1, dtype=_U)
+        for k in range(DEPTH):
+            value = tx.mix(value * _U(0x9E3779B97F4A7C15) + sig[:, (DEPTH * t + k) % HASHES])
+        yield value
+
+
 def _labels(batches):
     """A node's place in each tree: the region (its first DEPTH entries) and the order inside (the next eight, a byte of each)."""
     for batch in batches:
         sig, node = _sigs_of(batch.column(1)), batch.column(0)
         region, order = [], []
-        for t in range(TREES):
-            value = np.full(len(sig), t + 1, dtype=_U)
-            for k in range(DEPTH):
-                value = tx.mix(value * _U(0x9E3779B97F4A7C15) + sig[:, (DEPTH * t + k) % HASHES])
+        for t, value in enumerate(_regions(sig)):
             tail = np.zeros(len(sig), dtype=_U)
             for k in range(8):
                 tail = (tail << _U(8)) | (sig[:, (DEPTH * (t + 1) + k) % HASHES] & np.uint32(255)).astype(_U)
@@ -169,11 +175,11 @@ def _agreement(nib: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (nib == one).sum(1)
 
 
-def _region_pairs(comp, size, nib, numerator: int, denominator: int) -> set[tuple[int, int]]:
+def _region_pairs(node, size, nib, numerator: int, denominator: int) -> set[tuple[int, int]]:
     """The first round's candidate pairs (row numbers) of one block of a region: all of a small one."""
-    m = len(comp)
+    m = len(node)
     found: set[tuple[int, int]] = set()
-    close = lambda i, at: at[(comp[at] != comp[i]) & (_agreement(nib[at], nib[i]) >= AGREE) & (np.minimum(size[at], size[i]) * denominator >= np.maximum(size[at], size[i]) * numerator)]
+    close = lambda i, at: at[(node[at] != node[i]) & (_agreement(nib[at], nib[i]) >= AGREE) & (np.minimum(size[at], size[i]) * denominator >= np.maximum(size[at], size[i]) * numerator)]
     note = lambda i, at: found.update((min(i, j), max(i, j)) for j in at.tolist())
     if m <= SMALL:
         for i in range(m - 1):
@@ -192,59 +198,129 @@ def _region_pairs(comp, size, nib, numerator: int, denominator: int) -> set[tupl
     return found
 
 
-def _further_pairs(comp, size, nib, numerator: int, denominator: int, closest: int):
-    """For each node outside the largest component: its row number, the closest candidates in other components, and whether there are more."""
-    _, number, many = np.unique(comp, return_inverse=True, return_counts=True)
-    for i in np.flatnonzero(number != many.argmax()).tolist():
-        at = np.flatnonzero((comp != comp[i]) & (np.minimum(size, size[i]) * denominator >= np.maximum(size, size[i]) * numerator))
-        agree = _agreement(nib[at], nib[i])
-        at, agree = at[agree >= AGREE], agree[agree >= AGREE]
-        yield i, at[np.argsort(-agree, kind="stable")[:closest]], len(at) > closest
+def _nibbles(column: pa.ChunkedArray) -> np.ndarray:
+    sketch = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
+    return np.concatenate([sketch >> 4, sketch & 15], axis=1)
 
 
-def _candidates(numerator: int, denominator: int, closest: int | None):
-    """Candidate pairs of the regions, or of their cells in further rounds (closest is null in the first one); a null row says that some were left out."""
+def _candidates(numerator: int, denominator: int):
+    """The first round's candidate pairs of regions."""
 
     def run(batches):
-        a, b, more = [], [], False
-        for held in _groups(batches, 0, BLOCK if closest is None else np.inf):
+        a, b = [], []
+        for held in _groups(batches, 0):
             rows = pa.Table.from_batches(held)
             if rows.num_rows < 2:
                 continue
-            comp = rows.column(3).to_numpy()
-            if (comp == comp[0]).all():
-                continue
-            sketch = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, HASHES // 2)
-            nib = np.concatenate([sketch >> 4, sketch & 15], axis=1)
-            node = rows.column(2).to_numpy()
-            size = rows.column(4).to_numpy()
-            if closest is None:
-                more |= len(comp) > SMALL
-                both = np.array([*_region_pairs(comp, size, nib, numerator, denominator)], dtype=np.int64).reshape(-1, 2)
-                met = [(both[:, 0], both[:, 1], False)]
-            else:
-                met = _further_pairs(comp, size, nib, numerator, denominator, closest)
-            for i, at, cut in met:
-                more |= cut
-                a += np.minimum(node[i], node[at]).tolist()
-                b += np.maximum(node[i], node[at]).tolist()
-                if len(a) > 50_000:
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    a, b = [], []
-        if more:
-            a.append(None)
-            b.append(None)
+            node, size = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+            for i, j in _region_pairs(node, size, _nibbles(rows.column(4)), numerator, denominator):
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+            if len(a) > 50_000:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+class _Cell:
+    """Rows (cell, node, comp, size, sketch, labels) of one cell."""
+
+    def __init__(self, held: list[pa.RecordBatch], numerator: int, denominator: int):
+        rows = pa.Table.from_batches(held)
+        self.rows, self.numerator, self.denominator = rows, numerator, denominator
+        self.node, self.comp, self.size = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        self.nib = _nibbles(rows.column(4))
+        labels = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint32).reshape(-1, TREES)
+        self.before = labels[:, : int((labels == labels[0]).all(0).argmax())]  # regions of earlier trees
+
+    def partners(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Those of the rows `at` that are candidates of row i and share no earlier region with it; the closest first."""
+        at = at[(self.comp[at] != self.comp[i]) & (np.minimum(self.size[at], self.size[i]) * self.denominator >= np.maximum(self.size[at], self.size[i]) * self.numerator)]
+        agree = _agreement(self.nib[at], self.nib[i])
+        at, agree = at[agree >= AGREE], agree[agree >= AGREE]
+        first = ~(self.before[at] == self.before[i]).any(1)
+        return at[first][np.argsort(-agree[first], kind="stable")]
+
+
+def _company(numerator: int, denominator: int):
+    """(cell, node) of the nodes that have candidates in their cell."""
+
+    def run(batches):
+        for held in _groups(batches, 0, np.inf):  # a cell has BLOCK rows or so
+            c = _Cell(held, numerator, denominator)
+            _, number, many = np.unique(c.comp, return_inverse=True, return_counts=True)
+            met, every = np.zeros(len(c.node), bool), np.arange(len(c.node))
+            for i in np.flatnonzero(number != many.argmax()).tolist():
+                at = c.partners(i, every)
+                met[at] = True
+                met[i] |= len(at) > 0
+            yield pa.record_batch([c.rows.column(0).combine_chunks().filter(pa.array(met)), pa.array(c.node[met])], ["cell", "node"])
+
+    return run
+
+
+class _Sets:
+    """Shingle sets of rows with compressed texts, made when they are asked for; some KEPT_BYTES are kept."""
+
+    def __init__(self, packed: list[bytes], size: int):
+        self.packed, self.size, self.kept, self.bytes = packed, size, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i not in self.kept:
+            if self.bytes > KEPT_BYTES:
+                self.kept, self.bytes = {}, 0
+            unpack = zstandard.ZstdDecompressor().decompress
+            texts: list[bytes] = []
+            while i + len(texts) < len(self.packed) and len(texts) < 1000 and sum(map(len, texts)) < 1 << 18:
+                texts.append(unpack(self.packed[i + len(texts)]))
+            sets, at = shingle_sets(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), self.size)
+            for k in range(len(texts)):
+                self.kept[i + k] = sets[at[k] : at[k + 1]]
+            self.bytes += sets.nbytes
+        return self.kept[i]
+
+
+def _linked(size: int, numerator: int, denominator: int):
+    """Rows of _Cell with the compressed text as the last column: the confirmed links of each cell, without those inside of what links connect already."""
+
+    def run(batches):
+        for held in _groups(batches, 0, np.inf):
+            c = _Cell(held, numerator, denominator)
+            sets = _Sets(c.rows.column(6).to_pylist(), size)
+            of = {x: x for x in c.comp.tolist()}
+
+            def top(x, of=of):
+                while of[x] != x:
+                    of[x] = x = of[of[x]]
+                return x
+
+            a, b = [], []
+            for i in range(len(c.node) - 1):
+                for j in c.partners(i, np.arange(i + 1, len(c.node))).tolist():
+                    x, y = top(int(c.comp[i])), top(int(c.comp[j]))
+                    if x == y:
+                        continue
+                    own, other = sets[i], sets[j]
+                    k = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = int((own[k] == other).sum())
+                    if denominator * both >= numerator * (len(own) + len(other) - both):
+                        of[x] = y
+                        a.append(c.node[i])
+                        b.append(c.node[j])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _sketches(batches):
     for batch in batches:
         low = (_sigs_of(batch.column(2)) & np.uint32(15)).astype(np.uint8)
         half = HASHES // 2
         data = ((low[:, :half] << 4) | low[:, half:]).tobytes()
-        yield pa.record_batch([batch.column(0), batch.column(1), tx.binary_rows(data, np.arange(len(low) + 1) * half)], ["node", "size", "sketch"])
+        labels = np.stack([x.astype(np.uint32) for x in _regions(_sigs_of(batch.column(2)))], axis=1)
+        yield pa.record_batch([batch.column(0), batch.column(1), tx.binary_rows(data, np.arange(len(low) + 1) * half), tx.binary_rows(labels.tobytes(), np.arange(len(low) + 1) * 4 * TREES)], ["node", "size", "sketch", "labels"])
 
 
 def _compressed(batches):
@@ -288,18 +364,18 @@ def _confirm(size: int, numerator: int, denominator: int):
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:
-    """The rows of regions with several components, with a cell for region; every two nodes of a region that are
-    not both in its largest component share a cell, and a cell has some block rows at most."""
+    """cell and node for the rows (region, node, comp) of regions of more than SMALL nodes in several components; every
+    two nodes of a region that are not both in its largest component share a cell, and a cell has some block rows at most."""
     half = max(1, block // 2)
     comps = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    tops = comps.groupBy("region").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "comp")).alias("_top"), F.count("*").alias("_comps")).where("_comps > 1")
-    tops = tops.select("region", "_n", F.col("_top.comp").alias("_main"), F.ceil((F.col("_n") - F.col("_top.n")) / half).alias("_r"), F.ceil(F.col("_top.n") / half).alias("_l"))
+    tops = comps.groupBy("region").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "comp")).alias("_top"), F.count("*").alias("_comps")).where(f"_comps > 1 and _n > {SMALL}")
+    tops = tx.reliable(tops.select("region", "_n", F.col("_top.comp").alias("_main"), F.ceil((F.col("_n") - F.col("_top.n")) / half).alias("_r"), F.ceil(F.col("_top.n") / half).alias("_l")))
     rows = rows.join(tops, "region").withColumn("_in", F.col("comp") == F.col("_main"))
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.when(F.col("_in"), F.col("_l")).otherwise(F.col("_r"))))
     cell = F.expr(f"""case when _n <= {block} then array(0L)
         when _in then transform(sequence(0L, _r - 1), s -> s * (_r + _l) + _r + _own)
         else concat(transform(sequence(0L, _r - 1), s -> least(s, _own) * (_r + _l) + greatest(s, _own)), transform(sequence(0L, _l - 1), t -> _own * (_r + _l) + _r + t)) end""")
-    return rows.select("region", F.explode(cell).alias("_cell"), "place", "node", "comp", "size", "sketch").select(F.xxhash64("region", "_cell").alias("region"), "place", "node", "comp", "size", "sketch")
+    return rows.select("region", F.explode(cell).alias("_cell"), "node").select(F.xxhash64("region", "_cell").alias("cell"), "node")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -340,6 +416,14 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denomi
     return rows.mapInArrow(_confirm(size, numerator, denominator), "a long, b long")
 
 
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state with its components merged by the links (a, b) of nodes."""
+    of = state.select("node", "comp")
+    met = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = connected_components(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return tx.reliable(state.join(merged, "comp", "left").select("node", "size", "sketch", "labels", F.coalesce("to", "comp").alias("comp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for every row of docs.
 
@@ -352,7 +436,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
     Equal sets always meet. Different ones share a region with a probability of 1 - (1 - J**3)**21 per
     pair of similarity J (0.9999997 at 0.8); all that share one and agree in AGREE sketch entries are tried,
-    unless links connect them already. block: rows of a region that one task holds at once in further rounds.
+    unless links connect them already. block: rows of a region that one task holds at once.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sigs = tx.reliable(docs.mapInArrow(_signatures(shingle), "doc_id long, text_key long, n_shingles long, node long, sig binary"))
@@ -364,39 +448,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
     wanted = nodes.join(company, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["text_key"] == F.col("_key"))).select("node", F.col("text").cast("binary").alias("text"))
     texts = tx.reliable(texts.mapInArrow(_compressed, "node long, packed binary").dropDuplicates(["node"]))
-    state = nodes.join(company, "node", "left_semi").select("node", "size", "sig").mapInArrow(_sketches, "node long, size long, sketch binary")
-    state = tx.reliable(state.withColumn("comp", F.col("node")))
-    tried, closest = None, None
-    while True:
-        rows = places.join(state, "node").select("region", "place", "node", "comp", "size", "sketch")
-        if tried is not None:
-            rows = _cells(rows, block)
-        rows = rows.repartition("region").sortWithinPartitions("region", "place", "node")
-        found = tx.reliable(rows.mapInArrow(_candidates(percent, 100, closest), "a long, b long").distinct())
-        more = not found.where("a is null").isEmpty()
-        pairs = found.where("a is not null")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = tx.reliable(pairs)
-        closest = 4 * closest if closest else CLOSEST
-        if pairs.isEmpty():
-            if more:
-                tried = pairs if tried is None else tried
-                continue
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _links(pairs, texts, shingle, percent, 100)
-        of = state.select("node", "comp")
-        met = links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-        merged = connected_components(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        if merged.isEmpty() and more:
-            continue
-        if merged.isEmpty():
-            break
-        merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        state = tx.reliable(state.join(merged, "comp", "left").select("node", "size", "sketch", F.coalesce("to", "comp").alias("comp")))
-        if not more:
-            break
+    state = nodes.join(company, "node", "left_semi").select("node", "size", "sig").mapInArrow(_sketches, "node long, size long, sketch binary, labels binary")
+    state = tx.reliable(state)
+    rows = places.join(state, "node").select("region", "place", "node", "size", "sketch").repartition("region").sortWithinPartitions("region", "place", "node")
+    pairs = tx.reliable(rows.mapInArrow(_candidates(percent, 100), "a long, b long").distinct())
+    state = _merged(state.withColumn("comp", F.col("node")), _links(pairs, texts, shingle, percent, 100))
+    cells = _cells(places.join(state.select("node", "comp"), "node").select("region", "node", "comp"), block)
+    rows = cells.join(state, "node").select("cell", "node", "comp", "size", "sketch", "labels").repartition("cell").sortWithinPartitions("cell", "node")
+    met = tx.reliable(rows.mapInArrow(_company(percent, 100), "cell long, node long"))
+    rows = met.join(state, "node").join(texts, "node").select("cell", "node", "comp", "size", "sketch", "labels", "packed").repartition("cell").sortWithinPartitions("cell", "node")
+    state = _merged(state, rows.mapInArrow(_linked(shingle, percent, 100), "a long, b long"))
     final = nodes.select("node", "doc_id").join(state.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = tx.reliable(final.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     final = final.join(least, "comp").select(F.col("node").alias("_node"), "component_id")

@@ -386,10 +386,10 @@ def test_near_dedup_links_behind_closer_failures(spark, more):
 
 def test_near_dedup_cells_bring_all_pairs_together(spark):
     for size, main in ((50, 30), (50, 0), (50, 49), (7, 3)):
-        rows = [(1, n, n, 0 if n < main else n, 5, b"s") for n in range(size)]
-        cells = near_dedup._cells(table(spark, rows, "region long, place long, node long, comp long, size long, sketch binary"), 8).toPandas()
-        met = {(a, b) for _, c in cells.groupby("region") for a in c["node"] for b in c["node"]}
-        assert all((a, b) in met for a in range(size) for b in range(main, size)) and cells.groupby("region").size().max() <= 24
+        rows = [(1, n, 0 if n < main else n) for n in range(size)]
+        cells = near_dedup._cells(table(spark, rows, "region long, node long, comp long"), 8).toPandas()
+        met = {(a, b) for _, c in cells.groupby("cell") for a in c["node"] for b in c["node"]}
+        assert size <= near_dedup.SMALL and not met or all((a, b) in met for a in range(size) for b in range(main, size)) and cells.groupby("cell").size().max() <= 24
 
 
 def test_decontaminate_blocks_keep_rows_apart(spark):
