@@ -156,7 +156,8 @@ def median_polish_short(x: np.ndarray, eps: float = 0.01, rounds: int = 10) -> n
 
 
 def _residual_scale(res: np.ndarray) -> float:
-    return MAD_FACTOR * nanmedian(np.abs(res - nanmedian(res)))
+    own = res[~np.isnan(res)]
+    return MAD_FACTOR * np.median(np.abs(own - np.median(own)))
 
 
 def _two_way_fit(x: np.ndarray, weights: np.ndarray, rows: np.ndarray, cols: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +178,11 @@ def _two_way_fit(x: np.ndarray, weights: np.ndarray, rows: np.ndarray, cols: np.
 
 
 def _connected_fit(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same fit from its normal equations, if all samples with data are linked; the column effects add up to zero."""
+    """The same fit from its normal equations, if all samples with data are linked; the column effects add up to zero.
+
+    This is the exact minimum. The alternating fit may stop before it: its rule watches the sum of absolute
+    residuals, which can stand still while the effects still move (0.04 away on a matrix of 2 x 2 in the tests).
+    """
     ok = ~np.isnan(x)
     there = ok.any(0)
     w, v = np.where(ok, weights, 0)[:, there], np.where(ok, x, 0)[:, there]
@@ -191,7 +196,10 @@ def _connected_fit(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _robust_fit(x: np.ndarray, k: float, rounds: int, prior: np.ndarray | None = None) -> np.ndarray:
-    """Huber M-estimate of the two-way model; prior: weights of rows that multiply Huber's."""
+    """Huber M-estimate of the two-way model; prior: weights of rows that multiply Huber's.
+
+    Solved exactly in each round where all samples are linked, by alternating means otherwise.
+    """
     ok = ~np.isnan(x)
     linked = len(set(components(x)[ok.any(0)].tolist())) == 1
     fit = (lambda w, *_: _connected_fit(x, w)) if linked else lambda w, r, c: _two_way_fit(x, w, r, c, rounds)

@@ -62,14 +62,11 @@ def fragment_stats(quads: DataFrame, extractor: Callable[[Column], Column] | Non
 def covered(sequence: Column, peptides: Column) -> Column:
     """Percent (half to even) of the sequence's positions inside non-overlapping occurrences of any peptide, from the left."""
 
-    def starts(p: Column) -> Column:
-        size = F.length(p)
-        step = lambda a, i: F.when((F.substr(sequence, i, size) == p) & (i >= F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.when(F.size(a) > 0, size).otherwise(0)), F.concat(a, F.array(i))).otherwise(a)
-        places = F.when(F.length(sequence) >= size, F.sequence(F.lit(1), F.length(sequence) - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.array().cast("array<int>"), step)
-
-    spans = F.flatten(F.transform(F.filter(peptides, lambda p: F.length(p) > 0), lambda p: F.transform(starts(p), lambda s: F.sequence(s, s + F.length(p) - 1))))
-    return F.bround(F.size(F.array_distinct(F.flatten(spans))) * 100.0 / F.length(sequence), 0).cast("int")
+    marks = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    plain = F.translate(sequence, "\0", " ")
+    masks = F.transform(F.filter(peptides, lambda p: F.length(p) > 0), lambda p: marks(F.replace(plain, p, F.repeat(F.lit("\0"), F.length(p)))))
+    every = F.aggregate(masks, marks(plain), lambda a, m: F.zip_with(a, m, lambda x, y: F.when(y == "\0", y).otherwise(x)))
+    return F.bround(F.size(F.filter(every, lambda x: x == "\0")) * 100.0 / F.length(sequence), 0).cast("int")
 
 
 def coverage(groups: DataFrame, fasta: DataFrame) -> DataFrame:

@@ -361,12 +361,13 @@ def peptide_extract(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", annotate.strip_from_digit(F.concat("p_name", F.lit("(UniMod:4)"), F.col("p_size").cast("string"))).alias("peptide"))
 
 
-@_query("""with d as (select doc_id, left(text, 300) as s from documents), p as (select unnest(['the', 'er', 'and', 'tion']) as w),
-h as (select doc_id, s, w, i from d, p, unnest(range(1, length(s) + 1)) as u(i) where substr(s, i, length(w)) = w),
-m as (select doc_id, s, count(distinct i + k) as hit from h, unnest(range(0, length(w))) as v(k) group by doc_id, s)
-select doc_id::varchar as entity, case when length(s) = 0 then 0 else coalesce(round_even(100.0 * hit / length(s), 0), 0)::int end || '%' as coverage from d left join m using (doc_id, s)""")
+@_query("""with d as (select doc_id, text as s from documents), p as (select unnest(['the', 'er', 'and', 'tion']) as w),
+x as (select doc_id, w, unnest(string_split(s, w)) as piece, generate_subscripts(string_split(s, w), 1) as k from d, p where s is not null),
+y as (select doc_id, w, k, sum(length(piece) + length(w)) over (partition by doc_id, w order by k) - length(w) as i, count(*) over (partition by doc_id, w) as n from x),
+m as (select doc_id, count(distinct i + v) as hit from (select doc_id, i, unnest(range(length(w))) as v from y where k < n) group by doc_id)
+select doc_id::varchar as entity, case when length(s) = 0 then 0 else coalesce(round_even(100.0 * hit / length(s), 0), 0)::int end || '%' as coverage from d left join m using (doc_id)""")
 def sequence_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("entity"), F.substring("text", 1, 300).alias("sequence"))
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("entity"), F.col("text").alias("sequence"))
     words = F.array(*[F.lit(w) for w in ("the", "er", "and", "tion")])
     return annotate.coverage(docs.select("entity", words.alias("peptides")), docs.withColumnRenamed("entity", "accession"))
 
@@ -437,6 +438,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     number = spark.sparkContext._jvm.java.util.UUID.randomUUID()
     return f"{shared.rstrip('/')}/{name}-{number}" if shared else tempfile.mkdtemp(prefix=f"{name}-") + "/data"
 
