@@ -16,6 +16,7 @@ in one group, and nothing is emitted but each query's nearest.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,24 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
 
 
+def _centred(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """data around its mean, in units of its largest deviation, so that squares keep their digits; the mean and the unit."""
+    shift = (data / len(data)).sum(0)
+    unit = max(float(np.abs(data - shift).max()) or 1.0, 1e-290)
+    return (data - shift) / unit, shift, unit
+
+
+def _distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact distances of the rows of v from q; where squares overflow, in units of the largest difference."""
+    diff = v - q
+    with np.errstate(over="ignore"):
+        out = np.sqrt((diff**2).sum(1))
+    far = np.isinf(out)
+    unit = np.abs(diff[far]).max(1, initial=0)
+    out[far] = unit * np.sqrt(((diff[far] / unit[:, None]) ** 2).sum(1))
+    return out
+
+
 def _graph(sample):
     """Neighbours (row numbers in the sample) of the sample rows numbered in the batches."""
 
@@ -136,11 +155,12 @@ class Router:
 def fit_router(data: np.ndarray, near: np.ndarray, parts: int, epochs: int = 12) -> Router:
     """Fits on the sample; near: each row's neighbours in the sample."""
     n, dim = data.shape
-    shift, scale = data.mean(0), 1 / np.maximum(data.std(0), 1e-12)
+    even, shift, unit = _centred(data)
+    scale = 1 / np.maximum(even.std(0), 1e-12) / unit
     parts = max(1, min(parts, n // 32))
     if parts == 1:
         return Router(shift, scale, np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
-    part = balanced_partition(data, near, parts)
+    part = balanced_partition(even, near, parts)
     goal = np.zeros((n, parts))
     np.add.at(goal, (np.repeat(np.arange(n), near.shape[1]), part[near].ravel()), 0.5 / near.shape[1])
     goal[np.arange(n), part] += 0.5
@@ -177,7 +197,7 @@ def learn_partitions(vectors: DataFrame, sample: int = SAMPLE, parts: int = PART
     data = _matrix(picked.select("vector").toArrow().column(0)).astype(np.float64)
     if not len(data):
         return None
-    shared = spark.sparkContext.broadcast(data)
+    shared = spark.sparkContext.broadcast(_centred(data)[0])
     found = spark.range(0, len(data), 1, min(64, -(-len(data) // 512))).mapInArrow(_graph(shared), "id long, near array<long>").toArrow()
     near = _matrix(found.column("near")).astype(np.int64)[np.argsort(found.column("id").to_numpy())]
     return fit_router(data, near, parts)
@@ -211,14 +231,17 @@ def _compare(k: int):
         if queries.num_rows and vectors.num_rows:
             q, v = _matrix(queries.column("vector")), _matrix(vectors.column("vector"))
             own, ids = queries.column("query_id").to_numpy(), vectors.column("ids").to_pylist()
+            even, shift, unit = _centred(v)
+            size = (even * even).sum(1).max()
             for at in range(0, len(q), 256):
-                d = _squared(q[at : at + 256], v)
+                asked = (q[at : at + 256] - shift) / unit
+                d = _squared(asked, even)
                 m = min(k + 1, d.shape[1])  # its own vector may be among them
                 edge = np.partition(d, m - 1, axis=1)[:, m - 1]
-                slack = 1e-9 * (1 + np.abs(d).max(1))
+                slack = 1e-14 * (q.shape[1] + 8) * ((asked * asked).sum(1) + size)
                 for i in range(len(d)):
                     near = np.flatnonzero(d[i] <= edge[i] + slack[i])  # rounding of the product form cannot lose a tie
-                    exact = np.sqrt(((v[near] - q[at + i]) ** 2).sum(1))
+                    exact = _distances(v[near], q[at + i])
                     found = sorted((s, x) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for x in ids[j] if x != own[at + i])[:k]
                     n = len(found)
                     out.append(pa.record_batch([pa.array(np.full(n, own[at + i])), pa.array([x for _, x in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names))
@@ -231,13 +254,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMP
     """The k nearest rows found of every query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     rows and queries have vec_id and embedding; a query's own id is never its neighbour. Vectors that are
-    null, empty, zero, or hold a null or non-finite component, and rows of a null id, take no part; all
-    others have one length. Ties go to the smaller vec_id. A repeated id counts once for each distinct vector.
+    null, empty, zero, or hold a null or non-finite component, and rows of a null id, take no part. A query's
+    candidates are the vectors of its own length (each length is searched by itself). Ties go to the smaller vec_id. A repeated id counts once for each distinct vector.
     visits: partitions of a query; by default as many as the sample asks for. No rows: no result.
     """
     spark = rows.sparkSession
     vectors = tx.reliable(distinct_vectors(rows, k))
     asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).distinct()
+    lengths = [n for (n,) in vectors.select(F.size("vector")).distinct().collect()]  # a row for each length
+    if len(lengths) > 1:
+        own = lambda df, n: df.where(F.size("embedding") == n)
+        return reduce(DataFrame.unionByName, [nearest(own(rows, n), own(queries, n), k, sample, parts, visits) for n in lengths])
+    asked = asked.where(F.size("vector").isin(lengths))
     router = learn_partitions(vectors, sample, parts)
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -309,6 +309,20 @@ def test_nearest_ties_copies_and_odd_vectors(spark):
     assert ann_search.nearest(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_nearest_of_shifted_huge_and_unequal_vectors(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(0, 1, (300, 8))
+    for far in (data + 1e8, data * 1e160):
+        rows = table(spark, [(i, v.tolist()) for i, v in enumerate(far)] + [(900, [1.0, 2.0]), (901, [1.0, 3.0]), (902, [5.0])], "vec_id long, embedding array<double>")
+        found = ann_search.nearest(rows, rows.where("vec_id % 100 = 0"), k=10).orderBy("query_id", "rank").collect()
+        for q in (0, 100, 200):
+            unit = np.abs(far).max()
+            want = sorted((float(np.sqrt((((far[i] - far[q]) / unit) ** 2).sum())), i) for i in range(300) if i != q)[:10]
+            own = [r for r in found if r["query_id"] == q]
+            assert [r["vec_id"] for r in own] == [i for _, i in want] and [r["score"] / unit for r in own] == pytest.approx([d for d, _ in want], rel=1e-9)
+        assert [(r["vec_id"], r["score"]) for r in found if r["query_id"] == 900] == [(901, 1.0)]
+
+
 def test_balanced_partition():
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.normal(c, 0.1, (n, 4)) for c, n in ((0, 700), (5, 200), (9, 100))])
