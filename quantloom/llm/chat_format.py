@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose places are added up in one array.
+BLOCK = 256
 START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>\n"
 
 
@@ -55,9 +57,18 @@ def format_chat(rows: DataFrame) -> DataFrame:
 
     pieces = turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
     size = F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long"))
-    starts = F.aggregate(size, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    pieces = pieces.select("conv_id", "pieces", starts.alias("starts"))
-    spans = F.transform("pieces", lambda p, i: F.struct((F.get(F.col("starts"), i) + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")))
+    pieces = pieces.select("conv_id", "pieces", size.alias("sizes"))
+    # Running sums inside blocks of turns, and over the blocks: no array is copied once for each turn.
+    running = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("sizes"), F.lit(BLOCK)), lambda at: running(F.slice("sizes", at, F.lit(BLOCK))))
+    pieces = pieces.select("conv_id", "pieces", blocks.alias("inside"))
+    pieces = pieces.select("conv_id", "pieces", "inside", running(F.transform("inside", lambda b: F.element_at(b, -1))).alias("before"))
+
+    def start(i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        return F.get(F.col("before"), block) + F.get(F.get(F.col("inside"), block), i % BLOCK)
+
+    spans = F.transform("pieces", lambda p, i: F.struct((start(i) + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")))
     return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
