@@ -41,11 +41,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages in which records of known ids were damaged (first byte) or lost."""
-    records = warc_fixity.archive(_table(spark, sf_dir, "pages"))
     fate = F.crc32(F.col("page_id").cast("string").cast("binary")) % 101
-    damaged = F.when(fate == 3, F.overlay("record", F.lit("X"), 1)).otherwise(F.col("record"))
-    replica = records.where(fate.isNull() | (fate != 7)).withColumn("record", damaged)
-    return warc_fixity.audit(records, replica)
+    damaged = F.when(fate == 3, F.sha2(F.overlay("record", F.lit("X"), 1), 256)).otherwise(F.col("digest"))
+    records = warc_fixity.layout(_table(spark, sf_dir, "pages"), replica_digest=damaged)
+    replica = records.where(fate.isNull() | (fate != 7)).select("file", "offset", "length", F.col("replica_digest").alias("digest"))
+    return warc_fixity.audit(records.drop("replica_digest"), replica)
 
 
 def _crc32_sql(text: str) -> str:

@@ -20,6 +20,10 @@ from quantloom.llm import text as tx
 RANGE_BYTES = 64 << 10
 FANOUT = 64
 PAGES_PER_FILE = 512
+#: Digits of a digest by which a page's records are dealt; the place of null page ids, before all others.
+PREFIX, NO_PAGE = 3, -(1 << 63)
+#: Copies of one record that are made from one row at once.
+COPIES = 4096
 
 
 def _content(page: Column) -> Column:
@@ -32,27 +36,55 @@ def record_text(url: Column, html: Column) -> Column:
     return F.concat(head, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(_content(html)).cast("string"), F.lit("\r\n\r\n"), _content(html), F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame, pages_per_file: int = PAGES_PER_FILE) -> DataFrame:
-    """Records (file, offset, length, page_id, url, record) of pages laid out in files of neighbouring page_ids.
+def layout(pages: DataFrame, pages_per_file: int = PAGES_PER_FILE, **more: Column) -> DataFrame:
+    """file, offset, length, digest and page_id of the records of pages, laid out in files of neighbouring page_ids.
 
     A file's records stand in order of page_id, then digest; null page_ids have file -1. Equal rows are
-    records of their own, one after the other. Other columns of pages are not read.
+    records of their own, one after the other. more: columns made of `record`, `digest` and `page_id` that come along.
+    Other columns of pages are not read. An empty table gives no rows.
+
+    Texts are hashed where they are read and go no further. Equal records are counted before they are shuffled, and a
+    file's offsets are added up by page and PREFIX digits of the digest first, so neither a page id nor a file (that of
+    the null ids, say) with a third of all rows is ordered in one task. The result is kept in the checkpoint folder.
+    """
+    page_id = F.col("page_id").cast("long")
+    file = F.coalesce(F.floor(page_id / pages_per_file), F.lit(-1)).cast("long")
+    rows = pages.select(page_id.alias("page_id"), record_text(F.col("url"), F.col("html")).alias("record"), file.alias("file"))
+    rows = rows.withColumns({"page": F.coalesce("page_id", F.lit(NO_PAGE)), "length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    rows = rows.select("file", "page", "digest", "length", F.substring("digest", 1, PREFIX).alias("part"), *[c.alias(name) for name, c in more.items()])
+    groups = rows.groupBy("file", "page", "part", "digest", "length", *more).agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("file", "page", "part").agg(F.sum(F.col("length") * F.col("n")).alias("bytes"))
+    before = lambda what, order: F.coalesce(F.sum(what).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.select("file", "page", "part", before("bytes", Window.partitionBy("file").orderBy("page", "part")).alias("base"))  # a row per page and prefix
+    inner = before(F.col("length") * F.col("n"), Window.partitionBy("file", "page", "part").orderBy("digest"))
+    placed = groups.join(parts, ["file", "page", "part"]).withColumn("start", F.col("base") + inner)
+    copies = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    copies = copies.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + COPIES, F.col("n")) - 1)))
+    page_id = F.when((F.col("file") != -1) | (F.col("page") != NO_PAGE), F.col("page"))
+    return tx.reliable(copies.select("file", (F.col("start") + F.col("copy") * F.col("length")).alias("offset"), "length", "digest", page_id.alias("page_id"), *more))
+
+
+def archive(pages: DataFrame, pages_per_file: int = PAGES_PER_FILE) -> DataFrame:
+    """The layout of pages with url and record (the text itself), for writing files: file, offset, length, page_id, url, record.
+
+    A null url is empty. Texts are shuffled once here, each different record of a page once.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", record_text(F.col("url"), F.col("html")).alias("record"))
-    file = F.coalesce(F.floor(F.col("page_id") / pages_per_file), F.lit(-1)).cast("long")
-    rows = rows.select(file.alias("file"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "page_id", "url", "record")
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "digest")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("file", F.coalesce(before, F.lit(0)).alias("offset"), "length", "page_id", "url", "record")
+    places = layout(pages, pages_per_file).withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
+    record = record_text(F.col("url"), F.col("html"))
+    texts = pages.select(F.col("page_id").cast("long").alias("page_id"), _content(F.col("url")).alias("url"), record.alias("record"), F.sha2(record, 256).alias("digest")).dropDuplicates(["page_id", "digest"])
+    both = places.join(texts, (F.col("_digest") == F.col("digest")) & F.col("_page").eqNullSafe(F.col("page_id")))
+    return both.select("file", "offset", "length", "page_id", "url", "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, offset, length and digest of records that have file, offset and record; the text itself goes no further.
+    """file, offset, length and digest of records that have file, offset and record, or length and digest in its stead.
 
     A null record counts as empty; rows without file or offset cannot be placed and are left out. Of several
     records at one place, the digest covers all (their sorted digests), so a repeated row is one leaf still.
     """
-    rows = records.where("file is not null and offset is not null").select("file", "offset", F.octet_length(_content(F.col("record"))).cast("long").alias("length"), F.sha2(_content(F.col("record")), 256).alias("digest"))
+    rows = records.where("file is not null and offset is not null")
+    if "record" in records.columns:
+        rows = rows.select("file", "offset", F.octet_length(_content(F.col("record"))).cast("long").alias("length"), F.sha2(_content(F.col("record")), 256).alias("digest"))
     one = rows.groupBy("file", "offset", "digest").agg(F.max("length").alias("length"))
     places = one.groupBy("file", "offset").agg(F.max("length").alias("length"), F.count("*").alias("n"), F.max("digest").alias("top"), F.sha2(F.array_join(F.array_sort(F.collect_set("digest")), ","), 256).alias("all"))
     return places.select("file", "offset", "length", F.when(F.col("n") == 1, F.col("top")).otherwise(F.col("all")).alias("digest"))
@@ -118,7 +150,7 @@ def damaged_ranges(a: Tree, b: Tree, depth: tuple[int, int]) -> DataFrame:
 
 
 def audit(original: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """file, offset, length, digest and status of every record of two archives (columns file, offset, record).
+    """file, offset, length, digest and status of every record of two archives (file and offset, with record, or with its length and digest).
 
     status: ok; changed (other bytes in the replica); lost (none there); extra (only there: its own length and
     digest). replica_digest is null where the replica has none. Two empty archives give no rows.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -181,6 +182,25 @@ def test_warc_fixity(spark):
     assert warc_fixity.damaged_ranges(tree[0], tree[0], depth).count() == 0
 
 
+def test_warc_layout_of_hot_pages(spark):
+    """Null ids, one id with many records and many equal records stand where a plain walk through the files puts them."""
+    rows = [(None, f"n{i}", "x" * (i % 7), 1) for i in range(300)] + [(5, f"v{i}", "", 1) for i in range(300)] + [(6, "same", "y", 1)] * (warc_fixity.COPIES + 300) + [(-1, None, None, 1), (-513, "a", "b", 1), (None, "n1", "x", 1)]
+    pages = table(spark, rows, "page_id long, url string, html string, digest int")  # the last clashes with an inner name
+    found = warc_fixity.layout(pages, 512).select("file", "offset", "length", "digest", "page_id").collect()
+    records: dict = {}
+    for page, url, html, _ in rows:
+        text = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {url or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(html or '')}\r\n\r\n{html or ''}\r\n\r\n".encode()
+        records.setdefault(-1 if page is None else page // 512, []).append((page is not None, page or 0, hashlib.sha256(text).hexdigest(), len(text), page))
+    want = []
+    for file, own in records.items():
+        at = 0
+        for _, _, digest, size, page in sorted(own, key=lambda r: r[:3]):
+            want.append((file, at, size, digest, page))
+            at += size
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert warc_fixity.layout(pages.limit(0)).count() == 0
+
+
 def test_warc_fixity_of_nothing(spark):
     empty = table(spark, [], "file long, offset long, record string")
     assert warc_fixity.audit(empty, empty).count() == 0
@@ -219,6 +239,7 @@ def test_chat_format_round_trip(spark):
     rng = random.Random(2)
     parts = ["<|im_end|>\n", "<|im_start|>", "<|turn|>", "<\\|", "\\", "\n", "<", "|", "a", "é", ""]
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "sy\nst\\nem", "<|x|>"]), "".join(rng.choices(parts, k=rng.randrange(6)))) for c in range(40) for t in range(rng.randrange(1, 6))]
+    rows += [(53, t, "assistant" if t % 3 else "user", f"{t}<|") for t in range(2 * chat_format.BLOCK + 3)]
     rows += [(50, None, None, None), (50, 1, "assistant", None), (None, 0, "user", "x"), (51, 0, "assistant", "twice"), (51, 0, "assistant", "twice"), (52, 0, "assistant", "long " * 50_000)]
     done = chat_format.format_chat(table(spark, [(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns int"))
     read = done.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
