@@ -6,6 +6,10 @@ import gc
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows that are sent to every task at most.
+SMALL = 1 << 16
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,3 +43,8 @@ def released(df: DataFrame) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has SMALL rows at most: they are counted. A larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.durable import durable
+from quantloom.durable import durable, small
 from quantloom.errors import EmptySample, UnknownName
 
 #: Value ranges of a key that the first pass of an exact median counts.
@@ -20,29 +21,37 @@ def log2_cutoff(df: DataFrame, cutoff: float | None = 0.0) -> DataFrame:
     return out if cutoff is None else out.where(F.col("quant") > cutoff)
 
 
-def exact_median(df: DataFrame, keys: Iterable[str], value: str = "quant", name: str = "median") -> DataFrame:
-    """The exact median of value by key, for keys of any size; null and NaN are left out.
+def exact_quantiles(df: DataFrame, keys: Iterable[str], shares: dict[str, float], value: str = "quant") -> DataFrame:
+    """Exact interpolated quantiles of value by key (shares: column name to share), for keys of any size; null and NaN are left out.
 
-    A key's values are counted in RANGES equal ranges; only the ranges with the middle ranks are then counted
-    by single value. So no task ever holds a key's values, unlike a plain median aggregate. The three passes over
-    df run when this is called; only their small results are kept.
+    A key's values are counted in RANGES equal ranges; only the ranges with the wanted ranks are then counted
+    by single value. So no task ever holds a key's values, unlike a plain percentile aggregate. The three passes over
+    df run when this is called; only their small results are kept, and rows meet them without a shuffle.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"))
     bounds = durable(rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")))  # a row per key
     width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / RANGES)
     at = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(0))
-    placed = rows.join(bounds, keys).withColumn("_range", at)
+    placed = rows.join(small(bounds), keys).withColumn("_range", at)
     counted = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    place = lambda share: (F.col("_n") - 1) * F.lit(float(share))
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-    middle = durable(counted.withColumn("_before", before).where(holds(low) | holds(high)).select(*keys, "_range", "_before"))  # two rows per key
-    values = placed.join(middle, [*keys, "_range"]).groupBy(*keys, "_range", "_before", "_v").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    wanted = reduce(Column.__or__, [holds(edge(place(p))) for p in shares.values() for edge in (F.floor, F.ceil)])
+    middle = durable(counted.withColumn("_before", before).where(wanted).select(*keys, "_range", "_before"))  # two rows at most per key and share
+    values = placed.join(small(middle), [*keys, "_range"]).groupBy(*keys, "_range", "_before", "_v").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     inner = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = values.withColumn("_before", F.col("_before") + inner)
     pick = lambda rank: F.max(F.when(holds(rank), F.col("_v")))
-    return durable(found.groupBy(*keys).agg(((pick(low) + pick(high)) / 2).alias(name)))
+    picked = found.groupBy(*keys).agg(F.first("_n").alias("_n"), *[pick(edge(place(p))).alias(f"_{side}{i}") for i, p in enumerate(shares.values()) for side, edge in (("low", F.floor), ("high", F.ceil))])
+    part = lambda p: place(p) - F.floor(place(p))
+    return durable(picked.select(*keys, *[(F.col(f"_low{i}") * (1 - part(p)) + F.col(f"_high{i}") * part(p)).alias(name) for i, (name, p) in enumerate(shares.items())]))
+
+
+def exact_median(df: DataFrame, keys: Iterable[str], value: str = "quant", name: str = "median") -> DataFrame:
+    """The exact median of value by key, for keys of any size; null and NaN are left out."""
+    return exact_quantiles(df, keys, {name: 0.5}, value)
 
 
 def shift_factors(df: DataFrame, value: str = "quant") -> DataFrame:
@@ -65,7 +74,7 @@ def median_normalize(df: DataFrame, mode: str = "median", samples: DataFrame | N
         empty = samples.select("sample").distinct().join(df.select("sample").distinct(), "sample", "left_anti").first()
         if empty:
             raise EmptySample(f"sample '{empty[0]}' has no value above the cutoff")
-    return df.join(shift_factors(df), "sample").withColumn("quant", F.col("quant") + F.col("factor")).drop("factor")
+    return df.join(small(shift_factors(df)), "sample").withColumn("quant", F.col("quant") + F.col("factor")).drop("factor")
 
 
 def median_normalize_linear(df: DataFrame) -> DataFrame:
@@ -73,4 +82,4 @@ def median_normalize_linear(df: DataFrame) -> DataFrame:
     medians = exact_median(df, ["sample"])
     mean = medians.agg(F.avg("median").alias("mean"))
     factors = medians.crossJoin(F.broadcast(mean)).select("sample", (F.col("mean") / F.col("median")).alias("factor"))  # one row
-    return df.join(factors, "sample").withColumn("quant", F.col("quant") * F.col("factor")).drop("factor")
+    return df.join(small(factors), "sample").withColumn("quant", F.col("quant") * F.col("factor")).drop("factor")

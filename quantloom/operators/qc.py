@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.normalize import exact_median
+from quantloom.durable import small
+from quantloom.operators.normalize import exact_median, exact_quantiles
 
 
 def histogram(df: DataFrame, bins: int = 100, value: str = "quant") -> DataFrame:
@@ -21,16 +22,15 @@ def histogram(df: DataFrame, bins: int = 100, value: str = "quant") -> DataFrame
 
 def box_stats(df: DataFrame, value: str = "quant") -> DataFrame:
     """n, min, quartiles and max by sample: Tukey's hinges are left to the plot, quartiles interpolate."""
-    return df.groupBy("sample").agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.75)).alias("q3"), F.max(value).alias("max"),
-    )
+    ends = df.groupBy("sample").agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    quartiles = exact_quantiles(df, ["sample"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, value)
+    return ends.join(small(quartiles), "sample", "left").select("sample", "n", "min", "q1", "median", "q3", "max")
 
 
 def cutoff_report(df: DataFrame, cutoff: float) -> DataFrame:
     """How many values each sample has, how many the cutoff leaves, and the median before."""
     counts = df.groupBy("sample").agg(F.count("quant").alias("n"), F.count_if(F.col("quant") > cutoff).alias("n_above"))
-    return counts.join(exact_median(df, ["sample"]), "sample")
+    return counts.join(small(exact_median(df, ["sample"])), "sample")
 
 
 def entity_series(cells: DataFrame, entity, per_column: int = 12) -> DataFrame:

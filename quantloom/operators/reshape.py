@@ -118,6 +118,11 @@ def long_to_wide(df: DataFrame, samples: list, value: str = "estimate") -> DataF
     return df.groupBy("entity").pivot("sample", samples).agg(F.first(value))
 
 
+def in_id_order(df: DataFrame, ids: DataFrame, key: str = "entity", place: str = "place") -> DataFrame:
+    """The rows of df whose key is in ids (columns key and place), in the order of place; an id without rows has one of nulls."""
+    return ids.select(col(key), col(place)).join(df.drop(place), key, "left").orderBy(place)
+
+
 def wide_to_long(df: DataFrame, id_column: str, quant_columns: list[str]) -> DataFrame:
     """entity, ion (the row's number), sample, quant and sample_at; rows of a null or empty id, and null values, go."""
     rows = df.where(col(id_column).isNotNull() & (col(id_column).cast("string") != "")).withColumn("_row", F.monotonically_increasing_id())

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from quantloom import sql as sql_surface
 from quantloom.operators import annotate, normalize, qc, quantify, reshape
 from quantloom.operators import predicates as P
-from quantloom.operators.grouped import quantify_grouped
+from quantloom.operators.grouped import quantify_grouped, sample_axis
 from quantloom.plans import pipelines
 from quantloom.roles import Filters, Roles
+from quantloom.sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -406,6 +407,48 @@ def scan_delimited(spark: SparkSession, sf: str) -> DataFrame:
     return quads.groupBy("entity", "ion", "sample").agg(F.count("*").alias("n"), _r(F.sum("quant"), "total", 4))
 
 
+@_query("select l_suppkey::varchar as entity, l_partkey || '_1' as ion, l_linestatus as sample, count(*)::bigint as n, round(sum(l_quantity), 4) as total from lineitem where l_linestatus <> 'O' and l_tax > 0.03 group by all")
+def scan_gzip(spark: SparkSession, sf: str) -> DataFrame:
+    """As scan_delimited, of gzipped files."""
+    path = _scratch(spark, "report")
+    _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_linestatus", "l_tax", "l_quantity").write.csv(path, sep="\t", header=True, quote="", compression="gzip")
+    roles = Roles(sample="l_linestatus", primary="l_suppkey", secondary=("l_partkey",), intensity="l_quantity", filters=Filters(not_equal={"l_linestatus": "O"}, greater={"l_tax": 0.03}))
+    quads, _ = pipelines.load_quads(path, roles, spark)
+    return quads.groupBy("entity", "ion", "sample").agg(F.count("*").alias("n"), _r(F.sum("quant"), "total", 4))
+
+
+@_query(_cte("A") + "select entity, sample::varchar as sample, round(avg(quant), 6) as estimate from c group by all")
+def wide_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes estimates as a wide tab-separated file and reads it back."""
+    cells, path = _cells(spark, sf, "A"), _scratch(spark, "wide")
+    samples = sample_axis(cells)
+    delimited.write_wide(reshape.long_to_wide(quantify.mean_intensity(cells), samples), path)
+    found = reshape.wide_to_long(delimited.read_wide(spark, path), "entity", [str(s) for s in samples])
+    return found.select("entity", "sample", _r("quant", "estimate"))
+
+
+@_query(_cte("B") + "select entity::varchar as entity, ion::varchar as ion, sample::varchar as sample, round(quant, 6) as quant from c")
+def directory_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the store in the literal directory layout and reads that back; its folder must be mounted everywhere."""
+    from quantloom.sources import store
+
+    kept, path = _scratch(spark, "store"), _scratch(spark, "directory").removeprefix("file://")
+    store.write_store(_long(spark, sf, "B"), kept)
+    store.write_directory(spark, kept, path)
+    entities, samples, ions = (d.drop("annotation") for d in store.directory_dims(spark, path))
+    facts = spark.read.format("iondir").load(path)
+    cells = facts.join(entities, "entity_idx").join(samples, "sample_idx").join(ions, "ion_idx")
+    return reshape.log_cells(reshape.cells(cells, "sum")).select("entity", "ion", "sample", _r("quant", "quant"))
+
+
+@_query("""with f as (select p_brand as entity, avg(p_retailprice) as price from part group by 1), i as (select 'Brand#' || (55 - range) as entity, range as place from range(55))
+select place, entity, round(price, 4) as price from i left join f using (entity)""")
+def in_id_order(spark: SparkSession, sf: str) -> DataFrame:
+    prices = _t(spark, sf, "part").groupBy(F.col("p_brand").alias("entity")).agg(F.avg("p_retailprice").alias("price"))
+    ids = spark.range(55).select(F.concat(F.lit("Brand#"), (55 - F.col("id")).cast("string")).alias("entity"), F.col("id").alias("place"))
+    return reshape.in_id_order(prices, ids).select("place", "entity", _r("price", "price", 4))
+
+
 # Pipelines --------------------------------------------------------------------------------------------------------------
 
 _REPORT = Roles(sample="year", primary="p_brand", secondary=("l_partkey",), intensity="price", annotation=("p_mfgr",), filters=Filters(equal={"l_linestatus": "F"}, less={"l_discount": 0.08}))
@@ -453,6 +496,23 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.log_cells(reshape.cells(store.store_cells(spark, path), "sum")).select("entity", "ion", "sample", _r("quant", "quant"))
 
 
+@_query(f"with t as ({_ROWS['B']}) select entity, ion, sample, l_orderkey, l_linenumber, round(log2(quant), 6) as quant from t where quant > 0 and log2(quant) > 12")
+def normalize_none(spark: SparkSession, sf: str) -> DataFrame:
+    """log2 and cutoff without normalisation."""
+    found = pipelines.preprocess(_long(spark, sf, "B"), 12.0, "none")
+    return found.select("entity", "ion", "sample", F.col("row_no.l_orderkey").alias("l_orderkey"), F.col("row_no.l_linenumber").alias("l_linenumber"), _r("quant", "quant"))
+
+
+@_query(f"""with t as ({_ROWS['A']}), c as (select *, log2(quant) as q from t where sample <> 1995 and quant > 1),
+m as (select sample, median(q) as m from c group by sample), a as (select avg(m) as a from m)
+select entity, ion, sample, l_orderkey, l_linenumber, round(q + a - m, 6) as quant from c join m using (sample), a""")
+def normalize_drop_empty_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample of which the cutoff leaves nothing is left out, and the others are normalised."""
+    rows = _long(spark, sf, "A").withColumn("quant", F.when(F.col("sample") == 1995, 1.0).otherwise(F.col("quant")))
+    found = pipelines.preprocess(rows, 0.0, on_empty_sample="drop")
+    return found.select("entity", "ion", "sample", F.col("row_no.l_orderkey").alias("l_orderkey"), F.col("row_no.l_linenumber").alias("l_linenumber"), _r("quant", "quant"))
+
+
 @_query(_cte("A") + "select entity, sample, round(log2(sum(pow(2.0, quant))), 6) as estimate from c group by all")
 def udf_method(spark: SparkSession, sf: str) -> DataFrame:
     import numpy as np
