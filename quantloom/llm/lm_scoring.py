@@ -5,12 +5,17 @@ documents; if so, the bits of its code (of its first two bytes, its last two, an
 the other, and then the word among the known words of that code by its count; if not, its bytes, bit by bit.
 Each decision of the code is predicted by the corpus alone and by two hashed contexts (the last of the most
 frequent words, which tells the language, and the previous two words, which know repeated passages); a
-context's counts are smoothed by the predictor before it. A mixer adds their stretched probabilities with weights gated by the code's bit and by how often the longest context was seen,
-and refines the weights after every token by the coding error. The weights start anew for every SEGMENT
+context's counts are smoothed by the predictor before it. A fourth predictor follows passages of the training
+documents: at an anchor (a place whose ANCHOR words before it have a hash of a certain form) the words are looked
+up, and what came after them predicts each next word until the next anchor; it is trusted by how many
+words it has got right in a row. A mixer adds the stretched probabilities with weights gated by the code's bit
+and by that trust or, where no passage is followed, by how often the longest context was seen, and refines the
+weights after every token by the coding error. The weights start anew for every SEGMENT
 tokens, so documents never learn from each other while they are scored.
 
-What is learned comes from the training documents alone and grows with them: exact counts of all distinct words,
-joined to the words of each chunk of documents. What is broadcast has a fixed size: the context tables
+What is learned comes from the training documents alone and grows with them: exact counts of all distinct words
+and the passages after all anchors, joined to the words and anchors of each chunk of documents. A training document
+only follows passages that the training documents hold twice at least. What is broadcast has a fixed size: the context tables
 (TABLE_BITS), which are summed over all training documents in two streaming rounds, the counts of the
 2**CODE_BITS codes, and those of the FREQUENT most frequent words, which so need no join.
 """
@@ -41,6 +46,12 @@ CONTEXTS = 2
 #: The bytes of unknown words are predicted from so many bytes before.
 ORDERS = (2, 3)
 LETTERS = len(ORDERS)
+#: Words that make an anchor, log2 of the number of places to one anchor, and the most words that are remembered after it.
+ANCHOR, ANCHOR_BITS, RUN = 4, 4, 256
+#: Bits of a remembered word: its code and some more of its hash.
+ID_BITS = 16
+#: Share of predicted words that come, by trust: none followed; the last was wrong; new; 1-3, 4-15 and more right ones before.
+FOLLOWED = np.array([0, 0.25, 0.6, 0.9, 0.97, 0.99])
 SEGMENT = 1024
 BLOCK = 1 << 14
 #: Bytes of text of a chunk; a longer document is a chunk of its own. Its tokens are scored so many at a time.
@@ -51,12 +62,12 @@ SMOOTH = (20.0, 2.0)
 LETTER_SMOOTH = (0.5, 2.0)
 #: Weights of the stretched letter predictors.
 LETTER_WEIGHTS = (0.4, 0.8)
-START = np.array([0.1, 0.6, 0.5], dtype=np.float32)
+START = np.array([0.1, 0.6, 0.5, 1.0], dtype=np.float32)
 RATE = 0.06
 #: Tokens that the corpus-wide share of unknown words weighs for in a document.
 UNKNOWN_WEIGHT = 60.0
 END = np.uint64(0x9B97F4A7C15D1CE4)
-GATES = 3
+GATES = 3 + len(FOLLOWED) - 1
 
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, learn array<boolean>, sizes array<int>, tokens binary, spelling binary"
 RESULT = "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
@@ -137,6 +148,19 @@ class _Chunk:
         out = [near, tx.mix(first * _U(3) ^ tx.mix(second + _U(7)))]
         return [(x >> _U(32)).astype(np.uint32) * np.uint32(2 * k + 3) for k, x in enumerate(out)]
 
+    def ids(self) -> np.ndarray:
+        return (self.words >> _U(64 - ID_BITS)).astype(np.uint16)[self.tokens]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the anchors and their places in ascending order, the tokens from each to the next or to the end of its document, and whether that is a training document."""
+        hashes = tx.windows_hash(self.words[self.tokens], ANCHOR)[:-1]
+        at = np.flatnonzero(hashes >> _U(64 - ANCHOR_BITS) == 0) + ANCHOR
+        doc = np.searchsorted(self.starts, at, side="right") - 1
+        own = at - self.starts[doc] >= ANCHOR
+        at, doc = at[own], doc[own]
+        size = np.minimum(np.append(at[1:], len(self.tokens)), (self.starts + self.sizes)[doc]) - at
+        return hashes[at - ANCHOR], at, size, self.learn[doc]
+
     def letters(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Bytes of these words (each closed by a blank), their contexts (the bytes before), and the word of each byte."""
         data, begins = self.data, self.begins
@@ -167,6 +191,68 @@ def _counts(batches):
         yield pa.record_batch([tx.as_long(c.words[own]), pa.array(n[own])], ["word", "n"])
 
 
+def _stretches(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places at[k], at[k] + 1, ... of size[k] tokens each, one after the other."""
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _passages(batches):
+    """Anchors of the training documents, how often each occurs, and the words after it: the most; of as many, those of the highest hash."""
+    for _, _, c in _rows(batches):
+        key, at, size, learn = c.anchors()
+        key, at, size = key[learn], at[learn], np.minimum(size[learn], RUN)
+        if not len(key):
+            continue
+        ids, flat = c.ids(), _stretches(at, size)
+        inner = flat - np.repeat(at, size)
+        value = np.add.reduceat(tx.mix(ids[flat].astype(_U) + (inner.astype(_U) << _U(ID_BITS))), np.cumsum(size) - size)
+        rank = (size.astype(np.int64) << 48) | (value >> _U(16)).astype(np.int64)
+        order = np.lexsort((-rank, key))
+        first = np.flatnonzero(np.append(True, np.diff(key[order].view(np.int64)) != 0))
+        n, own = np.diff(np.append(first, len(key))), order[first]
+        data = ids[_stretches(at[own], size[own])].astype("<u2").tobytes()
+        after = tx.binary_rows(data, 2 * np.append(0, np.cumsum(size[own])))
+        yield pa.record_batch([tx.as_long(key[own]), pa.array(n, pa.int64()), pa.array(rank[own]), after], ["anchor", "n", "rank", "after"])
+
+
+def _anchors(batches):
+    """(chunk, anchor, least) of all anchors: least is how often the training documents must hold it."""
+    for row, i, c in _rows(batches):
+        key, _, _, learn = c.anchors()
+        key, number = np.unique(key, return_inverse=True)
+        free = np.bincount(number.ravel(), weights=~learn, minlength=len(key)) > 0
+        yield pa.record_batch([pa.array(np.full(len(key), row["chunk"][i].as_py(), np.int64)), tx.as_long(key), pa.array(np.where(free, 1, 2), pa.int32())], ["chunk", "anchor", "least"])
+
+
+def _follow(c: _Chunk, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """The id that passages predict for every token (or -1), and how far to trust it (0: no prediction)."""
+    ids = c.ids().astype(np.int32)
+    predicted = np.full(len(ids), -1, dtype=np.int32)
+    if not found:
+        return predicted, np.zeros(len(ids), np.int64)
+    known = np.array([x["anchor"] for x in found], dtype=np.int64).view(_U)
+    order = np.argsort(known)
+    many = np.array([x["n"] for x in found])
+    length = np.array([len(x["after"]) // 2 for x in found])
+    after = np.frombuffer(b"".join(x["after"] for x in found), dtype="<u2")
+    key, at, _, learn = c.anchors()
+    k = _find(known[order], key)
+    k = np.where(k >= 0, order[k], -1)
+    use = (k >= 0) & (many[k] >= 1 + learn)
+    k, at = k[use], at[use]
+    end = (c.starts + c.sizes)[np.searchsorted(c.starts, at, side="right") - 1]
+    size = np.minimum(np.minimum(length[k], np.append(at[1:], len(ids)) - at), end - at)  # the next anchor takes over
+    predicted[_stretches(at, size)] = after[_stretches((np.cumsum(length) - length)[k], size)]
+    right, place = predicted == ids, np.arange(len(ids))
+    wrong = np.maximum.accumulate(np.where(right, -1, place))
+    before = np.zeros(len(ids), np.int64)
+    before[1:] = place[:-1] - wrong[:-1]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = predicted[:-1] < 0
+    trust = np.where(before > 0, 3 + (before > 3) + (before > 15), 1 + fresh)
+    return predicted, np.where(predicted >= 0, trust, 0)
+
+
 def _find(sorted_words: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The place of each word in the sorted ones, or -1."""
     if not len(sorted_words):
@@ -251,15 +337,17 @@ class LanguageModel:
     train_tokens: int
     distinct: int
     single: int
-    codes: np.ndarray  # training tokens of each code
+    ids: np.ndarray  # training tokens of each id of ID_BITS
+    codes: np.ndarray  # and of each code
     top: np.ndarray  # ids of the TOP most frequent words, sorted
     frequent: np.ndarray  # and of the FREQUENT ones
     counts: np.ndarray  # and how often these occur
     tables: np.ndarray  # contexts x (ones, all) x slots
     words: DataFrame  # word, n: all distinct words of the training documents
+    passages: DataFrame  # anchor, n, after: all their anchors
 
     def shared(self) -> LanguageModel:
-        return replace(self, words=None)
+        return replace(self, words=None, passages=None)
 
 
 def chunk_documents(docs: DataFrame, learn: Column) -> DataFrame:
@@ -274,10 +362,12 @@ def learn_model(chunks: DataFrame) -> LanguageModel:
     counted = chunks.mapInArrow(_counts, "word long, n long")
     words = tx.reliable(counted.groupBy("word").agg(F.sum("n").alias("n")))
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
-    code = F.shiftrightunsigned("word", 64 - CODE_BITS)
-    codes = np.zeros(1 << CODE_BITS)
-    for k, n in words.groupBy(code.alias("code")).agg(F.sum("n")).collect():  # 2**CODE_BITS rows
-        codes[k] = n
+    ids = np.zeros(1 << ID_BITS)
+    counts = words.groupBy(F.shiftrightunsigned("word", 64 - ID_BITS).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # 2**ID_BITS rows at most
+    ids[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
+    codes = ids.reshape(1 << CODE_BITS, -1).sum(1)
+    passages = chunks.mapInArrow(_passages, "anchor long, n long, rank long, after binary").groupBy("anchor").agg(F.sum("n").alias("n"), F.max(F.struct("rank", "after")).alias("x"))
+    passages = passages.select("anchor", "n", "x.after")
     often = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     frequent, counts = often.column("word").to_numpy().view(_U), often.column("n").to_numpy()
     top, order = np.sort(frequent[:TOP]), np.argsort(frequent)
@@ -291,7 +381,7 @@ def learn_model(chunks: DataFrame) -> LanguageModel:
         k, b = divmod(block, (2 << TABLE_BITS) // BLOCK)
         tables[k, b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(unpack(bytes(data)), dtype=np.int64)
     pairs = tables.reshape(CONTEXTS + LETTERS, 1 << TABLE_BITS, 2)
-    return LanguageModel(whole["n"], whole["v"], whole["one"], codes, top, frequent[order], counts[order], np.stack([pairs[:, :, 1], pairs.sum(2)], axis=1), words)
+    return LanguageModel(whole["n"], whole["v"], whole["one"], ids, codes, top, frequent[order], counts[order], np.stack([pairs[:, :, 1], pairs.sum(2)], axis=1), words, passages)
 
 
 def _code_tree(codes: np.ndarray) -> np.ndarray:
@@ -309,7 +399,7 @@ def _stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _mixed(m: LanguageModel, tree: np.ndarray, c: _Chunk, known: np.ndarray) -> np.ndarray:
+def _mixed(m: LanguageModel, tree: np.ndarray, c: _Chunk, known: np.ndarray, predicted: np.ndarray, trust: np.ndarray) -> np.ndarray:
     """Natural log probability of each known token's code."""
     contexts, plain = c.contexts(m.top), _stretch(tree)
     whole = -(-c.sizes // SEGMENT)
@@ -320,13 +410,16 @@ def _mixed(m: LanguageModel, tree: np.ndarray, c: _Chunk, known: np.ndarray) ->
     for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // TOKENS)) + 1):
         lo, hi = int(begin[own[0]]), int(begin[own[-1]] + size[own[-1]])
         code = c.codes[c.tokens[lo:hi]]
-        out[lo:hi] = _mixed_lanes(m, tree, plain, code, [x[lo:hi] for x in contexts], known[lo:hi], begin[own] - lo, size[own])
+        out[lo:hi] = _mixed_lanes(m, tree, plain, code, [x[lo:hi] for x in contexts], known[lo:hi], predicted[lo:hi] >> (ID_BITS - CODE_BITS), trust[lo:hi], begin[own] - lo, size[own])
     return out
 
 
-def _mixed_lanes(m: LanguageModel, tree, plain, code, contexts, known, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _mixed_lanes(m: LanguageModel, tree, plain, code, contexts, known, predicted, trust, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     n = len(code)
-    flat = np.empty((CODE_BITS, CONTEXTS + 1, n), dtype=np.float32)
+    follows = bool(trust.any())
+    many = CONTEXTS + 1 + follows
+    flat = np.empty((CODE_BITS, many, n), dtype=np.float32)
+    strength = np.log((1 + FOLLOWED) / (1 - FOLLOWED)).astype(np.float32)[trust]
     sign = np.empty((CODE_BITS, n), dtype=np.float32)
     gate = np.zeros(n, dtype=np.int64)
     for b in range(CODE_BITS):
@@ -341,12 +434,17 @@ def _mixed_lanes(m: LanguageModel, tree, plain, code, contexts, known, begin: np
             flat[b, k + 1] = _stretch(p)
             if b == CODE_BITS - 1 and k == CONTEXTS - 1:
                 gate = (both > 0.5).astype(np.int64) + (both > 3.5)
-    inputs = np.ascontiguousarray(flat.reshape(-1, n).T).reshape(n, CODE_BITS, CONTEXTS + 1)
+        if follows:  # the predicted bit, as long as those before it came
+            ahead = _nodes(predicted, CODE_BITS, b)
+            flat[b, -1] = np.where(ahead[0] == node, strength * (2 * ahead[1] - 1), 0)
+    if follows:
+        gate = np.where(trust > 0, 2 + trust, gate)
+    inputs = np.ascontiguousarray(flat.reshape(-1, n).T).reshape(n, CODE_BITS, many)
     sign = np.ascontiguousarray(sign.T)
     # A segment is a lane, longest first; step t takes token t of every lane that has one.
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    weights = np.broadcast_to(START, (len(size), GATES, CODE_BITS, CONTEXTS + 1)).copy()
+    weights = np.broadcast_to(START[:many], (len(size), GATES, CODE_BITS, many)).copy()
     alive = np.searchsorted(-size, -np.arange(1, int(size.max()) + 1), side="right")
     dots = np.empty((n, CODE_BITS), dtype=np.float32)
     rate = known.astype(np.float32) * np.float32(RATE)
@@ -380,6 +478,19 @@ def _spelled(m: LanguageModel, c: _Chunk, which: np.ndarray) -> np.ndarray:
     return np.bincount(owner, weights=total, minlength=len(which))
 
 
+def _inside(m: LanguageModel, n: np.ndarray, ids: np.ndarray, predicted: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """Natural log probability of each known token (it occurs n times) given its code: whether it has the predicted id, if its code came, and its share of what is left."""
+    own, code = m.ids[ids], m.codes[ids >> (ID_BITS - CODE_BITS)]
+    left = np.log(np.maximum(n, 1) / np.maximum(code, 1))
+    at = np.flatnonzero((trust > 0) & (predicted >> (ID_BITS - CODE_BITS) == ids >> (ID_BITS - CODE_BITS)))
+    other = code[at] - m.ids[predicted[at]]
+    sure = np.where(other > 0, FOLLOWED[trust[at]], 1)
+    right = predicted[at] == ids[at]
+    count = np.maximum(n[at], 1)
+    left[at] = np.where(right, np.log(sure * count / np.maximum(own[at], 1)), np.log(np.where(other > 0, 1 - sure, 1) * count / np.maximum(other, 1)))
+    return left
+
+
 def _scores(model):
     def run(batches):
         m = model.value
@@ -393,18 +504,19 @@ def _scores(model):
             n = count[c.tokens]
             known = n > 0
             base = np.log10((n + 1) / (m.train_tokens + m.distinct + 1))
-            logs = _mixed(m, tree, c, known)
-            inside = np.log(np.maximum(count, 1) / np.maximum(m.codes[c.codes], 1))
+            predicted, trust = _follow(c, row["passages"][i].as_py())
+            logs = _mixed(m, tree, c, known, predicted, trust)
+            logs += _inside(m, n, c.ids(), predicted, trust)
             place = np.arange(len(n)) - np.repeat(c.starts, c.sizes)
             missed = np.cumsum(~known) - ~known
             missed = missed - np.repeat(missed[c.starts], c.sizes)
             share = (m.single + 1) / (m.train_tokens + 2)
-            new = (missed + UNKNOWN_WEIGHT * share) / (place + UNKNOWN_WEIGHT)
+            new = (missed + UNKNOWN_WEIGHT * share) / (place + UNKNOWN_WEIGHT) * (1 - FOLLOWED[trust])
             spelled = np.zeros(len(c.words))
             rare = np.flatnonzero(count == 0)
             if len(rare):
                 spelled[rare] = _spelled(m, c, rare)
-            logs = np.where(known, np.log1p(-new) + logs + inside[c.tokens], np.log(new) + spelled[c.tokens])
+            logs = np.where(known, np.log1p(-new) + logs, np.log(new) + spelled[c.tokens])
             add = lambda x, at=c.starts: np.add.reduceat(x, at)
             score = add(logs) / np.log(10)
             size = add((c.ends - c.begins + 1)[c.tokens])
@@ -424,7 +536,9 @@ def score_chunks(chunks: DataFrame, model: LanguageModel) -> DataFrame:
     spark = chunks.sparkSession
     wanted = chunks.mapInArrow(_rare(spark.sparkContext.broadcast(model.frequent)), "chunk long, word long")
     known = wanted.join(model.words, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # the words of one chunk
-    rows = chunks.join(known, "chunk", "left")
+    met = chunks.mapInArrow(_anchors, "chunk long, anchor long, least int").join(model.passages, "anchor").where("n >= least")
+    met = met.groupBy("chunk").agg(F.collect_list(F.struct("anchor", "n", "after")).alias("passages"))  # the anchors of one chunk
+    rows = chunks.join(known, "chunk", "left").join(met, "chunk", "left")
     return rows.mapInArrow(_scores(spark.sparkContext.broadcast(model.shared())), RESULT)
 
 
