@@ -115,3 +115,28 @@ def base_scores(docs: list[tuple[int, str | None]], learn) -> dict[int, tuple]:
 
 def crc(value) -> int:
     return zlib.crc32(str(value).encode())
+
+
+def followed(tokens: dict[int, list], learn, is_anchor, width: int, most: int) -> dict[int, list[tuple[set, int]]]:
+    """For every token of every document: what the training documents' passages predict (each of the longest continuations), and
+    how many predictions in a row came before it (-1: the last one did not come, -2: there was no prediction)."""
+    known: dict[tuple, list[tuple]] = {}
+    anchors = {d: [i for i in range(width, len(t)) if is_anchor(t[i - width : i])] for d, t in tokens.items()}
+    for d, t in tokens.items():
+        for i, end in zip(anchors[d], [*anchors[d][1:], len(t)], strict=False):
+            if learn(d):
+                known.setdefault(tuple(t[i - width : i]), []).append(tuple(t[i : min(end, i + most)]))
+    out: dict[int, list[tuple[set, int]]] = {}
+    for d, t in tokens.items():
+        source, run, out[d] = None, -2, []
+        for i, token in enumerate(t):
+            if i in anchors[d]:
+                found = known.get(tuple(t[i - width : i]), [])
+                if len(found) > learn(d):
+                    longest = max(map(len, found))
+                    source = (i, [x for x in found if len(x) == longest], longest)
+            at = i - source[0] if source else 0
+            options = {x[at] for x in source[1]} if source and at < source[2] else set()
+            out[d].append((options, run))
+            run = -2 if not options else max(run, 0) + 1 if token in options else -1
+    return out

@@ -114,6 +114,36 @@ def test_lm_scoring(spark, corpus):
     assert copies["score"].sum() > copies["base_score"].sum()
 
 
+def test_lm_follows_passages(spark):
+    """Predictions and their trust against a plain dictionary of passages; a copy of a training text costs far less than the text itself did."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 150)) for i in range(12)]
+    rows += [(20, rows[0][1]), (21, prose(rng, 20) + " " + rows[1][1] + " tail"), (22, rows[2][1]), (23, " ".join(x if i % 40 else "other" for i, x in enumerate(rows[3][1].split())))]
+    rows += [(30, None), (31, "a b"), (32, "same " * 500), (33, "same " * 90)]
+    learn = F.col("doc_id") < 22
+    chunks = lm_scoring.chunk_documents(table(spark, rows).coalesce(1), learn)
+    passages = [r.asDict() for r in lm_scoring.learn_model(chunks).passages.collect()]
+    ((row, i, c),) = lm_scoring._rows(chunks.toArrow().combine_chunks().to_batches())
+    predicted, trust = lm_scoring._follow(c, passages)
+    ids, hashes = c.ids(), c.words[c.tokens]
+    docs = row["doc_ids"][i].as_py()
+    tokens = {d: list(zip(ids[s : s + n].tolist(), hashes[s : s + n].tolist(), strict=True)) for d, s, n in zip(docs, c.starts, c.sizes, strict=True)}
+    width, bits = lm_scoring.ANCHOR, lm_scoring.ANCHOR_BITS
+    is_anchor = lambda window: int(lm_scoring.tx.windows_hash(np.array([h for _, h in window], dtype=np.uint64), width)[0]) >> (64 - bits) == 0
+    want = brute.followed(tokens, lambda d: d < 22, is_anchor, width, lm_scoring.RUN)
+    met = 0
+    for d, s in zip(docs, c.starts, strict=True):
+        for k, (options, run) in enumerate(want[d]):
+            p, t = predicted[s + k], trust[s + k]
+            assert len(options) < 2 and (p == next(iter(options))[0] if options else p == -1), (d, k)
+            level = 5 if run > 15 else 4 if run > 3 else 3 if run > 0 else 1 if run == -1 else 2
+            assert t == (level if options else 0), (d, k)
+            met += bool(options)
+    assert met > 300
+    scored = lm_scoring.score_documents(table(spark, rows), learn)[0].toPandas().set_index("doc_id")["score"]
+    assert scored[22] > 0.5 * scored[2]
+
+
 def test_lm_is_a_distribution(spark, corpus):
     """The probabilities of all known one-word texts, the escape included, add up to no more than one."""
     chunks = lm_scoring.chunk_documents(corpus, F.lit(True))
