@@ -7,7 +7,7 @@ Each decision of the code is predicted by the corpus alone and by two hashed con
 frequent words, which tells the language, and the previous two words, which know repeated passages); a
 context's counts are smoothed by the predictor before it. A fourth predictor follows passages of the training
 documents: at an anchor (a place whose ANCHOR words before it have a hash of a certain form) the words are looked
-up, and what came after them predicts each next word until the next anchor; it is trusted by how many
+up, and what came after them predicts each next word until the next known anchor; it is trusted by how many
 words it has got right in a row. A mixer adds the stretched probabilities with weights gated by the code's bit
 and by that trust or, where no passage is followed, by how often the longest context was seen, and refines the
 weights after every token by the coding error. The weights start anew for every SEGMENT
@@ -241,7 +241,7 @@ def _follow(c: _Chunk, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     use = (k >= 0) & (many[k] >= 1 + learn)
     k, at = k[use], at[use]
     end = (c.starts + c.sizes)[np.searchsorted(c.starts, at, side="right") - 1]
-    size = np.minimum(np.minimum(length[k], np.append(at[1:], len(ids)) - at), end - at)  # the next anchor takes over
+    size = np.minimum(np.minimum(length[k], np.append(at[1:], len(ids)) - at), end - at)  # the next known anchor takes over
     predicted[_stretches(at, size)] = after[_stretches((np.cumsum(length) - length)[k], size)]
     right, place = predicted == ids, np.arange(len(ids))
     wrong = np.maximum.accumulate(np.where(right, -1, place))
@@ -360,7 +360,7 @@ def learn_model(chunks: DataFrame) -> LanguageModel:
     """Learns from the documents marked in the chunks. Without any, every word is unknown."""
     spark = chunks.sparkSession
     counted = chunks.mapInArrow(_counts, "word long, n long")
-    words = tx.reliable(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    words = tx.released(counted.groupBy("word").agg(F.sum("n").alias("n")))
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one")).first()
     ids = np.zeros(1 << ID_BITS)
     counts = words.groupBy(F.shiftrightunsigned("word", 64 - ID_BITS).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # 2**ID_BITS rows at most
@@ -377,7 +377,7 @@ def learn_model(chunks: DataFrame) -> LanguageModel:
         parts = parts.repartition("block", "spread").sortWithinPartitions("block", "spread").mapInArrow(_sum_blocks, "block int, spread int, counts binary")
     tables = np.zeros((CONTEXTS + LETTERS, 2 << TABLE_BITS), dtype=np.float32)
     unpack = zstandard.ZstdDecompressor().decompress
-    for block, data in parts.select("block", "counts").collect():  # a fixed number of blocks of fixed size
+    for block, data in tx.released(parts.select("block", "counts")).collect():  # a fixed number of blocks of fixed size
         k, b = divmod(block, (2 << TABLE_BITS) // BLOCK)
         tables[k, b * BLOCK : (b + 1) * BLOCK] += np.frombuffer(unpack(bytes(data)), dtype=np.int64)
     pairs = tables.reshape(CONTEXTS + LETTERS, 1 << TABLE_BITS, 2)
@@ -537,6 +537,7 @@ def score_chunks(chunks: DataFrame, model: LanguageModel) -> DataFrame:
     wanted = chunks.mapInArrow(_rare(spark.sparkContext.broadcast(model.frequent)), "chunk long, word long")
     known = wanted.join(model.words, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # the words of one chunk
     met = chunks.mapInArrow(_anchors, "chunk long, anchor long, least int").join(model.passages, "anchor").where("n >= least")
+    met = tx.released(met.select("chunk", "anchor", "n", "after"))  # few of the passages are met again: the shuffle of them all goes
     met = met.groupBy("chunk").agg(F.collect_list(F.struct("anchor", "n", "after")).alias("passages"))  # the anchors of one chunk
     rows = chunks.join(known, "chunk", "left").join(met, "chunk", "left")
     return rows.mapInArrow(_scores(spark.sparkContext.broadcast(model.shared())), RESULT)
