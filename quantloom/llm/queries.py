@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, suffix_dedup, token_counts, warc_fixity
+from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, secret_scan, suffix_dedup, token_counts, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +130,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_start")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = [secret_scan.count_of(F.col("secrets"), kind).alias(f"n_{kind}") for kind in secret_scan.BASE]
+    confirmed = secret_scan.count_of(F.col("secrets"), *secret_scan.STRUCTURAL).alias("n_confirmed")
+    return found.select("doc_id", *own, F.sha2(secret_scan.listed(F.col("secrets"), base_only=True), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"), confirmed)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -142,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_nearest": op9_nearest,
         "op10_decontaminate": op10_decontaminate,
+        "op11_secret_scan": op11_secret_scan,
     }
 
 
