@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, secret_scan, suffix_dedup, token_counts, warc_fixity
+from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, secret_scan, suffix_dedup, token_counts, warc_fixity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +137,11 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *own, F.sha2(secret_scan.listed(F.col("secrets"), base_only=True), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"), confirmed)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.fixed_point(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -150,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": op9_nearest,
         "op10_decontaminate": op10_decontaminate,
         "op11_secret_scan": op11_secret_scan,
+        "op12_whitening": op12_whitening,
     }
 
 
