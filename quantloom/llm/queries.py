@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, secret_scan, suffix_dedup, token_counts, warc_fixity, whitening
+from quantloom.llm import ann_search, chat_format, decontaminate, language_id, lm_scoring, near_dedup, packing, prefix_trie, secret_scan, suffix_dedup, token_counts, warc_fixity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,48 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || ':' || text)) - 1 as i from t
+), c as (
+  select conv_id, {_crc32_sql("conv_id::varchar")} % 4 as h, conv_id - conv_id % 20 as base from (select distinct conv_id from t)
+), m as (
+  select c.conv_id, count(o.i) as m from c left join o on o.conv_id = base and i < h group by c.conv_id
+), r as (
+  select c.conv_id, i + 1 as depth, role, text from c join o on o.conv_id = base and i < h
+  union all select conv_id, m + i - h + 1, role, text from c join o using (conv_id) join m using (conv_id) where i >= h
+), p as (
+  select conv_id, depth, list(struct_pack(r := role, t := text)) over (partition by conv_id order by depth) as path,
+    length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from r
+  union all select conv_id, 0, [], 0 from c
+), n as (
+  select path, depth, min(conv_id) as conv_id, count(*) as n_convs, min(words) as words from p group by path, depth
+), q as (
+  select p.conv_id, p.depth, n.conv_id as rep from p join n using (path, depth)
+), e as (
+  select conv_id, max(depth) as depth from p group by conv_id
+), ends as (
+  select rep as conv_id, depth, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from e join q using (conv_id, depth) group by all
+), up as (
+  select n.conv_id, n.depth, q.rep as parent_conv_id from n left join q on q.conv_id = n.conv_id and q.depth = n.depth - 1
+), kids as (
+  select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from up where depth > 0 group by all
+), sums as (
+  select q.rep as conv_id, q.depth, sum((n.n_convs - 1) * n.words) as saved, sum((k.conv_id is null)::int) as leaves
+  from n left join kids k on k.conv_id = n.conv_id and k.depth = n.depth join q on q.conv_id = n.conv_id and q.depth <= n.depth group by q.rep, q.depth
+)
+select n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+  coalesce(ends_sha256, sha256('')) as ends_sha256
+from n join up using (conv_id, depth) join sums using (conv_id, depth) left join kids using (conv_id, depth) left join ends using (conv_id, depth)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -156,8 +198,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": op10_decontaminate,
         "op11_secret_scan": op11_secret_scan,
         "op12_whitening": op12_whitening,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_fixity": OP5_SQL, "op7_chat_format": OP7_SQL}
+    return {"op5_warc_fixity": OP5_SQL, "op7_chat_format": OP7_SQL, "op13_prefix_trie": OP13_SQL}
