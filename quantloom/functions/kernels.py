@@ -11,6 +11,7 @@ import numpy as np
 
 MAD_FACTOR = 1.4826  # fixed value: makes the MAD estimate a normal standard deviation
 TINY = 1e-10
+TIES = 10  # digits of a residual by which a weighted polish tells values apart: a sweep makes ties that differ by rounding only
 
 
 def _quiet(f: Callable) -> Callable:
@@ -138,7 +139,7 @@ def _sweep(x: np.ndarray, eps: float, rounds: int, weights: np.ndarray | None =
         if weights is None:
             step = nanmedian(res, axis=0)
         else:
-            step = np.array([weighted_median(c[k], weights[k]) if (k := ~np.isnan(c)).any() else np.nan for c in res.T])
+            step = np.array([weighted_median(np.round(c[k], TIES), weights[k]) if (k := ~np.isnan(c)).any() else np.nan for c in res.T])
         res, cols = res - step[None], cols + step
         shift = nanmedian(rows)
         rows, overall = rows - shift, overall + shift

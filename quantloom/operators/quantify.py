@@ -5,16 +5,17 @@ Input cells: entity, ion, sample, quant (log2), a row per cell. Results: entity,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.durable import durable
+from quantloom.durable import durable, small
 from quantloom.errors import UnknownName
-from quantloom.operators.grouped import quantify_grouped
-from quantloom.operators.normalize import exact_median
+from quantloom.functions.kernels import MAD_FACTOR, TINY
+from quantloom.operators.grouped import Kernel, quantify_grouped
+from quantloom.operators.normalize import RANGES, exact_median
 
-#: Cells of an entity from which its MaxLFQ is solved from distributed pair medians.
-LARGE = 2_000_000
+#: Cells of an entity from which no task holds them all, and samples up to which a task solves their system as a matrix.
+LARGE, DENSE = 2_000_000, 2_000
 
 
 def mean_intensity(cells: DataFrame, log_space: bool = True) -> DataFrame:
@@ -53,17 +54,22 @@ def least_missing(cells: DataFrame) -> DataFrame:
     return cells.join(best, ["entity", "ion"]).select("entity", "sample", F.col("quant").alias("estimate"))
 
 
-def pair_ratios(cells: DataFrame, spread: bool = False) -> DataFrame:
+def pair_ratios(cells: DataFrame, spread: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """entity, sample_a < sample_b, ratio (median over shared ions of b - a) and n_ions.
 
     The values of an ion meet in one row, at most one per sample, so the pairs need no self-join. spread: medians of
-    entities with any number of ions, none of which a single task holds.
+    entities with any number of ions, none of which a single task holds. weights (entity, ion, weight): weighted medians, spread.
     """
     rows = cells.groupBy("entity", "ion").agg(F.array_sort(F.collect_list(F.struct("sample", "quant"))).alias("v"))
-    left = rows.select("entity", "v", F.posexplode("v").alias("at", "a"))
-    both = left.select("entity", "a", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("b"))
-    pairs = both.select("entity", F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), (F.col("b.quant") - F.col("a.quant")).alias("d"))
+    weight = [] if weights is None else ["weight"]
+    rows = rows.join(weights, ["entity", "ion"]) if weight else rows
+    left = rows.select("entity", *weight, "v", F.posexplode("v").alias("at", "a"))
+    both = left.select("entity", *weight, "a", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("b"))
+    pairs = both.select("entity", *weight, F.col("a.sample").alias("sample_a"), F.col("b.sample").alias("sample_b"), (F.col("b.quant") - F.col("a.quant")).alias("d"))
     keys = ["entity", "sample_a", "sample_b"]
+    if weight:
+        pairs = durable(pairs)
+        return weighted_median(pairs, keys, "d", "weight", "ratio").join(pairs.groupBy(*keys).agg(F.count("*").alias("n_ions")), keys)
     if spread:
         pairs = durable(pairs)
         return exact_median(pairs, keys, "d", "ratio").join(pairs.groupBy(*keys).agg(F.count("*").alias("n_ions")), keys)
@@ -129,6 +135,87 @@ def _from_pairs(cells: DataFrame, samples: list | None) -> DataFrame:
     return own.join(links, "entity", "left").mapInPandas(solve, f"entity {types['entity']}, sample {types['sample']}, estimate double, annotation string")
 
 
+def _group_sums(df: DataFrame, **sums: Column) -> DataFrame:
+    return df.groupBy("entity", "component").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+
+
+def maxlfq_conjugate(cells: DataFrame, samples: list | None = None, weights: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """MaxLFQ by conjugate gradients over the table of pairs: entity, sample, component, estimate of every sample with data.
+
+    No matrix of samples is made: the Laplacian times a vector is a join of the pairs with the vector and a sum by sample.
+    Each component has its own step sizes, and stops when its squared residual is below TINY or after as many rounds as it
+    has samples, and one. A component of one sample has the median of its values.
+    """
+    cells = durable(cells.select("entity", "ion", "sample", "quant"))
+    label = durable(components(cells, samples).join(cells.select("entity", "sample").distinct(), ["entity", "sample"]))
+    pairs = pair_ratios(cells, spread=True, weights=weights).select("entity", "sample_a", "sample_b", "ratio")
+    sides = [F.struct(F.col(f"sample_{a}").alias("sample"), F.col(f"sample_{b}").alias("other"), (F.col("ratio") * sign).alias("d")) for a, b, sign in (("b", "a", 1), ("a", "b", -1))]
+    edges = durable(pairs.select("entity", F.explode(F.array(*sides)).alias("x")).select("entity", "x.*"))
+    size = label.groupBy("entity", "component").agg(F.count("*").alias("samples"))
+    start = edges.groupBy("entity", "sample").agg(F.count("*").alias("degree"), F.sum("d").alias("rest"))
+    state = start.join(label, ["entity", "sample"]).join(size, ["entity", "component"])
+    state = durable(state.select("entity", "component", "samples", "sample", "degree", F.lit(0.0).alias("x"), "rest", F.col("rest").alias("way")))
+    groups, settled, made = ["entity", "component"], None, 0
+    while True:
+        now = _group_sums(state, size=F.col("rest") * F.col("rest")).withColumnRenamed("size", "size_now")
+        state = durable(state.drop("size_now").join(small(now), groups))
+        finished = (F.col("size_now") < TINY) | (F.lit(made) > F.col("samples")) | F.lit(rounds is not None and made >= (rounds or 0))
+        done = state.where(finished).select("entity", "component", "sample", "x")
+        settled = done if settled is None else settled.unionByName(done)
+        state = state.where(~finished)
+        if state.isEmpty():
+            break
+        vector = small(state.select("entity", F.col("sample").alias("other"), "way"))
+        near = edges.join(vector, ["entity", "other"]).groupBy("entity", "sample").agg(F.sum("way").alias("near"))
+        state = state.join(near, ["entity", "sample"]).withColumn("image", F.col("degree") * F.col("way") - F.col("near"))
+        state = durable(state)
+        step = _group_sums(state, along=F.col("way") * F.col("image"))
+        moved = state.join(small(step), groups).withColumn("step", F.col("size_now") / F.col("along"))
+        moved = moved.withColumns({"x": F.col("x") + F.col("step") * F.col("way"), "rest": F.col("rest") - F.col("step") * F.col("image")})
+        grown = _group_sums(moved, size_next=F.col("rest") * F.col("rest"))
+        moved = moved.join(small(grown), groups)
+        moved = moved.withColumn("way", F.col("rest") + F.col("size_next") / F.col("size_now") * F.col("way"))
+        state = durable(moved.select("entity", "component", "samples", "sample", "degree", "x", "rest", "way"))
+        made += 1
+    whole = cells.join(label, ["entity", "sample"]).groupBy(*groups).agg(F.avg("quant").alias("mean"))
+    off = settled.groupBy(*groups).agg(F.avg("x").alias("off"))
+    solved = settled.join(whole, groups).join(off, groups).select("entity", "sample", "component", (F.col("x") - F.col("off") + F.col("mean")).alias("estimate"))
+    alone = label.join(size.where("samples = 1"), groups).select("entity", "sample", "component")
+    single = exact_median(cells.join(alone, ["entity", "sample"]), ["entity", "sample"], name="estimate").join(alone, ["entity", "sample"])
+    return solved.unionByName(single.select("entity", "sample", "component", "estimate"))
+
+
+def _annotated(found: DataFrame, cells: DataFrame, axis: list) -> DataFrame:
+    """Every sample of the axis, with the annotation of its entity: found has component and estimate."""
+    types, spark = dict(cells.dtypes), cells.sparkSession
+    places = small(spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, at int"))
+    label = components(cells, axis)
+    every = label.join(found.drop("component"), ["entity", "sample"], "left").join(places, "sample")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("estimate").isNotNull(), (F.col("component") + 1).cast("string")).otherwise("NA").alias("t")))), lambda x: x["t"])
+    own = F.count_distinct(F.when(F.col("estimate").isNotNull(), F.col("component")))
+    notes = every.groupBy("entity").agg(F.when(own == 0, "NA").when(own == 1, "").otherwise(F.array_join(texts, ";")).alias("annotation"))
+    return every.join(notes, "entity").select("entity", "sample", "estimate", "annotation")
+
+
+def _leveled(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Estimates shifted so that their mean is that of all data."""
+    mean = cells.groupBy("entity").agg(F.avg("quant").alias("mean")).join(found.groupBy("entity").agg(F.avg("estimate").alias("own")), "entity")
+    return found.join(small(mean), "entity").withColumn("estimate", F.col("estimate") + F.col("mean") - F.col("own")).drop("mean", "own")
+
+
+def _ratio_method(cells: DataFrame, axis: list, method: str, k: float = 1.345, min_m: int = 15) -> DataFrame:
+    """maxlfq_bit and weighted_maxlfq of entities of any size, from pairs."""
+    cells = durable(cells)
+    found = maxlfq_conjugate(cells, axis)
+    if method == "maxlfq_bit":
+        label = components(cells, axis)
+        found = rescale(found.select("entity", "sample", "estimate"), cells, label, "median-mean").join(label, ["entity", "sample"])
+    else:
+        weights = durable(ion_weights(cells, found, len(axis), k, min_m))
+        found = maxlfq_conjugate(cells, axis, weights)
+    return _annotated(_leveled(found, cells), cells, axis).withColumn("annotation", F.lit(""))
+
+
 def maxlfq(cells: DataFrame, samples: list | None = None, large: int = LARGE, keep_missing: bool = True) -> DataFrame:
     """MaxLFQ of all entities: entity, sample, estimate, annotation.
 
@@ -142,43 +229,124 @@ def maxlfq(cells: DataFrame, samples: list | None = None, large: int = LARGE, ke
     if big.isEmpty():
         return quantify_grouped(cells, "maxLFQ", axis, keep_missing=keep_missing)
     small = quantify_grouped(cells.join(big, "entity", "left_anti"), "maxLFQ", axis, keep_missing=keep_missing)
-    rest = _from_pairs(cells.join(big, "entity", "left_semi"), axis)
+    own = cells.join(big, "entity", "left_semi")
+    rest = _from_pairs(own, axis) if len(axis) <= DENSE else _annotated(maxlfq_conjugate(own, axis), own, axis)
+    return small.unionByName(rest if keep_missing else rest.where("estimate is not null"))
+
+
+def by_method(cells: DataFrame, method: str | Kernel = "maxlfq_bit", samples: list | None = None, rescale: str | None = None, keep_missing: bool = True, large: int = LARGE, **options) -> DataFrame:
+    """Any matrix method: entity, sample, estimate, annotation. Entities of `large` cells and more are never one task's matrix.
+
+    They are polished and fitted over all tasks (operators.large; "rlm" takes the exact minimum there, which the published
+    alternating fit may stop short of), or solved from pair medians. A function of a matrix, and rescaling, need the matrix.
+    """
+    from quantloom.operators import large as spread_out
+    from quantloom.operators.grouped import sample_axis
+
+    ratios = ("maxLFQ", "maxlfq", "maxlfq_bit", "weighted_maxlfq")
+    spread = not callable(method) and rescale is None and method in (*spread_out.METHODS, *ratios)
+    axis = sample_axis(cells) if samples is None else samples
+    big = durable(cells.groupBy("entity").count().where(F.col("count") >= large).select("entity")) if spread else None
+    if not spread or big.isEmpty():
+        return quantify_grouped(cells, method, axis, rescale, keep_missing, **options)
+    small = quantify_grouped(cells.join(big, "entity", "left_anti"), method, axis, None, keep_missing, **options)
+    own = cells.join(big, "entity", "left_semi")
+    if method in spread_out.METHODS:
+        rest = spread_out.quantify_large(own, big, axis, method, **options)
+    elif method in ratios[2:]:
+        rest = _ratio_method(own, axis, method, **options)
+    else:
+        rest = maxlfq(own, axis, large)
     return small.unionByName(rest if keep_missing else rest.where("estimate is not null"))
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str = "estimate") -> DataFrame:
-    """The interpolating weighted median by key: see kernels.weighted_median."""
-    order = Window.partitionBy(*keys).orderBy(value, weight)
-    rows = df.select(*keys, F.col(value).alias("v"), F.col(weight).alias("w"), F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.lead(value).over(order).alias("next"), F.sum(weight).over(Window.partitionBy(*keys)).alias("total"), F.row_number().over(order).alias("at"))
-    first = rows.where(F.col("c") * 2 >= F.col("total")).groupBy(*keys).agg(F.min_by(F.struct("v", "c", "next", "total"), "at").alias("x"))
-    inner = (F.col("x.c") * F.col("x.v") + (F.col("x.total") - F.col("x.c")) * F.col("x.next")) / F.col("x.total")
-    return first.select(*keys, F.coalesce(inner, F.col("x.v")).alias(name))
+    """The interpolating weighted median by key (see kernels.weighted_median), for keys of any size; nulls and NaN are left out.
+
+    A pass adds up the weights of a key's values in RANGES ranges of an interval, at first from the least to the largest, and
+    the next one goes into the range where half of the weight is reached, until that has one value. So no task sorts a
+    key, and what is kept between passes is a row per key. Equal values count as one, but for the heaviest, which comes last.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).where("not isnan(_v) and not isnan(_w)")
+    state = durable(rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+    settled, own = None, Window.partitionBy(*keys).orderBy("_range")
+    while not state.isEmpty():
+        half = lambda c: F.col(c) / 2  # noqa: E731  differences of the largest doubles stay finite
+        place = F.least(F.floor((half("_v") - half("_low")) / (half("_high") - half("_low")) * RANGES), F.lit(RANGES - 1))
+        same = F.col("_high") / 2 == F.col("_low") / 2
+        place = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), RANGES).when(same, (F.col("_v") > F.col("_low")).cast("int")).otherwise(place)
+        placed = rows.join(small(state), keys).withColumn("_range", place.cast("int"))
+        counted = placed.groupBy(*keys, "_range").agg(F.sum("_w").alias("w"), F.max("_w").alias("heaviest"), F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        counted = counted.select("*", F.sum("w").over(own).alias("c"), F.lead("_low").over(own).alias("after"), F.sum("w").over(Window.partitionBy(*keys)).alias("total"))
+        fields = ["w", "heaviest", "n", "_low", "_high", "c", "after", "total"]
+        found = counted.where(F.col("c") * 2 >= F.col("total")).groupBy(*keys).agg(F.min_by(F.struct(*fields), "_range").alias("x"))
+        found = durable(found.select(*keys, *[F.col(f"x.{f}").alias(f) for f in fields]))
+        inner = (F.col("c") * F.col("_low") + (F.col("total") - F.col("c")) * F.col("after")) / F.col("total")
+        inside = F.col("after").isNull() | ((F.col("n") > 1) & ((F.col("c") - F.col("heaviest")) * 2 >= F.col("total")))
+        done = found.where("_low = _high").select(*keys, F.when(inside, F.col("_low")).otherwise(inner).alias(name))
+        settled = done if settled is None else settled.unionByName(done)
+        state = found.where("_low < _high").select(*keys, "_low", "_high")
+    return settled if settled is not None else state.select(*keys, F.col("_low").alias(name))
 
 
 def mad(df: DataFrame, keys: list[str], value: str = "quant", name: str = "mad") -> DataFrame:
-    """1.4826 times the median distance to the median, by key."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("_m"))
-    return df.join(middle, keys).groupBy(*keys).agg((F.lit(1.4826) * F.median(F.abs(F.col(value) - F.col("_m")))).alias(name))
+    """1.4826 times the median distance to the median, by key; keys of any size."""
+    off = df.join(exact_median(df, keys, value, "_m"), keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return exact_median(off, keys, "_d", "_d").select(*keys, (F.lit(MAD_FACTOR) * F.col("_d")).alias(name))
 
 
 def components(cells: DataFrame, samples: list | None = None) -> DataFrame:
-    """entity, sample and component (from 0, by first sample) for every sample of the axis."""
-    return quantify_grouped(cells, "components", samples).select("entity", "sample", F.col("estimate").cast("int").alias("component"))
+    """entity, sample and component (from 0, by first sample) for every sample of the axis: samples that share an ion are linked.
+
+    Only the distinct sets of samples that ions have are looked at. Every task joins the sets it holds of an entity, and passes on a
+    forest, with fewer links than there are samples; these are joined again in a few parts, and at last in one, as they stream by.
+    """
+    from quantloom.operators.forest import forest, labels
+    from quantloom.operators.grouped import sample_axis
+
+    axis = sample_axis(cells) if samples is None else samples
+    types, spark = dict(cells.dtypes), cells.sparkSession
+    places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, at int")
+    sets = cells.join(small(places), "sample").groupBy("entity", "ion").agg(F.array_sort(F.collect_set("at")).alias("set")).select("entity", "set").distinct()
+    links = sets.mapInArrow(forest, f"entity {types['entity']}, set array<int>").distinct()
+    for part in (["entity", F.pmod(F.hash("set"), F.lit(16))], ["entity"]):
+        links = links.repartition(*part).sortWithinPartitions("entity")
+        links = links.mapInArrow(forest if len(part) > 1 else labels(len(axis)), f"entity {types['entity']}, set array<int>" if len(part) > 1 else f"entity {types['entity']}, at int, component int")
+    return links.join(small(places), "at").select("entity", "sample", "component")
+
+
+def ion_weights(cells: DataFrame, fit: DataFrame, n_samples: int, k: float = 1.345, min_m: int = 15) -> DataFrame:
+    """entity, ion and weight: Huber weights by how far an ion strays from the fitted profile; 1 in entities of fewer than min_m ions."""
+    diff = cells.join(fit.select("entity", "sample", "estimate"), ["entity", "sample"]).where("estimate is not null")
+    far = F.when(F.count("*") > 1, F.sqrt(F.lit(n_samples) * F.var_pop(F.col("quant") - F.col("estimate"))))
+    distance = durable(diff.groupBy("entity", "ion").agg(far.alias("d")))
+    ions = distance.groupBy("entity").agg(F.count("*").alias("ions"))
+    scale = mad(distance, ["entity"], "d", "s").join(ions, "entity", "right")
+    plain = F.col("s").isNull() | (F.col("s") < TINY) | (F.col("ions") < min_m) | F.col("d").isNull() | (F.col("d") <= F.col("s") * k)
+    return distance.join(small(scale), "entity").select("entity", "ion", F.when(plain, 1.0).otherwise(F.lit(k) * F.col("s") / F.col("d")).alias("weight"))
 
 
 def rescale(estimates: DataFrame, cells: DataFrame, labels: DataFrame, method: str) -> DataFrame:
     """Shifts each component's estimates to the level of its data, as kernels.rescale does; labels: see components."""
     keys = ["entity", "component"]
-    mean, middle, total = F.avg("quant"), F.median("quant"), F.sum("quant")
-    level = {"median-mean": (middle, mean), "median-median": (middle, middle), "mean-mean": (mean, mean), "sum": (total, total), "sum_exact": (total, total)}
+    mean, total = F.avg("quant"), F.sum("quant")
+    level = {"median-mean": (None, None), "median-median": (None, None), "mean-mean": (mean, mean), "sum": (total, total), "sum_exact": (total, total)}  # medians: below
     if method not in level:
         raise UnknownName(f"no rescaling method '{method}'")
     single, whole = level[method]
-    data = cells.join(labels, ["entity", "sample"]).groupBy(*keys).agg(single.alias("single"), whole.alias("whole"))
+    placed = cells.join(labels, ["entity", "sample"])
     known = estimates.join(labels, ["entity", "sample"])
+    if method.startswith("median"):
+        placed = durable(placed)
+        data = exact_median(placed, keys, "quant", "single").join(placed.groupBy(*keys).agg(F.avg("quant").alias("mean")), keys)
+        data = data.select(*keys, "single", F.col("single" if method == "median-median" else "mean").alias("whole"))
+    else:
+        data = placed.groupBy(*keys).agg(single.alias("single"), whole.alias("whole"))
     size = labels.groupBy(*keys).agg(F.count("*").alias("size"))
-    own = {"median-median": F.median("estimate"), "sum_exact": F.sum("estimate")}.get(method, F.avg("estimate"))
+    own = F.sum("estimate") if method == "sum_exact" else F.avg("estimate")
     now = known.groupBy(*keys).agg(own.alias("own"), F.count("estimate").alias("n"))
+    if method == "median-median":
+        now = now.drop("own").join(exact_median(known, keys, "estimate", "own"), keys, "left")
     gap = (F.col("whole") - F.col("own")) / (F.col("n") if method.startswith("sum") else F.lit(1))
     out = known.join(data, keys).join(size, keys).join(now, keys)
     value = F.when(F.col("n") == 0, F.col("estimate")).when(F.col("size") == 1, F.col("single")).otherwise(F.col("estimate") + gap)

@@ -15,7 +15,7 @@ from quantloom.columns import col, require, require_keys
 from quantloom.durable import durable
 from quantloom.errors import UnknownName
 from quantloom.operators import annotate, normalize, quantify, reshape
-from quantloom.operators.grouped import Kernel, quantify_grouped, sample_axis
+from quantloom.operators.grouped import Kernel, sample_axis
 from quantloom.operators.predicates import apply_filters
 from quantloom.roles import DIANN, DIANN_PARQUET, Roles
 from quantloom.sources import delimited, store
@@ -30,7 +30,7 @@ def quantify_cells(cells: DataFrame, method: str | Kernel = "maxLFQ", **options)
     """Any method by name (relational, or a matrix kernel) or a function of a matrix: entity, sample, estimate, ..."""
     if method in RELATIONAL and not options:
         return RELATIONAL[method](cells)
-    return quantify_grouped(cells, method, **options)
+    return quantify.by_method(cells, method, **options)
 
 
 def load_quads(source: DataFrame | str, roles: Roles, spark: SparkSession | None = None) -> tuple[DataFrame, str]:
@@ -111,7 +111,7 @@ def _from_facts(facts: DataFrame, entities: DataFrame, samples: DataFrame, metho
     linear = reshape.cells(facts, "sum", key=("entity_idx", "ion_idx", "sample_idx"))
     linear = linear.select(F.col("entity_idx").alias("entity"), F.col("ion_idx").alias("ion"), F.col("sample_idx").alias("sample"), "quant")
     axis = [r[0] for r in samples.select("sample_idx").orderBy("sample_idx").collect()]  # the columns of the result
-    found = quantify_grouped(reshape.log_cells(linear), method, axis, rescale, **options).withColumnsRenamed({"entity": "entity_idx", "sample": "sample_idx"}).drop("annotation")
+    found = quantify.by_method(reshape.log_cells(linear), method, axis, rescale, **options).withColumnsRenamed({"entity": "entity_idx", "sample": "sample_idx"}).drop("annotation")
     every = entities.select("entity", "entity_idx").join(F.broadcast(samples.select("sample", "sample_idx")), F.lit(True))  # the result's own shape
     return every.join(found, ["entity_idx", "sample_idx"], "left").select("entity", "sample", "estimate")
 
