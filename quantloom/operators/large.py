@@ -506,7 +506,8 @@ def quantify_group(cells: DataFrame, names: DataFrame, axis: list, method: str,
         fit = lambda w: robust_fit(data, 1.345 if p1 is None else p1, int(1000 if p2 is None else p2), w)
     out = fit(None)
     if weighted:
-        out = fit(ion_weights(data, out, k, min_m))
+        ions = data.totals(lambda i: (i.entity, np.ones(len(i.entity)), None), e)[0]
+        out = np.where(ions[:, None] >= min_m, fit(ion_weights(data, out, k, min_m)), out)
     n, total, _ = data.totals(lambda i: (i.at, i.value, None), e * s)
     n, total = n.reshape(e, s), total.reshape(e, s)
     out = np.where(n > 0, out, np.nan)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quantloom.durable import durable, small
 from quantloom.errors import EmptySample, UnknownName
 
+#: Rows of an entity or key from which no task holds them all.
+LARGE = 2_000_000
 #: Value ranges of a key that the first pass of an exact median counts.
 RANGES = 4096
 
@@ -54,6 +56,15 @@ def exact_median(df: DataFrame, keys: Iterable[str], value: str = "quant", name:
     return exact_quantiles(df, keys, {name: 0.5}, value)
 
 
+def median_by_key(df: DataFrame, keys: Iterable[str], value: str = "quant", name: str = "median", large: int = LARGE) -> DataFrame:
+    """The median of value by key: an aggregate, unless a key has `large` rows or more; they are counted first."""
+    keys = list(keys)
+    most = df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) >= large:
+        return exact_median(df, keys, value, name)
+    return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.median(value).alias(name))
+
+
 def shift_factors(df: DataFrame, value: str = "quant") -> DataFrame:
     """sample and factor: what its median lacks to the unweighted mean of all sample medians."""
     medians = exact_median(df, ["sample"], value)

@@ -12,10 +12,10 @@ from quantloom.durable import durable, small
 from quantloom.errors import UnknownName
 from quantloom.functions.kernels import MAD_FACTOR, TINY
 from quantloom.operators.grouped import Kernel, quantify_grouped
-from quantloom.operators.normalize import RANGES, exact_median
+from quantloom.operators.normalize import LARGE, RANGES, exact_median, median_by_key
 
-#: Cells of an entity from which no task holds them all, and samples up to which a task solves their system as a matrix.
-LARGE, DENSE = 2_000_000, 2_000
+#: Samples up to which a task solves their system as a matrix.
+DENSE = 2_000
 
 
 def mean_intensity(cells: DataFrame, log_space: bool = True) -> DataFrame:
@@ -147,7 +147,7 @@ def maxlfq_conjugate(cells: DataFrame, samples: list | None = None, weights: Dat
     has samples, and one. A component of one sample has the median of its values.
     """
     cells = durable(cells.select("entity", "ion", "sample", "quant"))
-    label = durable(components(cells, samples).join(cells.select("entity", "sample").distinct(), ["entity", "sample"]))
+    label = durable(components(cells, samples, 0).join(cells.select("entity", "sample").distinct(), ["entity", "sample"]))
     pairs = pair_ratios(cells, spread=True, weights=weights).select("entity", "sample_a", "sample_b", "ratio")
     sides = [F.struct(F.col(f"sample_{a}").alias("sample"), F.col(f"sample_{b}").alias("other"), (F.col("ratio") * sign).alias("d")) for a, b, sign in (("b", "a", 1), ("a", "b", -1))]
     edges = durable(pairs.select("entity", F.explode(F.array(*sides)).alias("x")).select("entity", "x.*"))
@@ -189,7 +189,7 @@ def _annotated(found: DataFrame, cells: DataFrame, axis: list) -> DataFrame:
     """Every sample of the axis, with the annotation of its entity: found has component and estimate."""
     types, spark = dict(cells.dtypes), cells.sparkSession
     places = small(spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, at int"))
-    label = components(cells, axis)
+    label = components(cells, axis, 0)
     every = label.join(found.drop("component"), ["entity", "sample"], "left").join(places, "sample")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("estimate").isNotNull(), (F.col("component") + 1).cast("string")).otherwise("NA").alias("t")))), lambda x: x["t"])
     own = F.count_distinct(F.when(F.col("estimate").isNotNull(), F.col("component")))
@@ -208,11 +208,13 @@ def _ratio_method(cells: DataFrame, axis: list, method: str, k: float = 1.345, m
     cells = durable(cells)
     found = maxlfq_conjugate(cells, axis)
     if method == "maxlfq_bit":
-        label = components(cells, axis)
+        label = components(cells, axis, 0)
         found = rescale(found.select("entity", "sample", "estimate"), cells, label, "median-mean").join(label, ["entity", "sample"])
     else:
-        weights = durable(ion_weights(cells, found, len(axis), k, min_m))
-        found = maxlfq_conjugate(cells, axis, weights)
+        many = durable(cells.groupBy("entity").agg(F.count_distinct("ion").alias("n")).where(F.col("n") >= min_m).select("entity"))  # others stay as they are
+        own = cells.join(small(many), "entity", "left_semi")
+        again = maxlfq_conjugate(own, axis, durable(ion_weights(own, found, len(axis), k, min_m)))
+        found = found.join(small(many), "entity", "left_anti").unionByName(again)
     return _annotated(_leveled(found, cells), cells, axis).withColumn("annotation", F.lit(""))
 
 
@@ -267,7 +269,7 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, nam
     the next one goes into the range where half of the weight is reached, until that has one value. So no task sorts a
     key, and what is kept between passes is a row per key. Equal values count as one, but for the heaviest, which comes last.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).where("not isnan(_v) and not isnan(_w)")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w")).where("_v is not null and _w is not null and not isnan(_v) and not isnan(_w)")
     state = durable(rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")))
     settled, own = None, Window.partitionBy(*keys).orderBy("_range")
     while not state.isEmpty():
@@ -289,22 +291,28 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, nam
     return settled if settled is not None else state.select(*keys, F.col("_low").alias(name))
 
 
-def mad(df: DataFrame, keys: list[str], value: str = "quant", name: str = "mad") -> DataFrame:
+def mad(df: DataFrame, keys: list[str], value: str = "quant", name: str = "mad", large: int = LARGE) -> DataFrame:
     """1.4826 times the median distance to the median, by key; keys of any size."""
-    off = df.join(exact_median(df, keys, value, "_m"), keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
-    return exact_median(off, keys, "_d", "_d").select(*keys, (F.lit(MAD_FACTOR) * F.col("_d")).alias(name))
+    off = df.join(median_by_key(df, keys, value, "_m", large), keys).select(*keys, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return median_by_key(off, keys, "_d", "_d", large).select(*keys, (F.lit(MAD_FACTOR) * F.col("_d")).alias(name))
 
 
-def components(cells: DataFrame, samples: list | None = None) -> DataFrame:
+def components(cells: DataFrame, samples: list | None = None, large: int = LARGE) -> DataFrame:
     """entity, sample and component (from 0, by first sample) for every sample of the axis: samples that share an ion are linked.
 
-    Only the distinct sets of samples that ions have are looked at. Every task joins the sets it holds of an entity, and passes on a
+    Entities of fewer than `large` cells are matrices inside tasks. Of larger ones only the distinct sets of samples that ions have are looked at. Every task joins the sets it holds of an entity, and passes on a
     forest, with fewer links than there are samples; these are joined again in a few parts, and at last in one, as they stream by.
     """
     from quantloom.operators.forest import forest, labels
     from quantloom.operators.grouped import sample_axis
 
     axis = sample_axis(cells) if samples is None else samples
+    whole = lambda c: quantify_grouped(c, "components", axis).select("entity", "sample", F.col("estimate").cast("int").alias("component"))
+    big = cells.groupBy("entity").count().where(F.col("count") >= large).select("entity")
+    if big.isEmpty():
+        return whole(cells)
+    rest = whole(cells.join(big, "entity", "left_anti"))
+    cells = cells.join(big, "entity", "left_semi")
     types, spark = dict(cells.dtypes), cells.sparkSession
     places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, at int")
     sets = cells.join(small(places), "sample").groupBy("entity", "ion").agg(F.array_sort(F.collect_set("at")).alias("set")).select("entity", "set").distinct()
@@ -312,7 +320,7 @@ def components(cells: DataFrame, samples: list | None = None) -> DataFrame:
     for part in (["entity", F.pmod(F.hash("set"), F.lit(16))], ["entity"]):
         links = links.repartition(*part).sortWithinPartitions("entity")
         links = links.mapInArrow(forest if len(part) > 1 else labels(len(axis)), f"entity {types['entity']}, set array<int>" if len(part) > 1 else f"entity {types['entity']}, at int, component int")
-    return links.join(small(places), "at").select("entity", "sample", "component")
+    return rest.unionByName(links.join(small(places), "at").select("entity", "sample", "component"))
 
 
 def ion_weights(cells: DataFrame, fit: DataFrame, n_samples: int, k: float = 1.345, min_m: int = 15) -> DataFrame:
@@ -338,7 +346,7 @@ def rescale(estimates: DataFrame, cells: DataFrame, labels: DataFrame, method: s
     known = estimates.join(labels, ["entity", "sample"])
     if method.startswith("median"):
         placed = durable(placed)
-        data = exact_median(placed, keys, "quant", "single").join(placed.groupBy(*keys).agg(F.avg("quant").alias("mean")), keys)
+        data = median_by_key(placed, keys, "quant", "single").join(placed.groupBy(*keys).agg(F.avg("quant").alias("mean")), keys)
         data = data.select(*keys, "single", F.col("single" if method == "median-median" else "mean").alias("whole"))
     else:
         data = placed.groupBy(*keys).agg(single.alias("single"), whole.alias("whole"))
@@ -346,7 +354,7 @@ def rescale(estimates: DataFrame, cells: DataFrame, labels: DataFrame, method: s
     own = F.sum("estimate") if method == "sum_exact" else F.avg("estimate")
     now = known.groupBy(*keys).agg(own.alias("own"), F.count("estimate").alias("n"))
     if method == "median-median":
-        now = now.drop("own").join(exact_median(known, keys, "estimate", "own"), keys, "left")
+        now = now.drop("own").join(median_by_key(known, keys, "estimate", "own"), keys, "left")
     gap = (F.col("whole") - F.col("own")) / (F.col("n") if method.startswith("sum") else F.lit(1))
     out = known.join(data, keys).join(size, keys).join(now, keys)
     value = F.when(F.col("n") == 0, F.col("estimate")).when(F.col("size") == 1, F.col("single")).otherwise(F.col("estimate") + gap)

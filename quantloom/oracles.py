@@ -66,6 +66,14 @@ def ion_weights(fit: str, out: str, k: float = 1.345, min_m: int = 15) -> tuple[
     )
 
 
+def chosen(fit: str, again: str, out: str, min_m: int = 15) -> tuple[str, ...]:
+    """out: the weighted estimates of entities of min_m ions and more, and the first ones of others."""
+    return (
+        f"{out}_n as (select entity, count(distinct ion) as ions from c group by entity)",
+        f"{out} as (select f.entity, f.sample, case when ions >= {min_m} then a.estimate else f.estimate end as estimate from {fit} f join {again} a using (entity, sample) join {out}_n using (entity))",
+    )
+
+
 def weighted_ratios(weights: str, out: str) -> tuple[str, ...]:
     """out(entity, sample_a, sample_b, ratio, n_ions): weighted medians of what samples differ by, over the ions they share."""
     return (

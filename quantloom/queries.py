@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom import oracles as O
 from quantloom import sql as sql_surface
 from quantloom.operators import annotate, normalize, qc, quantify, reshape
 from quantloom.operators import predicates as P
@@ -310,26 +311,74 @@ _estimates("quant_maxlfq_matrix", "A", lambda c: quantify_grouped(c, "maxlfq", k
 _estimates("quant_maxlfq_bit", "A", lambda c: quantify_grouped(c, "maxlfq_bit", keep_missing=False), "select * from lfq", *_closed())
 
 
-@_query()
+_RATIOS = _PAIRS.format("c")
+_SPARSE = (_RATIOS, *_COMPONENTS, *O.least_squares("r", "lab", "lsq"))
+_NOTES = """notes as (select entity, case when count(distinct component) filter (q) <= 1 then '' else string_agg(case when q then (component + 1)::varchar else 'NA' end, ';' order by sample) end as annotation
+  from lab left join (select distinct entity, sample, true as q from c) using (entity, sample) group by entity)"""
+
+
+@_query(_cte("C", *_SPARSE, _NOTES) + "select entity, sample, round(estimate, 6) as estimate, annotation from lab left join lsq using (entity, sample) join notes using (entity)")
 def quant_maxlfq_sparse(spark: SparkSession, sf: str) -> DataFrame:
     found = quantify.maxlfq(_cells(spark, sf, "C"))
     return found.select("entity", "sample", _r("estimate", "estimate"), "annotation")
 
 
-def _rows_only(name: str, which: str, method: str, **options) -> None:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return quantify_grouped(_cells(spark, sf, which), method, **options).select("entity", "sample", _r("estimate", "estimate"))
+_estimates("quant_maxlfq_conjugate", "C", quantify.maxlfq_conjugate, "select * from lsq", *_SPARSE)
+
+
+@_query(_cte("C", *_COMPONENTS) + "select entity, sample, component from lab")
+def sample_components_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """As sample_components, from mergeable forests at every size."""
+    return quantify.components(_cells(spark, sf, "C"), large=0)
 
-    run.__name__ = name
-    _query()(run)
 
+@_query(_cte("F", "m as (select entity, median(quant) as m from c group by entity)") + "select entity, round(1.4826 * median(abs(quant - m)), 6) as mad from c join m using (entity) group by entity")
+def mad_of_large_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A few keys hold all rows; no task holds a key."""
+    return quantify.mad(_cells(spark, sf, "F"), ["entity"], large=0).select("entity", _r("mad", "mad"))
+
+
+@_query("""with w as (select 'all' as entity, l_extendedprice as v, l_quantity as q from lineitem),
+c as (select v, sum(q) over (order by v, q rows unbounded preceding) as c, lead(v) over (order by v, q) as nxt, sum(q) over () as w, row_number() over (order by v, q) as k from w),
+p as (select min_by(struct_pack(v := v, c := c, nxt := nxt, w := w), k) as x from c where 2 * c >= w)
+select 'all' as entity, round(coalesce((x.c * x.v + (x.w - x.c) * x.nxt) / x.w, x.v), 4) as estimate from p""")
+def weighted_median_one_key(spark: SparkSession, sf: str) -> DataFrame:
+    """One key has all rows of the table."""
+    rows = _t(spark, sf, "lineitem").select(F.lit("all").alias("entity"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("q"))
+    return quantify.weighted_median(rows, ["entity"], "v", "q").select("entity", _r("estimate", "estimate", 4))
+
+
+def _matrix(name: str, which: str, method: str, table: str | None = None, *more: str, large: int = quantify.LARGE) -> None:
+    """A matrix method, and the same of entities that no task holds (large=1)."""
+    make = lambda c: quantify.by_method(c, method, keep_missing=False, large=large)
+    if table:
+        _estimates(name, which, make, f"select * from {table}", *more)
+    else:
 
-_rows_only("quant_median_polish_r", "F", "median_polish_short")
-_rows_only("quant_median_polish", "A", "median_polish")
-_rows_only("quant_rlm", "B", "rlm")
-_rows_only("quant_weighted_maxlfq", "F", "weighted_maxlfq")
-_rows_only("quant_weighted_median_polish", "F", "weighted_median_polish")
-_rows_only("quant_weighted_rlm", "B", "weighted_rlm")
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return make(_cells(spark, sf, which)).select("entity", "sample", _r("estimate", "estimate"))
+
+        run.__name__ = name
+        _query()(run)
+
+
+_POLISH, _FIT = O.polish("fit", 1e-4, 1000), O.huber("fit")
+_WEIGHTED_POLISH = (*_POLISH, *O.ion_weights("fit", "iw"), *O.polish("again", 1e-4, 1000, "iw"), *O.chosen("fit", "again", "picked"), *O.level("picked", "leveled"))
+_WEIGHTED_FIT = (*_FIT, *O.ion_weights("fit", "iw"), *O.huber("again", weights="iw"), *O.chosen("fit", "again", "picked"), *O.level("picked", "leveled"))
+_WEIGHTED_LFQ = (_RATIOS, *_COMPONENTS, *O.least_squares("r", "lab", "fit"), *O.ion_weights("fit", "iw"), *O.weighted_ratios("iw", "wr"), *O.least_squares("wr", "lab", "again"), *O.chosen("fit", "again", "picked"), *O.level("picked", "leveled"))
+_matrix("quant_median_polish_r", "F", "median_polish_short", "fit", *O.polish("fit", 0.01, 10))
+_matrix("quant_median_polish", "A", "median_polish", "leveled", *_POLISH, *O.level("fit", "leveled"))
+_matrix("quant_weighted_median_polish", "F", "weighted_median_polish", "leveled", *_WEIGHTED_POLISH)
+_matrix("quant_weighted_maxlfq", "F", "weighted_maxlfq", "leveled", *_WEIGHTED_LFQ)
+_matrix("quant_rlm", "B", "rlm")  # published stopping rule, short of the fixed point: no SQL
+_matrix("quant_weighted_rlm", "B", "weighted_rlm")
+_matrix("quant_rlm_direct", "F", "rlm_direct", "leveled", *_FIT, *O.level("fit", "leveled"))
+_matrix("quant_weighted_rlm_direct", "F", "weighted_rlm_direct", "leveled", *_WEIGHTED_FIT)
+_matrix("quant_median_polish_spread", "F", "median_polish", "leveled", *_POLISH, *O.level("fit", "leveled"), large=1)
+_matrix("quant_weighted_median_polish_spread", "F", "weighted_median_polish", "leveled", *_WEIGHTED_POLISH, large=1)
+_matrix("quant_rlm_spread", "F", "rlm_direct", "leveled", *_FIT, *O.level("fit", "leveled"), large=1)
+_matrix("quant_weighted_maxlfq_spread", "F", "weighted_maxlfq", "leveled", *_WEIGHTED_LFQ, large=1)
+_matrix("quant_maxlfq_bit_spread", "E", "maxlfq_bit", "lfq", *_closed(), large=1)
 
 _LEVELS = {"median-mean": ("median(quant)", "avg(quant)", "avg(estimate)"), "median-median": ("median(quant)", "median(quant)", "median(estimate)"), "mean-mean": ("avg(quant)", "avg(quant)", "avg(estimate)"), "sum": ("sum(quant)", "sum(quant)", "avg(estimate)")}
 for _method, (_single, _whole, _own) in _LEVELS.items():
