@@ -130,11 +130,29 @@ def _has_letter(data: bytes) -> bool:
     return any(c.isalpha() for c in data.decode("utf-8", "replace"))
 
 
+def decode(model: LanguageModel, margin: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text's margins (texts x bits): the nearest codeword by trusted logistic loss, its share, and how far the second is.
+
+    A bit's loss has two values, by the code's bit, so two matrix products give all losses; texts are taken `at_once`, so that
+    no array has more than that many rows of a number per language.
+    """
+    n = len(margin)
+    choice, score, apart = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for k in range(0, n if model.languages else 0, at_once):
+        m = margin[k : k + at_once]
+        losses = ((np.logaddexp(0, -m) * model.trust) @ model.code.T + (np.logaddexp(0, m) * model.trust) @ (1 - model.code).T) / m.shape[1]
+        p = np.exp(losses.min(1, keepdims=True) - losses)
+        p /= p.sum(1, keepdims=True)
+        choice[k : k + at_once] = p.argmax(1)
+        top = np.partition(p, -2, axis=1)[:, -2:] if p.shape[1] > 1 else np.column_stack([np.zeros(len(p)), p])
+        score[k : k + at_once], apart[k : k + at_once] = top[:, 1], top[:, 1] - top[:, 0]
+    return choice, score, apart
+
+
 def _predict(model, ambiguous_below: float):
     def run(batches):
         m = model.value
         buckets, bits = m.weights.shape
-        sign = 2.0 * m.code - 1
         letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
         for batch in batches:
             for row, end, buf, offsets in tx.text_chunks(batch, "text", 1 << 20):
@@ -153,14 +171,9 @@ def _predict(model, ambiguous_below: float):
                 if not m.languages:
                     known[:] = False
                 margin = total / np.maximum(size, 1)[:, None] * np.minimum(size, 100)[:, None]
-                best, score, apart, flag, read = [], np.zeros(n), np.zeros(n), np.zeros(n, bool), []
-                if m.languages:
-                    losses = np.logaddexp(0, -margin[:, None, :] * sign[None]) @ m.trust / bits
-                    p = np.exp(losses.min(1, keepdims=True) - losses)
-                    p /= p.sum(1, keepdims=True)
-                    ranked = np.sort(p, axis=1)
-                    apart = ranked[:, -1] - (ranked[:, -2] if p.shape[1] > 1 else 0)
-                    score, flag, choice = ranked[:, -1], apart < ambiguous_below, p.argmax(1)
+                best, read = [], []
+                choice, score, apart = decode(m, margin)
+                flag = apart < ambiguous_below if m.languages else np.zeros(n, bool)
                 for i in range(n):
                     best.append(m.languages[choice[i]] if known[i] else UNDETERMINED)
                     read.append("".join("1" if x > 0 else "0" for x in margin[i]) if known[i] else None)
