@@ -6,6 +6,7 @@ and retries the work. A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import zstandard
 from quantloom.durable import durable as reliable  # noqa: F401  for the operators
 from quantloom.durable import released  # noqa: F401
 
+#: Bytes up to which a span's hash is a polynomial.
+LONG_SPAN = 64
 #: Bytes of text handled at once inside a task; a longer document is a piece of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -67,7 +70,10 @@ def prefix_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, which are given in ascending order without overlap."""
+    """64-bit hashes of the byte spans, which are given in ascending order without overlap.
+
+    Long spans have a cryptographic hash: modulo 2**64, a polynomial takes built strings of some hundred bytes for equal.
+    """
     out = np.empty(len(starts), dtype=_U)
     at = 0
     while at < len(starts):
@@ -78,6 +84,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = mix((sums[e] - sums[s]) * down[s])
         at = to
+    for i in np.flatnonzero(np.asarray(ends) - np.asarray(starts) > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest())
     return out
 
 
