@@ -26,7 +26,7 @@ def annotate(result: DataFrame, source: DataFrame, id_column: str, annotation: I
     if strict:
         lost = result.join(table, result["entity"].cast("string") == table["_id"].cast("string"), "left_anti").first()
         if lost:
-            raise UnknownName(f"Cannot find '{lost['entity']}'")
+            raise UnknownName(f"no annotation row has the id '{lost['entity']}'")
     return result.join(table, result["entity"].cast("string") == table["_id"].cast("string"), "left").drop("_id")
 
 

@@ -2,7 +2,7 @@
 
 Cells are sorted inside the shuffle partitions and stream through mapInArrow, so small entities cost no call of
 their own and a task holds one entity at a time. An entity is one matrix for the numerical kernels; MaxLFQ of
-very large entities goes through pair medians instead (see quantify.maxlfq).
+very large entities goes through pair medians instead, and polish and robust fits through passes over all tasks (see quantify.by_method).
 """
 
 from __future__ import annotations
@@ -48,11 +48,9 @@ def sample_axis(df: DataFrame, order: str | None = None) -> list:
 def _run(kernel: Kernel, width: int, rescale: str | None, entity_type: pa.DataType):
     names = ["entity", "sample_at", "estimate", "annotation"]
 
-    def apply(entity, sample: np.ndarray, ion: np.ndarray, quant: np.ndarray):
-        first = np.concatenate([[True], ion[1:] != ion[:-1]])  # rows come sorted by ion
-        row = np.cumsum(first) - 1
-        order = np.argsort(row[np.flatnonzero(first)], kind="stable")
-        x = np.full((len(order), width), np.nan)
+    def apply(entity, sample: np.ndarray, opens: np.ndarray, quant: np.ndarray):
+        row = np.cumsum(opens) - 1  # rows come sorted by ion; each of them opens where its ion does
+        x = np.full((row[-1] + 1, width), np.nan)
         x[row, sample] = quant
         with np.errstate(all="ignore"):
             out = kernel(x)
@@ -72,11 +70,15 @@ def _run(kernel: Kernel, width: int, rescale: str | None, entity_type: pa.DataTy
     def run(batches):
         held: list[tuple] = []
         done: list[tuple] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            entity = batch.column(0)
-            sample, ion, quant = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            entity, ion = batch.column(0), batch.column(2)
+            sample, quant = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+            code = ion.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            opens = np.concatenate([[not held or ion[0].as_py() != last], code[1:] != code[:-1]])
+            last = ion[-1].as_py()
             same = pa.compute.equal(entity.slice(1), entity.slice(0, len(entity) - 1)).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(entity)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -84,7 +86,9 @@ def _run(kernel: Kernel, width: int, rescale: str | None, entity_type: pa.DataTy
                 if held and held[0][0] != name:
                     done.append(apply(held[0][0], *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])))
                     held = []
-                held.append((name, sample[s:e], ion[s:e], quant[s:e]))
+                if not held:
+                    opens[s] = True
+                held.append((name, sample[s:e], opens[s:e], quant[s:e]))
             if len(done) > 2000:
                 yield rows(done)
                 done = []
@@ -109,7 +113,7 @@ def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples:
         return spark.createDataFrame([], f"entity {types['entity']}, sample {types['sample']}, estimate double, annotation string")
     places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, sample_at int")
     ion = F.col("ion") if types["ion"] in ("int", "bigint", "string") else F.to_json(F.struct("ion"))
-    rows = cells.join(F.broadcast(places), "sample").select("entity", "sample_at", (F.xxhash64(ion) if types["ion"] not in ("int", "bigint") else ion).alias("ion"), F.col("quant").cast("double").alias("quant"))
+    rows = cells.join(F.broadcast(places), "sample").select("entity", "sample_at", ion.alias("ion"), F.col("quant").cast("double").alias("quant"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work stay spread
     rows = rows.repartition(tasks, "entity").sortWithinPartitions("entity", "ion", "sample_at")
     kind = pa.string() if types["entity"] == "string" else pa.int64() if types["entity"] == "bigint" else pa.int32()

@@ -238,3 +238,21 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert got(spark.read.parquet(str(tmp_path / "out")), "entity", "quant") == [("p", 1.0), ("q", 2.0)]
+
+
+def test_ties_of_top_ions_go_to_the_first_by_value(spark):
+    """Text ions are ordered by themselves inside a matrix, also across Arrow batches."""
+    rows = [("e", ion, s, v) for ion in ("b", "a", "c") for s, v in (("x", {"a": 1.0, "b": 3.0, "c": 2.0}[ion]), ("y", {"a": 3.0, "b": 1.0, "c": 2.0}[ion]))]
+    rows += [("f", f"i{k:03}", "x", float(k)) for k in range(50)]
+    table = spark.createDataFrame(rows, "entity string, ion string, sample string, quant double")
+    from quantloom.operators.grouped import quantify_grouped
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {(r["entity"], r["sample"]): r["estimate"] for r in quantify_grouped(table, "topN", n=1).collect()}
+        count = {r["entity"]: r["estimate"] for r in quantify_grouped(table, lambda x: [float(len(x))] * x.shape[1]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found == {("e", "x"): 1.0, ("e", "y"): 3.0, ("f", "x"): 49.0, ("f", "y"): None}
+    assert count == {"e": 3.0, "f": 50.0}
