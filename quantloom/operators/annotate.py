@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +60,47 @@ def fragment_stats(quads: DataFrame, extractor: Callable[[Column], Column] | Non
     )
 
 
+def hits(sequence: str, peptides: Iterable[str]) -> int:
+    """Positions of the sequence inside non-overlapping occurrences of any peptide, each peptide's taken from the left.
+
+    One pass of an automaton of all peptides; memory goes with their letters and the sequence's, not with their product.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for p in peptides:
+        if p:  # nulls and empty ones cover nothing
+            automaton.add_word(p, (len(p), p))
+    if not len(automaton):
+        return 0
+    automaton.make_automaton()
+    free: dict[str, int] = {}  # where a peptide may start again
+    reach = [0] * (len(sequence) + 1)  # where an occurrence that starts here ends
+    for last, (size, p) in automaton.iter(sequence):
+        start = last + 1 - size
+        if start >= free.get(p, 0):
+            free[p] = last + 1
+            reach[start] = max(reach[start], last + 1)
+    count = end = 0
+    for start, to in enumerate(reach):
+        if to > end:
+            count += to - max(start, end)
+            end = to
+    return count
+
+
 def covered(sequence: Column, peptides: Column) -> Column:
-    """Percent (half to even) of the sequence's positions inside non-overlapping occurrences of any peptide, from the left."""
+    """Percent (half to even) of the sequence's positions that its peptides (array) cover; null without a sequence, 0 for an empty one."""
+
+    @F.arrow_udf("int")
+    def percent(texts: pa.Array, listed: pa.Array) -> pa.Array:
+        found = []
+        for s, p in zip(texts, listed, strict=True):
+            text = s.as_py()
+            found.append(None if text is None else round(100 * hits(text, p.as_py() or ()) / len(text)) if text else 0)
+        return pa.array(found, pa.int32())
 
-    marks = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    plain = F.translate(sequence, "\0", " ")
-    masks = F.transform(F.filter(peptides, lambda p: F.length(p) > 0), lambda p: marks(F.replace(plain, p, F.repeat(F.lit("\0"), F.length(p)))))
-    every = F.aggregate(masks, marks(plain), lambda a, m: F.zip_with(a, m, lambda x, y: F.when(y == "\0", y).otherwise(x)))
-    return F.bround(F.size(F.filter(every, lambda x: x == "\0")) * 100.0 / F.length(sequence), 0).cast("int")
+    return percent(sequence, peptides)
 
 
 def coverage(groups: DataFrame, fasta: DataFrame) -> DataFrame:
@@ -76,6 +110,6 @@ def coverage(groups: DataFrame, fasta: DataFrame) -> DataFrame:
     """
     rows = groups.select("entity", "peptides", F.posexplode(F.split(F.col("entity").cast("string"), ";")).alias("at", "accession"))
     found = rows.join(fasta.dropDuplicates(["accession"]), "accession", "left")
-    share = F.when(F.length("sequence") > 0, covered(F.col("sequence"), F.col("peptides"))).otherwise(0)
+    share = F.coalesce(covered(F.col("sequence"), F.col("peptides")), F.lit(0))
     texts = found.select("entity", F.struct("at", F.concat(share.cast("string"), F.lit("%")).alias("text")).alias("x"))
     return texts.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), ";").alias("coverage"))

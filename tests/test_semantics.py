@@ -256,3 +256,32 @@ def test_ties_of_top_ions_go_to_the_first_by_value(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == {("e", "x"): 1.0, ("e", "y"): 3.0, ("f", "x"): 49.0, ("f", "y"): None}
     assert count == {"e": 3.0, "f": 50.0}
+
+
+def test_coverage_by_many_peptides():
+    import random
+    import tracemalloc
+
+    from quantloom.operators.annotate import hits
+
+    def plain(text, peptides):
+        marked = set()
+        for p in peptides:
+            at = text.find(p)
+            while at >= 0:
+                marked |= set(range(at, at + len(p)))
+                at = text.find(p, at + len(p))
+        return len(marked)
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("abé") for _ in range(rng.randrange(40)))
+        peptides = {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(6))}
+        assert hits(text, peptides) == plain(text, peptides), (text, peptides)
+    assert hits("aaaaa", ["aa"]) == 4 and hits("", ["a"]) == 0 and hits("abc", ["", "x"]) == 0
+    text = "".join(rng.choice("ACDEFGHIKL") for _ in range(100_000))
+    peptides = [text[i : i + 30] for i in range(0, 90_000, 90)]
+    tracemalloc.start()
+    assert hits(text, peptides) == 30 * len(peptides)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
