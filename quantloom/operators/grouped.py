@@ -100,11 +100,12 @@ def _run(kernel: Kernel, width: int, rescale: str | None, entity_type: pa.DataTy
     return run
 
 
-def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples: list | None = None, rescale: str | None = None, keep_missing: bool = True, **options) -> DataFrame:
+def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples: list | None = None, rescale: str | None = None, keep_missing: bool = True, partitions: int | None = None, **options) -> DataFrame:
     """entity, sample, estimate (null: none) and annotation, for every entity and every sample of the axis.
 
     cells: entity, ion, sample, quant (log2), a row per cell. Ions are ordered by value inside the kernel.
-    keep_missing=False leaves out samples without an estimate.
+    keep_missing=False leaves out samples without an estimate. Cells that are hash-partitioned by entity already, as those of a
+    bucketed table, are not shuffled again if `partitions` is the number of their partitions.
     """
     spark = cells.sparkSession
     axis = sample_axis(cells) if samples is None else samples
@@ -114,7 +115,7 @@ def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples:
     places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, sample_at int")
     ion = F.col("ion") if types["ion"] in ("int", "bigint", "string") else F.to_json(F.struct("ion"))
     rows = cells.join(F.broadcast(places), "sample").select("entity", "sample_at", ion.alias("ion"), F.col("quant").cast("double").alias("quant"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work stay spread
+    tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work stay spread
     rows = rows.repartition(tasks, "entity").sortWithinPartitions("entity", "ion", "sample_at")
     kind = pa.string() if types["entity"] == "string" else pa.int64() if types["entity"] == "bigint" else pa.int32()
     found = rows.mapInArrow(_run(named_kernel(method, **options), len(axis), rescale, kind), f"entity {types['entity']}, sample_at int, estimate double, annotation string")

@@ -236,22 +236,23 @@ def maxlfq(cells: DataFrame, samples: list | None = None, large: int = LARGE, ke
     return small.unionByName(rest if keep_missing else rest.where("estimate is not null"))
 
 
-def by_method(cells: DataFrame, method: str | Kernel = "maxlfq_bit", samples: list | None = None, rescale: str | None = None, keep_missing: bool = True, large: int = LARGE, **options) -> DataFrame:
+def by_method(cells: DataFrame, method: str | Kernel = "maxlfq_bit", samples: list | None = None, rescale: str | None = None, keep_missing: bool = True, large: int | None = LARGE, partitions: int | None = None, **options) -> DataFrame:
     """Any matrix method: entity, sample, estimate, annotation. Entities of `large` cells and more are never one task's matrix.
 
     They are polished and fitted over all tasks (operators.large; "rlm" takes the exact minimum there, which the published
     alternating fit may stop short of), or solved from pair medians. A function of a matrix, and rescaling, need the matrix.
+    large=None: it is known that there are none. partitions: see quantify_grouped.
     """
     from quantloom.operators import large as spread_out
     from quantloom.operators.grouped import sample_axis
 
     ratios = ("maxLFQ", "maxlfq", "maxlfq_bit", "weighted_maxlfq")
-    spread = not callable(method) and rescale is None and method in (*spread_out.METHODS, *ratios)
+    spread = large is not None and not callable(method) and rescale is None and method in (*spread_out.METHODS, *ratios)
     axis = sample_axis(cells) if samples is None else samples
     big = durable(cells.groupBy("entity").count().where(F.col("count") >= large).select("entity")) if spread else None
     if not spread or big.isEmpty():
-        return quantify_grouped(cells, method, axis, rescale, keep_missing, **options)
-    small = quantify_grouped(cells.join(big, "entity", "left_anti"), method, axis, None, keep_missing, **options)
+        return quantify_grouped(cells, method, axis, rescale, keep_missing, partitions, **options)
+    small = quantify_grouped(cells.join(big, "entity", "left_anti"), method, axis, None, keep_missing, partitions, **options)
     own = cells.join(big, "entity", "left_semi")
     if method in spread_out.METHODS:
         rest = spread_out.quantify_large(own, big, axis, method, **options)

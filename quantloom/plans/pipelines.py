@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.columns import col, require, require_keys
-from quantloom.durable import durable
+from quantloom.durable import durable, small
 from quantloom.errors import UnknownName
 from quantloom.operators import annotate, normalize, quantify, reshape
 from quantloom.operators.grouped import Kernel, sample_axis
@@ -106,26 +106,51 @@ def to_store(source: DataFrame | str, path: str, roles: Roles = DIANN_PARQUET, n
     store.write_store(quads, path, roles.annotation)
 
 
-def _from_facts(facts: DataFrame, entities: DataFrame, samples: DataFrame, method: str | Kernel, rescale: str | None, options: dict) -> DataFrame:
-    """Equal cells are summed, all samples of the dimension make the axis, entities without values have null rows."""
+def _estimates(facts: DataFrame, samples: DataFrame, method: str | Kernel, rescale: str | None, options: dict) -> DataFrame:
+    """entity_idx, sample_idx, estimate: equal cells are summed, all samples of the dimension make the axis."""
     linear = reshape.cells(facts, "sum", key=("entity_idx", "ion_idx", "sample_idx"))
     linear = linear.select(F.col("entity_idx").alias("entity"), F.col("ion_idx").alias("ion"), F.col("sample_idx").alias("sample"), "quant")
     axis = [r[0] for r in samples.select("sample_idx").orderBy("sample_idx").collect()]  # the columns of the result
-    found = quantify.by_method(reshape.log_cells(linear), method, axis, rescale, **options).withColumnsRenamed({"entity": "entity_idx", "sample": "sample_idx"}).drop("annotation")
-    every = entities.select("entity", "entity_idx").join(F.broadcast(samples.select("sample", "sample_idx")), F.lit(True))  # the result's own shape
+    found = quantify.by_method(reshape.log_cells(linear), method, axis, rescale, **options)
+    return found.select(F.col("entity").alias("entity_idx"), F.col("sample").alias("sample_idx"), "estimate")
+
+
+def named_estimates(found: DataFrame, entities: DataFrame, samples: DataFrame, chosen: tuple[int, int] | DataFrame | None = None) -> DataFrame:
+    """Estimates of all entities (of those chosen) and samples by their names; entities without values have null rows."""
+    own = store.of_entities(entities.select("entity", "entity_idx"), chosen)
+    every = own.join(F.broadcast(samples.select("sample", "sample_idx")), F.lit(True))  # the result's own shape
     return every.join(found, ["entity_idx", "sample_idx"], "left").select("entity", "sample", "estimate")
 
 
-def from_store(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, **options) -> DataFrame:
-    """Estimates of a Parquet store."""
-    facts, entities, samples, _ = store.read_store(spark, path)
-    return _from_facts(facts, entities, samples, method, rescale, options)
+def store_estimates(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, entities: tuple[int, int] | DataFrame | None = None, large: int = quantify.LARGE, **options) -> DataFrame:
+    """entity_idx, sample_idx, estimate of a Parquet store, or of some of its entities (see store.of_entities), without a shuffle of the facts.
+
+    A bucket is a task. Entities of `large` facts and more, which the store's sizes tell, are read apart, without buckets, and spread.
+    """
+    samples = spark.read.parquet(f"{path}/samples")
+    sizes = spark.read.parquet(f"{path}/sizes").groupBy("entity_idx").agg(F.sum("n").alias("n")).where(F.col("n") >= large)
+    big = durable(store.of_entities(sizes.select("entity_idx"), entities))
+    facts, whole = store.of_entities(store.bucketed_facts(spark, path), entities), big.isEmpty()
+    rest = facts if whole else facts.join(small(big), "entity_idx", "left_anti")
+    found = _estimates(rest, samples, method, rescale, {**options, "large": None, "partitions": store.bucket_count(spark, path)})
+    if whole:
+        return found
+    return found.unionByName(_estimates(store.of_entities(store.plain_facts(spark, path), big), samples, method, rescale, {**options, "large": large}))
+
+
+def from_store(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, entities: tuple[int, int] | DataFrame | None = None, **options) -> DataFrame:
+    """Estimates of a Parquet store, or of a range of its entity indices (or those in a DataFrame's entity_idx): only these are read."""
+    _, names, samples, _ = store.read_store(spark, path)
+    return named_estimates(store_estimates(spark, path, method, rescale, entities, **options), names, samples, entities)
 
 
-def from_directory(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, **options) -> DataFrame:
-    """Estimates of the literal directory layout."""
-    entities, samples, _ = store.directory_dims(spark, path)
-    return _from_facts(spark.read.format("iondir").load(path), entities, samples, method, rescale, options)
+def from_directory(spark: SparkSession, path: str, method: str | Kernel = "maxlfq_bit", rescale: str | None = None, entities: tuple[int, int] | None = None, **options) -> DataFrame:
+    """Estimates of the literal directory layout, or of a range of its entities: files of others are not opened."""
+    names, samples, _ = store.directory_dims(spark, path)
+    read = spark.read.format("iondir")
+    if entities:
+        read = read.option("first", entities[0]).option("last", entities[1])
+    return named_estimates(_estimates(read.load(path), samples, method, rescale, options), names, samples, entities)
 
 
 def process_wide(source: DataFrame, id_column: str, quant_columns: list[str], method: str | Kernel = "maxLFQ", is_log: bool = False, annotation: Iterable[str] = (), **options) -> DataFrame:

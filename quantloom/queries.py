@@ -545,6 +545,35 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.log_cells(reshape.cells(store.store_cells(spark, path), "sum")).select("entity", "ion", "sample", _r("quant", "quant"))
 
 
+@_query(f"""with t as ({_ROWS['B']}), e as (select entity, row_number() over (order by min(l_orderkey * 10 + l_linenumber)) as place from t group by entity),
+c as (select entity, ion, sample, log2(sum(quant)) as quant from t group by all)
+select entity, sample, round(avg(quant), 6) as estimate from c join e using (entity) where place between 3 and 9 group by all""")
+def store_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates of a range of a store's entities: the range is pushed to sorted, bucketed files, and nothing is shuffled."""
+    from quantloom.sources import store
+
+    path = _scratch(spark, "store")
+    store.write_store(_long(spark, sf, "B"), path)
+    return pipelines.from_store(spark, path, "meanInt", entities=(3, 9)).where("estimate is not null").select("entity", "sample", _r("estimate", "estimate"))
+
+
+@_query(f"""with t as ({_ROWS['B']}), c as (select entity, ion, sample, log2(sum(quant)) as quant from t group by all)
+select entity, sample, round(avg(quant), 6) as estimate from c group by all""")
+def store_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of three batches (years of shipping), of which each requantifies the entities that it changes."""
+    from quantloom.sources import store
+    from quantloom.streaming import ingest
+
+    rows, path = _long(spark, sf, "B"), _scratch(spark, "store")
+    for batch, part in enumerate((F.col("sample") < 1994, F.col("sample").between(1994, 1996), F.col("sample") > 1996)):
+        if batch:
+            store.append_store(rows.where(part), path, batch)
+        else:
+            store.write_store(rows.where(part), path)
+        ingest.requantify(spark, path, batch, "meanInt")
+    return ingest.latest_estimates(spark, path).where("estimate is not null").select("entity", "sample", _r("estimate", "estimate"))
+
+
 @_query(f"with t as ({_ROWS['B']}) select entity, ion, sample, l_orderkey, l_linenumber, round(log2(quant), 6) as quant from t where quant > 0 and log2(quant) > 12")
 def normalize_none(spark: SparkSession, sf: str) -> DataFrame:
     """log2 and cutoff without normalisation."""
