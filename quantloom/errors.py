@@ -10,6 +10,14 @@ class MissingColumn(QuantError):
         super().__init__(f"Cannot find column '{name}'")
 
 
+class MalformedRow(QuantError):
+    """A line of a delimited file has a missing or an extra field."""
+
+    def __init__(self, file: str, line: int, found: int, expected: int):
+        super().__init__(f"line {line} of {file} has {found} fields instead of {expected}")
+        self.file, self.line, self.found, self.expected = file, line, found, expected
+
+
 class DuplicateCell(QuantError):
     """A matrix cell has more than one value."""
 

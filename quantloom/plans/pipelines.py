@@ -43,6 +43,16 @@ def load_quads(source: DataFrame | str, roles: Roles, spark: SparkSession | None
     return reshape.to_long(apply_filters(rows, roles.filters, mode), roles, mode), mode
 
 
+def _loaded(quads: DataFrame, source: DataFrame | str) -> DataFrame:
+    """A checkpoint of loaded quads. If a file fails, its text is read once more, and the error names the line."""
+    try:
+        return durable(quads)
+    except Exception:
+        if isinstance(source, str):
+            delimited.require_arity(quads.sparkSession, source)
+        raise
+
+
 def preprocess(quads: DataFrame, cutoff: float | None = 0.0, normalization: str = "median", on_empty_sample: str = "error") -> DataFrame:
     """log2, cutoff and median normalisation of linear quads, which are read several times: keep them first if they are dear."""
     if normalization not in ("median", "none"):
@@ -78,7 +88,7 @@ def process_long(
     duplicates: "last" of a cell's values for ordered files, else "error"; output writes the wide table there.
     """
     quads, mode = load_quads(source, roles, spark)
-    quads = durable(quads)  # filtered and narrow: medians, statistics and cells read it again
+    quads = _loaded(quads, source)  # filtered and narrow: medians, statistics and cells read it again
     kept = preprocess(quads, cutoff, normalization, on_empty_sample)
     policy = duplicates or ("last" if mode == "file" else "error")
     cells = reshape.cells(kept, policy)
@@ -100,7 +110,7 @@ def to_store(source: DataFrame | str, path: str, roles: Roles = DIANN_PARQUET, n
     """Writes the store of a report; "none" skips log2 and cutoff and stores raw values."""
     quads, _ = load_quads(source, roles, spark)
     if normalization != "none":
-        quads = preprocess(durable(quads), cutoff, normalization).withColumn("quant", F.pow(F.lit(2.0), "quant"))
+        quads = preprocess(_loaded(quads, source), cutoff, normalization).withColumn("quant", F.pow(F.lit(2.0), "quant"))
     if "row_no" not in quads.columns:
         quads = quads.withColumn("row_no", F.struct("entity", "sample", "ion"))
     store.write_store(quads, path, roles.annotation)

@@ -545,6 +545,18 @@ def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.log_cells(reshape.cells(store.store_cells(spark, path), "sum")).select("entity", "ion", "sample", _r("quant", "quant"))
 
 
+@_query("with t as (select l_orderkey, l_linenumber, l_quantity, row_number() over (order by l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice) as place from lineitem) select place, l_orderkey, l_linenumber::bigint as l_linenumber, 2 as n_fields from t where l_quantity >= 45")
+def malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with a missing field, by their place over all files of a folder."""
+    path = _scratch(spark, "lines")
+    kept = F.when(F.col("l_quantity") < 45, F.col("l_quantity").cast("string"))  # concat_ws leaves nulls out
+    rows = _t(spark, sf, "lineitem").repartitionByRange(6, "l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows.select(F.concat_ws("\t", "l_orderkey", "l_linenumber", kept).alias("l_orderkey\tl_linenumber\tl_quantity")).write.option("header", True).csv(path, sep="|", quote="", escape="")
+    found = delimited.malformed_lines(spark, path)
+    field = lambda i: F.split("text", "\t")[i].cast("long")
+    return found.select("place", field(0).alias("l_orderkey"), field(1).alias("l_linenumber"), "n_fields")
+
+
 @_query(f"""with t as ({_ROWS['B']}), e as (select entity, row_number() over (order by min(l_orderkey * 10 + l_linenumber)) as place from t group by entity),
 c as (select entity, ion, sample, log2(sum(quant)) as quant from t group by all)
 select entity, sample, round(avg(quant), 6) as estimate from c join e using (entity) where place between 3 and 9 group by all""")

@@ -6,11 +6,13 @@ fails the load when strict, whichever columns are used. Null cells of the reader
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.columns import col
+from quantloom.durable import small
+from quantloom.errors import MalformedRow
 
 #: Orders rows as they stand in their files.
 ROW_ORDER = "row_no"
@@ -41,6 +43,36 @@ def read_delimited(spark: SparkSession, path: str, strict: bool = True) -> DataF
     return rows.select(*[F.coalesce(col(n), F.lit("")).alias(n) for n in own if not n.startswith("\0")], order.alias(ROW_ORDER))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (in its file, from 1), place (from 1, over all files by name, each without its header) and text of every line.
+
+    Lines are counted by byte range, and running sums over the ranges give each its first number: a row per range, so
+    no line moves for its number, and a task that runs again gives the same ones.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    ranges = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    ranges = ranges.select("file", "block", "first", above(own).alias("in_file"), above(before).alias("in_all"), F.dense_rank().over(Window.orderBy("file")).alias("files"))
+    placed = lines.join(small(ranges), ["file", "block"]).withColumn("at", F.col("id") - F.col("first") + 1)
+    return placed.select("file", (F.col("at") + F.col("in_file")).alias("line"), (F.col("at") + F.col("in_all") - F.col("files")).alias("place"), "text")
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, place, n_fields and text of the lines that a strict load fails on; blank lines are none."""
+    expected = len(header(spark, path))
+    lines = numbered_lines(spark, path).withColumn("n_fields", F.size(F.split("text", "\t", -1)))
+    return lines.where((F.col("line") > 1) & (F.col("n_fields") != expected) & F.col("text").rlike(r"[^\x00-\x20]")).select("file", "line", "place", "n_fields", "text")
+
+
+def require_arity(spark: SparkSession, path: str) -> None:
+    """Raises an error that names the first malformed line, by file name and line: one pass over the text."""
+    worst = malformed_lines(spark, path).orderBy("file", "line").first()
+    if worst:
+        raise MalformedRow(worst["file"], worst["line"], worst["n_fields"], len(header(spark, path)))
+
+
 def observed(rows: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
     """rows, and what is counted as they first pass: n_rows, and about how many entities and samples."""
     seen = Observation(name)

@@ -161,7 +161,9 @@ class DirectoryReader(DataSourceReader):
         step = max(1, -(-(last - first + 1) // self.parts))
         return [_Range(i, min(last, i + step - 1)) for i in range(first, last + 1, step)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no ranges
+            return
         types = {"sample_idx": pa.int64(), "ion_idx": pa.int64(), "quant": pa.float64()}
         parse, convert = pyarrow.csv.ParseOptions(delimiter="\t", quote_char=False), pyarrow.csv.ConvertOptions(column_types=types, null_values=["NA"])
         held: list[pa.RecordBatch] = []
