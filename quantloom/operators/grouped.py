@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.durable import SMALL
 from quantloom.errors import UnknownName
 from quantloom.functions import kernels
 
@@ -113,12 +114,13 @@ def quantify_grouped(cells: DataFrame, method: str | Kernel = "maxLFQ", samples:
     if not axis:
         return spark.createDataFrame([], f"entity {types['entity']}, sample {types['sample']}, estimate double, annotation string")
     places = spark.createDataFrame([(s, i) for i, s in enumerate(axis)], f"sample {types['sample']}, sample_at int")
+    places = F.broadcast(places) if len(axis) <= SMALL else places  # a row per sample
     ion = F.col("ion") if types["ion"] in ("int", "bigint", "string") else F.to_json(F.struct("ion"))
-    rows = cells.join(F.broadcast(places), "sample").select("entity", "sample_at", ion.alias("ion"), F.col("quant").cast("double").alias("quant"))
+    rows = cells.join(places, "sample").select("entity", "sample_at", ion.alias("ion"), F.col("quant").cast("double").alias("quant"))
     tasks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes of much work stay spread
     rows = rows.repartition(tasks, "entity").sortWithinPartitions("entity", "ion", "sample_at")
     kind = pa.string() if types["entity"] == "string" else pa.int64() if types["entity"] == "bigint" else pa.int32()
     found = rows.mapInArrow(_run(named_kernel(method, **options), len(axis), rescale, kind), f"entity {types['entity']}, sample_at int, estimate double, annotation string")
     if not keep_missing:
         found = found.where("estimate is not null")
-    return found.join(F.broadcast(places), "sample_at").select("entity", "sample", "estimate", "annotation")  # a row per sample
+    return found.join(places, "sample_at").select("entity", "sample", "estimate", "annotation")

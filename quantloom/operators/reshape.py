@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def to_long(df: DataFrame, roles: Roles, mode: str = "frame") -> DataFrame:
     """
     require(df, roles.columns())
     keep = [c for c in df.columns if c == "row_no" or c in roles.annotation]
-    rows = df.select(
+    known = [roles.primary, roles.sample, *(roles.secondary if len(roles.secondary) == 1 else [])]  # nulls among several parts of a key are NA
+    rows = df.where(reduce(Column.__and__, [col(c).isNotNull() for c in known])).select(
         *[col(c) for c in keep], col(roles.primary).cast("string").alias("entity"), col(roles.sample).cast("string").alias("sample"),
         F.array(*[F.coalesce(col(c).cast("string"), F.lit("NA")) if len(roles.secondary) > 1 else col(c).cast("string") for c in roles.secondary]).alias("ion_key"),
         col(roles.intensity).alias("_quant"), *([col(roles.fragment_ids).alias("_ids")] if roles.fragment_ids else []),
@@ -62,7 +64,7 @@ def to_long(df: DataFrame, roles: Roles, mode: str = "frame") -> DataFrame:
     number = whole_number(text) if dict(df.dtypes)[roles.intensity] == "string" or roles.separator else value.cast("double")
     key = F.concat("ion_key", suffix)
     rows = rows.where(~missing).select(*[col(c) for c in keep], "entity", "sample", key.alias("ion_key"), F.array_join(key, "_").alias("ion"), number.alias("quant"))
-    return rows.where("quant is not null and entity is not null and sample is not null and not exists(ion_key, x -> x is null)")
+    return rows.where("quant is not null")
 
 
 def dictionary(df: DataFrame, key: str, order: Column | str, extra: Iterable[str] = ()) -> DataFrame:

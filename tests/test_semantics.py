@@ -285,3 +285,12 @@ def test_coverage_by_many_peptides():
     assert hits(text, peptides) == 30 * len(peptides)
     assert tracemalloc.get_traced_memory()[1] < 16 << 20
     tracemalloc.stop()
+
+
+def test_whole_numbers_are_plain_decimals(spark):
+    from quantloom.columns import whole_number
+
+    good = {"1": 1.0, " 2.5 ": 2.5, "-.5": -0.5, "+3.": 3.0, "1e3": 1000.0, "4E-1": 0.4, "1e999": float("inf")}
+    bad = ["", " ", "1d", "1F", "0x1p3", "0X1P3", "NaN", "nan", "inf", "-Infinity", "1,5", "1 2", "e5", "abc", "--1", "1e", "."]
+    rows = spark.createDataFrame([(t,) for t in [*good, *bad]] + [(None,)], "t string").select("t", whole_number(F.col("t")).alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows if r["x"] is not None} == good
