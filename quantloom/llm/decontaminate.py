@@ -7,26 +7,34 @@ occur nowhere in the benchmark cannot match and are left out of the array before
 The longest verbatim match of a document comes from a second suffix array, without a depth limit, over
 the hit words of the shard's documents and the found windows of the items.
 
-The benchmark is split into blocks of a bounded number of words, so what is broadcast never grows
-with the benchmark: with one block (the usual case) the result needs no shuffle at all; with more,
-each block is one pass and the hits are merged per document row.
+The benchmark is split into blocks of a bounded number of words. One block (the usual case) is broadcast, and
+the result needs no shuffle at all. More blocks never reach the driver: the documents are read once, past a
+sieve of bounded size that knows all windows of all blocks, and are left as the runs of words that may be hit.
+These runs meet every block, in tasks that hold one block each, and the hits are merged per document row.
 """
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.durable import small
 from quantloom.llm import text as tx
 
 #: Words of benchmark text that one pass broadcasts at most (8 bytes a word and 80 a window, so below 200 MB).
 BLOCK_WORDS = 1_000_000
 #: Words of one row of the block table; longer items are cut, with an overlap.
 PART_WORDS = 50_000
+#: The sieve has 16 bits for a benchmark word, 2**SIEVE_BITS of them at most (64 MB); beyond, more runs pass it in vain.
+SIEVE_BITS = 29
+SIEVE_PROBES = 4
+#: Words of runs that a task compares with a block, about, and at once.
+SHARE_WORDS = 20_000_000
+CHUNK_WORDS = 1 << 18
 _FILTER_BITS = 22
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_start long, items array<string>, spans array<struct<start: long, end: long>>"
 
@@ -189,7 +197,7 @@ def _result(ids, n_words, hit_spans, found, matches) -> pa.RecordBatch:
     return pa.record_batch(
         [
             ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([n > 0 for n in n_hit]),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()),
             pa.array([m[0] for m in matches], pa.int64()), pa.array([m[1] for m in matches], pa.int64()), pa.array(names, pa.list_(pa.string())),
             pa.array([[{"start": s, "end": e} for s, e in x] for x in hit_spans], kinds),
         ],
@@ -205,33 +213,132 @@ def _shards(batch: pa.RecordBatch):
         yield row, end, tx.span_hashes(buf, starts, ends), before
 
 
+def _runs(marked: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked words; none spans two documents."""
+    inner = marked[1:] & marked[:-1] & (doc[1:] == doc[:-1])
+    return np.flatnonzero(marked & ~np.concatenate([[False], inner])), np.flatnonzero(marked & ~np.concatenate([inner, [False]])) + 1
+
+
+def _evidence(hashes: np.ndarray, before: np.ndarray, owner: np.ndarray, first: np.ndarray, n: int, tests: _Tests):
+    """Hit spans, items and longest match of n documents, given as pieces of words: piece i is of document owner[i] and begins at its word first[i]."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    found: list[list[str]] = [[] for _ in range(n)]
+    matches: list[tuple[int, int | None]] = [(0, None)] * n
+    hit, pairs, met = _search(hashes, before, tests)
+    if hit.any():
+        piece = np.repeat(np.arange(len(owner)), np.diff(before))
+        shift = first - before[:-1]
+        s, e = _runs(hit, piece)
+        for d, x, y in zip(owner[piece[s]].tolist(), (s + shift[piece[s]]).tolist(), (e + shift[piece[s]]).tolist(), strict=True):
+            spans[d].append((x, y))
+        for i, item in pairs.tolist():
+            if item >= 0:
+                found[owner[i]].append(tests.items[item])
+        place, size = _longest(hashes, piece, hit, tests, met)
+        doc, place = owner[piece[place]], place + shift[piece[place]]
+        order = np.lexsort([place, -size, doc])  # by document the longest one first, then the earliest
+        for k in order[np.unique(doc[order], return_index=True)[1]].tolist():
+            matches[doc[k]] = (int(size[k]), int(place[k]))
+    return spans, found, matches
+
+
 def _scan(block):
     def run(batches):
         tests = block.value
         for batch in batches:
             for row, end, hashes, before in _shards(batch):
-                hit, pairs, met = _search(hashes, before, tests)
-                spans: list[list[tuple[int, int]]] = [[] for _ in range(end - row)]
-                found: list[list[str]] = [[] for _ in range(end - row)]
-                matches: list[tuple[int, int | None]] = [(0, None)] * (end - row)
-                if hit.any():
-                    doc = np.repeat(np.arange(end - row), np.diff(before))
-                    inner = hit[1:] & hit[:-1] & (doc[1:] == doc[:-1])
-                    s = np.flatnonzero(hit & ~np.concatenate([[False], inner]))
-                    e = np.flatnonzero(hit & ~np.concatenate([inner, [False]])) + 1
-                    for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                        d = int(doc[a])
-                        spans[d].append((a - int(before[d]), b - int(before[d])))
-                    for d, i in pairs.tolist():
-                        if i >= 0:
-                            found[d].append(tests.items[i])
-                    place, size = _longest(hashes, doc, hit, tests, met)
-                    order = np.lexsort([place, -size, doc[place]])  # by document the longest one first, then the earliest
-                    first = order[np.unique(doc[place][order], return_index=True)[1]]
-                    for k in first.tolist():
-                        d = int(doc[place[k]])
-                        matches[d] = (int(size[k]), int(place[k] - before[d]))
-                yield _result(batch.column(0).slice(row, end - row), np.diff(before), spans, found, matches)
+                n = end - row
+                yield _result(batch.column(0).slice(row, n), np.diff(before), *_evidence(hashes, before, np.arange(n), np.zeros(n, np.int64), n, tests))
+
+    return run
+
+
+def _probes(hashes: np.ndarray, width: int, bits: int) -> Iterator[np.ndarray]:
+    """The sieve's slots of all windows of a width."""
+    value = tx.mix(tx.windows_hash(hashes, width) + np.uint64(width))
+    step = tx.mix(value) | np.uint64(1)
+    for _ in range(SIEVE_PROBES):
+        yield (value >> np.uint64(64 - bits)).astype(np.int64)
+        value = value + step
+
+
+def _marks(window: int, bits: int):
+    """Parts (words) to the sieve's bits: 64 of them a row."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                own = np.frombuffer(data, dtype=np.uint64)
+                slots = np.unique(np.concatenate(list(_probes(own, min(window, len(own)), bits))))
+                at, first = np.unique(slots >> 6, return_index=True)
+                yield pa.record_batch([pa.array(at), tx.as_long(np.bitwise_or.reduceat(np.uint64(1) << (slots & 63).astype(np.uint64), first))], ["at", "mask"])
+
+    return run
+
+
+def _sift(sieve, bits: int, widths: list[int]):
+    """Document rows to (doc_id, n_words, firsts, sizes, words): the runs of words that windows may cover; null if there are none."""
+
+    def run(batches):
+        marks = sieve.value
+        for batch in batches:
+            for row, end, hashes, before in _shards(batch):
+                doc = np.repeat(np.arange(end - row), np.diff(before))
+                may = np.zeros(len(hashes), bool)
+                for width in widths:
+                    at = None
+                    for slots in _probes(hashes, width, bits):
+                        at = np.arange(len(slots)) if at is None else at
+                        own = slots[at]
+                        at = at[(marks[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                    at = at[at + width <= before[doc[at] + 1]]
+                    may |= _covered(len(hashes), at, width)
+                s, e = _runs(may, doc)
+                runs = np.searchsorted(doc[s], np.arange(end - row + 1))
+                kept = np.concatenate([[0], np.cumsum(may)])[before]
+                none = pa.array(np.diff(runs) == 0)
+                cells = [(s - before[doc[s]], runs), (e - s, runs), (hashes[may].view(np.int64), kept)]
+                columns = [pc.if_else(none, pa.scalar(None, pa.binary()), tx.binary_rows(x.astype(np.int64).tobytes(), to * 8)) for x, to in cells]
+                yield pa.record_batch([batch.column(0).slice(row, end - row), pa.array(np.diff(before), pa.int64()), *columns], ["doc_id", "n_words", "firsts", "sizes", "words"])
+
+    return run
+
+
+def _meet(window: int):
+    """Rows (block, share, row, n_words, item, firsts, sizes, words), sorted; of each share of a block, the block's parts (row is null)
+    come first and then runs of documents. Yields what _scan does, of documents with hits, by row."""
+
+    def hits(held, tests):
+        sizes = [np.frombuffer(r["sizes"], dtype=np.int64) for r in held]
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in sizes])
+        before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        hashes = np.frombuffer(b"".join(r["words"] for r in held), dtype=np.uint64)
+        first = np.frombuffer(b"".join(r["firsts"] for r in held), dtype=np.int64)
+        spans, found, matches = _evidence(hashes, before, owner, first, len(held), tests)
+        at = [i for i, x in enumerate(spans) if x]
+        of = lambda x: [x[i] for i in at]
+        return _result(pa.array([held[i]["row"] for i in at], pa.int64()), [held[i]["n_words"] for i in at], of(spans), of(found), of(matches))
+
+    def run(batches):
+        key, parts, tests, held, n = None, [], None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                if (r["block"], r["share"]) != key or n > CHUNK_WORDS:
+                    if held:
+                        yield hits(held, tests)
+                    held, n = [], 0
+                if (r["block"], r["share"]) != key:
+                    key, parts, tests = (r["block"], r["share"]), [], None
+                if r["row"] is None:
+                    parts.append((r["item"], r["words"]))
+                    continue
+                if tests is None:
+                    tests, parts = _Tests(parts, window), []
+                held.append(r)
+                n += len(r["words"]) // 8
+        if held:
+            yield hits(held, tests)
 
     return run
 
@@ -264,19 +371,45 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_result(table.column("doc_id").combine_chunks().slice(0, 1), [rows[0]["n_words"]], [spans], [[i for r in rows for i in r["items"]]], [match])])
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[_Tests]:
-    """The benchmark's windows in blocks of block_words words at most (an item's part is never cut further)."""
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """Parts (item, words, n, block) of the benchmark in blocks of block_words words at most (an item's part is never cut further), and how many blocks."""
     parts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_item_words(window), "item string, part int, words binary, n long")
     parts = parts.select("item", "words", "n").distinct()
     count = max(1, -(-(parts.agg(F.sum("n")).first()[0] or 0) // block_words))
+    if count > 1:
+        parts = tx.reliable(parts)
     while True:
         own = parts.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count)))
         most, large = own.groupBy("block").agg(F.sum("n").alias("n"), F.max("n").alias("m")).agg(F.max("n"), F.max("m")).first()
         if (most or 0) <= max(block_words, 2 * (large or 0)) or count == 1:
-            break
+            return own, count
         count *= 2
-    for k in range(count):
-        yield _Tests([(r[0], bytes(r[1])) for r in own.where(F.col("block") == k).select("item", "words").collect()], window)
+
+
+def _shared(parts: DataFrame, window: int):
+    """The only block, broadcast."""
+    return parts.sparkSession.sparkContext.broadcast(_Tests([(r[0], bytes(r[1])) for r in parts.select("item", "words").collect()], window))
+
+
+def _hits(docs: DataFrame, parts: DataFrame, count: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, text) and a benchmark of several blocks: a row (row, doc_id, n_words) for each document, and what _merged has of those with hits, by row."""
+    words, *widths = parts.agg(F.sum("n"), *(F.max(F.least("n", F.lit(window)) == w) for w in range(1, window + 1))).first()
+    bits = min(SIEVE_BITS, max(16, int(16 * words).bit_length()))
+    found = parts.select("words").mapInArrow(_marks(window, bits), "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**SIEVE_BITS bits at most
+    marks = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    marks[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    sieve = docs.sparkSession.sparkContext.broadcast(marks)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sifted = docs.mapInArrow(_sift(sieve, bits, [w for w, there in enumerate(widths, 1) if there]), f"doc_id {kind}, n_words long, firsts binary, sizes binary, words binary")
+    sifted = tx.reliable(sifted.withColumn("row", F.monotonically_increasing_id()))  # a key of each row's own, which outlives a retry
+    runs = sifted.where("words is not null")
+    shares = max(1, -(-(runs.agg(F.sum(F.length("words"))).first()[0] or 0) // (8 * SHARE_WORDS)))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tests = parts.select(F.col("block").cast("int").alias("block"), numbers(shares).alias("share"), none("row", "long"), none("n_words", "long"), "item", none("firsts", "binary"), none("sizes", "binary"), "words")
+    runs = runs.select(numbers(count).alias("block"), F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int").alias("share"), "row", "n_words", none("item", "string"), "firsts", "sizes", "words")
+    both = tests.unionByName(runs).repartition("block", "share").sortWithinPartitions("block", "share", F.col("row").asc_nulls_first())
+    return sifted.select("row", "doc_id", "n_words"), both.mapInArrow(_meet(window), RESULT).groupBy("doc_id").applyInArrow(_merged, RESULT).withColumnRenamed("doc_id", "row")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -292,21 +425,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     name to be listed or counted by. A repeated item counts once; repeated document rows (also of one doc_id, also
     a null one) each get their row. Empty benchmark: no hits.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    blocks = list(map(spark.sparkContext.broadcast, _blocks(benchmark, window, block_words)))
-    if len(blocks) == 1:
-        return docs.mapInArrow(_scan(blocks[0]), RESULT)
-    keyed = tx.reliable(docs.withColumn("row", F.monotonically_increasing_id()))  # a key of each row's own, which outlives a retry
-    hits = [keyed.select(F.col("row").alias("doc_id"), "text").mapInArrow(_scan(b), RESULT) for b in blocks]
-    out = reduce(DataFrame.unionByName, hits)
-    merged = out.groupBy("doc_id").applyInArrow(_merged, RESULT).withColumnRenamed("doc_id", "row")
-    return merged.join(keyed.select("row", "doc_id"), "row").select(out.columns)
+    parts, count = _blocks(benchmark, window, block_words)
+    if count == 1:
+        return docs.mapInArrow(_scan(_shared(parts, window)), RESULT)
+    rows, hits = _hits(docs.withColumn("doc_id", F.col("doc_id").cast("long")), parts, count, window)
+    missing = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256), "contaminated": F.lit(False), "longest_match": F.lit(0), "items": F.array(), "spans": F.array()}
+    both = rows.join(hits.drop("n_words"), "row", "left")
+    return both.select([(F.coalesce(c, missing[c].cast(hits.schema[c].dataType)) if c in missing else F.col(c)).alias(c) for c in ("doc_id", *hits.drop("row").columns)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without any hit, with all their columns. Each row is judged where it stands, by its text alone:
-    nothing is shuffled."""
-    for tests in _blocks(benchmark, window, block_words):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(tests))(docs["text"]))
-    return docs
+    """The documents without any hit, with all their columns. Each row is judged by its text alone. With a benchmark of
+    one block nothing is shuffled; with more, contaminated texts are known by their SHA-256."""
+    parts, count = _blocks(benchmark, window, block_words)
+    if count == 1:
+        return docs.where(_clean(_shared(parts, window))(docs["text"]))
+    rows, hits = _hits(docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("doc_id"), "text"), parts, count, window)
+    bad = tx.reliable(rows.join(hits.select("row"), "row").select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(small(bad), F.sha2(docs["text"].cast("binary"), 256) == bad["_hit"], "left_anti")

@@ -463,3 +463,27 @@ def test_decontaminate_blocks_keep_rows_apart(spark):
     bench = table(spark, [(1, item), (1, other), (1, item), (2, "no text has this")], "item_id long, text string")
     found = [sorted(map(str, decontaminate.find_contamination(table(spark, docs), bench, 5, block_words=n).collect())) for n in (1_000_000, 6)]
     assert found[0] == found[1] and len(found[0]) == len(docs)
+
+
+def test_decontaminate_reads_documents_once_whatever_the_benchmark(spark, tmp_path):
+    """Equal rows with 1, 3 and 30 blocks and more; a long item, a hot window, empty, null and repeated texts, clashing names."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.choice((2, 5, 12, 40)))) for i in range(60)] + [(60, prose(rng, 900)), (None, prose(rng, 12)), (61, ""), (62, None)]
+    texts = [prose(rng, 60) + " " + rng.choice(items[:60])[1].upper() + ", " + prose(rng, 30) for _ in range(60)]
+    texts += [prose(rng, 80) for _ in range(60)] + [items[60][1] + " and more", items[61][1], items[3][1], items[3][1], "", None, "!?"] + [prose(rng, 5) + " " + items[5][1]] * 40
+    docs = [(None if i % 50 == 7 else i // 2, t, i, "x") for i, t in enumerate(texts)]
+    table(spark, docs, "doc_id long, text string, row long, block string").write.parquet(str(tmp_path / "docs"))
+    docs, bench = spark.read.parquet(str(tmp_path / "docs")), table(spark, items, "item_id long, text string")
+    total = sum(len((t or "").split()) for _, t in items)
+    found, clean = [], []
+    for blocks in (1, 3, 30, 200):
+        hits = decontaminate.find_contamination(docs, bench, 10, -(-total // blocks))
+        found.append(sorted(map(str, hits.collect())))
+        kept = decontaminate.decontaminate(docs, bench, 10, -(-total // blocks))
+        clean.append(sorted(map(str, kept.collect())))
+        assert kept.columns == docs.columns and hits.columns[0] == "doc_id"
+        assert ("parquet" in hits._jdf.queryExecution().executedPlan().toString()) == (blocks == 1)  # more blocks: the documents have been read by then, once
+    assert all(x == found[0] for x in found) and all(x == clean[0] for x in clean)
+    assert 60 <= len(clean[0]) < len(texts) == len(found[0])
+    none = docs.where("false")
+    assert decontaminate.find_contamination(none, bench, 10, 50).count() == 0 and decontaminate.decontaminate(none, bench, 10, 50).count() == 0
