@@ -5,8 +5,10 @@
    most of their neighbours have, as long as no partition outgrows its share.
 3. A small classifier (one hidden layer) learns the partition of a vector, with its neighbours' partitions
    as soft labels. It routes every vector of the table to its most probable partition.
-4. A query goes to its most probable partitions; how many, the sample tells: as many as hold TARGET of its true
-   neighbours. There it is compared with all vectors, in blocks, in double precision, and the best are merged.
+4. A partition of more than LEAF vectors is divided again in the same way, by a task that fits a classifier on a sample
+   of its vectors; so partitions grow in number with the table, and not only in size.
+5. A query goes to its most probable partitions and their most probable parts; how many, the samples tell: as many as
+   hold TARGET of true neighbours. There it is compared with all vectors, in blocks, in double precision, and the best are merged.
 
 Equal vectors are one vector with the smallest ids it needs, so a vector that a third of all rows hold is
 compared once. Partitions are cut into blocks of bounded size; a block of vectors meets a block of queries
@@ -15,6 +17,7 @@ in one group, and nothing is emitted but each query's nearest.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +31,10 @@ from quantloom.llm import text as tx
 #: Vectors that the index is fitted on, at most (4 MB of 64 floats each way).
 SAMPLE = 12_288
 PARTITIONS = 32
+#: A partition of more vectors is divided again, into parts of PART vectors or so, MOST_PARTS of them at most (which a sample can tell apart).
+LEAF = 8192
+PART = 1024
+MOST_PARTS = SAMPLE // 32
 HIDDEN = 96
 NEIGHBOURS = 10
 #: Of a sample vector's true neighbours, so many lie in the partitions that a query visits.
@@ -80,19 +87,22 @@ def _distances(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def _neighbours(data: np.ndarray, rows: np.ndarray):
+    """Neighbours (row numbers) of the rows, 512 of them at a time: (rows, neighbours)."""
+    k = min(NEIGHBOURS, len(data) - 1)
+    for at in range(0, len(rows), 512):
+        own = rows[at : at + 512]
+        d = _squared(data[own], data)
+        d[np.arange(len(own)), own] = np.inf
+        yield own, np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(own), 0), int)
+
+
 def _graph(sample):
     """Neighbours (row numbers in the sample) of the sample rows numbered in the batches."""
 
     def run(batches):
-        data = sample.value
-        k = min(NEIGHBOURS, len(data) - 1)
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for at in range(0, len(rows), 512):
-                own = rows[at : at + 512]
-                d = _squared(data[own], data)
-                d[np.arange(len(own)), own] = np.inf
-                near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(own), 0), int)
+            for own, near in _neighbours(sample.value, batch.column(0).to_numpy()):
                 yield pa.record_batch([pa.array(own), pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "near"])
 
     return run
@@ -203,25 +213,76 @@ def learn_partitions(vectors: DataFrame, sample: int = SAMPLE, parts: int = PART
     return fit_router(data, near, parts)
 
 
-def _route(router, visits: int | None, counts: np.ndarray | None = None, need: int = 0):
-    """Rows get their most probable partition (visits None), or one row for each of the first `visits`, and for as
-    many more as it takes to meet `need` vectors; counts: vectors of each partition."""
+@dataclass(frozen=True)
+class Tree:
+    """Routers of two levels: of all vectors, and of each partition that is divided again. A leaf is numbered partition * MOST_PARTS + part."""
+
+    top: Router
+    below: dict[int, Router]
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The most probable leaf of each vector."""
+        part = self.top.logits(x).argmax(1)
+        leaf = part * MOST_PARTS
+        for p in self.below.keys() & set(part.tolist()):
+            own = np.flatnonzero(part == p)
+            leaf[own] += self.below[p].logits(x[own]).argmax(1)
+        return leaf
+
+    def visit(self, x: np.ndarray, visits: int, counts: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the leaves that they visit: parts of the first `visits` partitions, and as many more as it takes to
+        meet `need` vectors; counts: vectors of each leaf."""
+        order = np.argsort(-self.top.logits(x), axis=1, kind="stable")
+        least = np.maximum(visits, (counts.reshape(-1, MOST_PARTS).sum(1)[order].cumsum(1) < need).sum(1) + 1)
+        goes = np.zeros(order.shape, bool)
+        np.put_along_axis(goes, order, np.arange(order.shape[1])[None] < least[:, None], axis=1)
+        chosen = [(rows := np.flatnonzero(goes[:, p]), np.full(len(rows), p * MOST_PARTS)) for p in range(goes.shape[1]) if p not in self.below]
+        rest = []
+        for p, router in self.below.items():
+            rows = np.flatnonzero(goes[:, p])
+            if len(rows):
+                rank = np.argsort(np.argsort(-router.logits(x[rows]), axis=1, kind="stable"), axis=1)
+                for out, (i, part) in ((chosen, np.nonzero(rank < router.visits)), (rest, np.nonzero(rank >= router.visits))):
+                    out.append((rows[i], p * MOST_PARTS + part))
+        row, leaf = (np.concatenate([c[k] for c in chosen]) for k in (0, 1))
+        short = np.bincount(row, counts[leaf], minlength=len(x)) < need
+        more = [(r[short[r]], to[short[r]]) for r, to in rest]
+        return np.concatenate([row, *(r for r, _ in more)]), np.concatenate([leaf, *(to for _, to in more)])
+
+
+def _route(tree, visits: int | None = None, counts: np.ndarray | None = None, need: int = 0):
+    """Rows (id, vector, ...) get their leaf as part (visits None), or come once for each leaf that they visit."""
 
     def run(batches):
-        r = router.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            logits = r.logits(_matrix(batch.column(1)))
-            part = np.argsort(-logits, axis=1, kind="stable")
-            least = 1 if visits is None else np.maximum(visits, (counts[part].cumsum(1) < need).sum(1) + 1)[:, None]
-            row, k = np.nonzero(np.arange(part.shape[1])[None] < np.broadcast_to(least, (len(part), 1)))
-            at = pa.array(row)
-            yield pa.record_batch([*(batch.column(c).take(at) for c in range(batch.num_columns)), pa.array(part[row, k].astype(np.int32))], [*batch.schema.names, "part"])
+            for at in range(0, batch.num_rows, 1024):
+                own = pa.record_batch(batch.columns, batch.schema.names).slice(at, 1024)
+                x = _matrix(own.column(1))
+                row, leaf = (np.arange(len(x)), tree.value.place(x)) if visits is None else tree.value.visit(x, visits, counts, need)
+                yield pa.record_batch([*(c.take(pa.array(row)) for c in own.columns), pa.array(leaf.astype(np.int32))], [*own.schema.names, "part"])
 
     return run
 
 
+def _divide(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The router of one partition from a sample of its vectors (leaf, parts, vector)."""
+    data = _matrix(table.column("vector")).astype(np.float64)
+    near = np.concatenate([n for _, n in _neighbours(_centred(data)[0], np.arange(len(data)))])
+    router = fit_router(data, near, int(table.column("parts")[0].as_py()))
+    return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary())})
+
+
+def _divided(placed: DataFrame, top: Router, sample: int, leaf: int) -> Tree:
+    """The tree over the partitions of placed (key, vector, part): those of more than leaf vectors are divided, each by a
+    task that sees a sample of them. The driver gets a router of some 40,000 weights for each partition."""
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
+    per = max(1, leaf * PART // LEAF)
+    counts = counts.select(F.col("part").alias("leaf"), F.least(F.ceil(F.col("n") / per), F.lit(MOST_PARTS)).alias("parts"), F.least(F.lit(1.0), F.lit(sample) / F.col("n")).alias("share"))
+    picked = placed.join(F.broadcast(counts), placed["part"] == counts["leaf"]).where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    found = picked.select("leaf", "parts", "vector").groupBy("leaf").applyInArrow(_divide, "leaf int, router binary")
+    return Tree(top, {r["leaf"] // MOST_PARTS: pickle.loads(r["router"]) for r in found.collect()})
+
+
 def _compare(k: int):
     """A block of queries against a block of vectors: each query's k nearest there, ties to smaller ids."""
     names = ["query_id", "vec_id", "score"]
@@ -250,13 +311,15 @@ def _compare(k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, parts: int = PARTITIONS, visits: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, parts: int = PARTITIONS, visits: int | None = None, leaf: int = LEAF) -> DataFrame:
     """The k nearest rows found of every query: query_id, rank (from 1), vec_id, score (Euclidean distance).
 
     rows and queries have vec_id and embedding; a query's own id is never its neighbour. Vectors that are
     null, empty, zero, or hold a null or non-finite component, and rows of a null id, take no part. A query's
     candidates are the vectors of its own length (each length is searched by itself). Ties go to the smaller vec_id. A repeated id counts once for each distinct vector.
-    visits: partitions of a query; by default as many as the sample asks for. No rows: no result.
+    A query id that comes with several vectors gets one list, the nearest of all of them.
+    visits: partitions of a query; by default as many as the sample asks for. leaf: vectors of a partition beyond
+    which it is divided again. No rows: no result.
     """
     spark = rows.sparkSession
     vectors = tx.reliable(distinct_vectors(rows, k))
@@ -264,17 +327,22 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMP
     lengths = [n for (n,) in vectors.select(F.size("vector")).distinct().collect()]  # a row for each length
     if len(lengths) > 1:
         own = lambda df, n: df.where(F.size("embedding") == n)
-        return reduce(DataFrame.unionByName, [nearest(own(rows, n), own(queries, n), k, sample, parts, visits) for n in lengths])
+        return reduce(DataFrame.unionByName, [nearest(own(rows, n), own(queries, n), k, sample, parts, visits, leaf) for n in lengths])
     asked = asked.where(F.size("vector").isin(lengths))
     router = learn_partitions(vectors, sample, parts)
     if router is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(router)
-    placed = tx.reliable(vectors.select("key", "vector", "ids").mapInArrow(_route(shared, None), "key long, vector array<double>, ids array<long>, part int"))
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each partition
+    schema = "key long, vector array<double>, ids array<long>, part int"
+    tree = Tree(router, {})
+    placed = tx.reliable(vectors.select("key", "vector", "ids").mapInArrow(_route(spark.sparkContext.broadcast(tree)), schema))
+    tree = _divided(placed, router, sample, leaf)
+    shared = spark.sparkContext.broadcast(tree)
+    if tree.below:
+        placed = tx.reliable(placed.drop("part").mapInArrow(_route(shared), schema))
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each leaf
     placed = placed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int"))
-    counts = np.zeros(len(router.b2), dtype=np.int64)
-    for p, n in placed.groupBy("part").count().collect():  # a row for each partition
+    counts = np.zeros(len(router.b2) * MOST_PARTS, dtype=np.int64)
+    for p, n in placed.groupBy("part").count().collect():  # a row for each leaf
         counts[p] = n
     routed = asked.mapInArrow(_route(shared, visits or router.visits, counts, k + 1), "query_id long, vector array<double>, part int")
     count = routed.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))

@@ -374,6 +374,42 @@ def test_nearest_of_shifted_huge_and_unequal_vectors(spark):
         assert [(r["vec_id"], r["score"]) for r in found if r["query_id"] == 900] == [(901, 1.0)]
 
 
+def test_nearest_divides_large_partitions(spark):
+    """Two levels: clustered vectors meet few others and are found; unstructured ones are found as well; scores are exact, no query falls short."""
+    rng = np.random.default_rng(6)
+    for data, most in ((rng.normal(0, 1, (300, 16))[rng.integers(0, 300, 6000)] + rng.normal(0, 0.2, (6000, 16)), 0.5), (rng.normal(0, 1, (6000, 8)), 0.95)):
+        data = data.astype(np.float32)
+        rows = vectors(spark, data)
+        vec = ann_search.distinct_vectors(rows, 10)
+        router = ann_search.learn_partitions(vec, 2048, 8)
+        placed = vec.select("key", "vector", "ids").mapInArrow(ann_search._route(spark.sparkContext.broadcast(ann_search.Tree(router, {}))), "key long, vector array<double>, ids array<long>, part int")
+        tree = ann_search._divided(placed, router, 2048, 256)
+        assert tree.below and len(tree.below) <= len(router.b2)
+        leaf = tree.place(data.astype(float))
+        counts = np.bincount(leaf, minlength=len(router.b2) * ann_search.MOST_PARTS)
+        row, to = tree.visit(data.astype(float)[:500], router.visits, counts, 11)
+        assert len(set(zip(row.tolist(), to.tolist(), strict=True))) == len(row) and (np.bincount(row, counts[to], minlength=500) >= 11).all()
+        assert np.bincount(row, counts[to]).mean() <= most * 6000  # the vectors that a query meets
+        all_row, all_to = tree.visit(data.astype(float)[:20], 1, counts, 6000)  # a need that only the whole table meets
+        assert (np.bincount(all_row, counts[all_to], minlength=20) == 6000).all()
+        found = ann_search.nearest(rows, rows.where("vec_id % 100 = 0"), sample=2048, parts=8, leaf=256).toPandas()
+        hit = 0
+        for q, own in found.groupby("query_id"):
+            own = own.sort_values("rank")
+            assert own["rank"].tolist() == list(range(1, 11)) and own["score"].is_monotonic_increasing and q not in set(own["vec_id"])
+            hit += len(set(own["vec_id"]) & {x for _, x in nearest_brute(data, range(6000), q)})
+            for r in own.itertuples():
+                assert r.score == pytest.approx(float(np.sqrt(((data[r.vec_id].astype(float) - data[q].astype(float)) ** 2).sum())), abs=1e-12)
+        assert found["query_id"].nunique() == 60 and hit >= 0.9 * 600, hit
+
+
+def test_nearest_of_one_query_id_with_two_vectors(spark):
+    rows = vectors(spark, [[1, 0], [1.5, 0], [0, 1], [0, 1.25]])
+    asked = table(spark, [(9, [1.0, 0.0], 1), (9, [0.0, 1.0], 2), (9, [0.0, 1.0], 2)], "vec_id long, embedding array<float>, rank int")
+    found = ann_search.nearest(rows, asked, k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [(9, 1, 0, 0.0), (9, 2, 2, 0.0), (9, 3, 3, 0.25)]
+
+
 def test_balanced_partition():
     rng = np.random.default_rng(1)
     data = np.concatenate([rng.normal(c, 0.1, (n, 4)) for c, n in ((0, 700), (5, 200), (9, 100))])
