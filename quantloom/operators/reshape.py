@@ -68,13 +68,13 @@ def to_long(df: DataFrame, roles: Roles, mode: str = "frame") -> DataFrame:
 
 
 def dictionary(df: DataFrame, key: str, order: Column | str, extra: Iterable[str] = ()) -> DataFrame:
-    """1-based index of each distinct key by first appearance in `order`, with the extra columns of that first row.
+    """1-based index of each distinct key by first appearance in `order` (equal places: by key), with the extra columns of that first row.
 
     The index comes from a range sort and the sizes of its partitions, not from one task.
     """
     order = F.col(order) if isinstance(order, str) else order
     first = df.select(col(key).alias("_key"), order.alias("_order"), *[col(e) for e in extra]).groupBy("_key").agg(F.min(F.struct("_order", *[col(e) for e in extra])).alias("x"))
-    ranked = first.select(F.col("_key").alias(key), F.col("x._order").alias("_order"), *[F.col("x").getField(e).alias(e) for e in extra])
+    ranked = first.select(F.col("_key").alias(key), F.struct("x._order", "_key").alias("_order"), *[F.col("x").getField(e).alias(e) for e in extra])
     return row_index(ranked, "_order", "index").drop("_order")
 
 

@@ -6,10 +6,12 @@ import os
 
 import pytest
 
+from quantloom import queries
 from quantloom.errors import QuantError
 from quantloom.plans import pipelines
 from quantloom.sources import store
 from quantloom.streaming import ingest
+from tests.oracle import connect, same
 
 QUADS = "entity string, sample string, ion string, quant double, row_no int"
 
@@ -141,3 +143,8 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="exists already"):
         lines.write.format("iondir").mode("append").save(folder)
     assert os.listdir(folder) == ["1.tsv"] and os.listdir(tmp_path) == ["dir"]
+
+
+def test_range_of_the_query_ends_inside_a_tie(spark):
+    """Suppliers 28 and 30 share places 9 and 10 of sf0.01."""
+    same(connect("/root/testdata/sf0.01"), queries.queries()["store_range"](spark, "/root/testdata/sf0.01"), queries.oracle_sql()["store_range"])
