@@ -12,6 +12,7 @@ import re
 import unicodedata
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,10 +33,23 @@ def _class(first: str) -> str:
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in the tokenizer's vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+#: Words that go through the model at once.
+MODEL_WORDS = 2048
+
+
 class WordTokenizer:
     """Token ids as little-endian unsigned 32-bit bytes, equal to those of the tokenizer file.
 
-    The file's tokenizer treats every pre-token on its own, so ids are remembered by pre-token.
+    The file's tokenizer treats every pre-token on its own, so ids are remembered by pre-token. A new pre-token of a plain text is
+    normalised and split already, so it only goes through the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -44,11 +58,31 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.model = Tokenizer(self.whole.model)
+        vocabulary = self.whole.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.whole.encode_batch(texts, add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: a run of them goes through the model, and each ends with the id that closes a word."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), MODEL_WORDS):
+            run = pieces[at : at + MODEL_WORDS]
+            letters = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in run]
+            ids = np.array(self.model.encode_batch_fast([letters], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(run):  # a model without closing ids
+                out += self._encode(run)
+                continue
+            data, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
@@ -57,7 +91,7 @@ class WordTokenizer:
             self.known = {}
         known = self.known
         new = list(set().union(*pieces).difference(known))
-        known.update(zip(new, self._encode(new), strict=True))
+        known.update(zip(new, self._encode_pieces(new), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, w)) if p else self._encode([t])[0] for t, w, p in zip(texts, pieces, plain, strict=True)]
 
