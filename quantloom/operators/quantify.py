@@ -5,10 +5,12 @@ Input cells: entity, ion, sample, quant (log2), a row per cell. Results: entity,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.durable import durable, small
+from quantloom.durable import durable, released, small
 from quantloom.errors import UnknownName
 from quantloom.functions.kernels import MAD_FACTOR, TINY
 from quantloom.operators.grouped import Kernel, quantify_grouped
@@ -298,10 +300,10 @@ def mad(df: DataFrame, keys: list[str], value: str = "quant", name: str = "mad",
     return median_by_key(off, keys, "_d", "_d", large).select(*keys, (F.lit(MAD_FACTOR) * F.col("_d")).alias(name))
 
 
-def components(cells: DataFrame, samples: list | None = None, large: int = LARGE) -> DataFrame:
+def components(cells: DataFrame, samples: list | None = None, large: int | None = LARGE) -> DataFrame:
     """entity, sample and component (from 0, by first sample) for every sample of the axis: samples that share an ion are linked.
 
-    Entities of fewer than `large` cells are matrices inside tasks. Of larger ones only the distinct sets of samples that ions have are looked at. Every task joins the sets it holds of an entity, and passes on a
+    Entities of fewer than `large` cells (None: it is known that all are) are matrices inside tasks. Of larger ones only the distinct sets of samples that ions have are looked at. Every task joins the sets it holds of an entity, and passes on a
     forest, with fewer links than there are samples; these are joined again in a few parts, and at last in one, as they stream by.
     """
     from quantloom.operators.forest import forest, labels
@@ -309,6 +311,8 @@ def components(cells: DataFrame, samples: list | None = None, large: int = LARGE
 
     axis = sample_axis(cells) if samples is None else samples
     whole = lambda c: quantify_grouped(c, "components", axis).select("entity", "sample", F.col("estimate").cast("int").alias("component"))
+    if large is None:
+        return whole(cells)
     big = cells.groupBy("entity").count().where(F.col("count") >= large).select("entity")
     if big.isEmpty():
         return whole(cells)
@@ -335,28 +339,60 @@ def ion_weights(cells: DataFrame, fit: DataFrame, n_samples: int, k: float = 1.3
     return distance.join(small(scale), "entity").select("entity", "ion", F.when(plain, 1.0).otherwise(F.lit(k) * F.col("s") / F.col("d")).alias("weight"))
 
 
-def rescale(estimates: DataFrame, cells: DataFrame, labels: DataFrame, method: str) -> DataFrame:
-    """Shifts each component's estimates to the level of its data, as kernels.rescale does; labels: see components."""
+def by_size(rows: DataFrame, make: Callable[[DataFrame, int | None], DataFrame], large: int = LARGE) -> DataFrame:
+    """make(rows, None) of the entities of fewer than `large` rows, and make(rows, large) of the others, if there are any.
+
+    The former are hash-partitioned by entity, so that all steps of make can share this one shuffle. Rows without entity go.
+    """
+    rows = rows.where("entity is not null")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as in quantify_grouped, which then shuffles nothing
+    together = lambda r: make(r.repartition(tasks, "entity"), None)
+    big = released(rows.groupBy("entity").count().where(F.col("count") >= large).select("entity"))
+    if big.isEmpty():
+        return together(rows)
+    big = small(big)
+    return together(rows.join(big, "entity", "left_anti")).unionByName(make(rows.join(big, "entity", "left_semi"), large))
+
+
+def rescale(estimates: DataFrame, cells: DataFrame, labels: DataFrame, method: str, large: int | None = LARGE) -> DataFrame:
+    """Shifts each component's estimates to the level of its data, as kernels.rescale does; labels: see components.
+
+    large=None: it is known that no entity has so many cells. Then an entity's labels travel as one map, and cells and estimates
+    that are hash-partitioned by entity already (see by_size) are not shuffled again.
+    """
     keys = ["entity", "component"]
     mean, total = F.avg("quant"), F.sum("quant")
     level = {"median-mean": (None, None), "median-median": (None, None), "mean-mean": (mean, mean), "sum": (total, total), "sum_exact": (total, total)}  # medians: below
     if method not in level:
         raise UnknownName(f"no rescaling method '{method}'")
     single, whole = level[method]
-    placed = cells.join(labels, ["entity", "sample"])
-    known = estimates.join(labels, ["entity", "sample"])
-    if method.startswith("median"):
-        placed = durable(placed)
-        data = median_by_key(placed, keys, "quant", "single").join(placed.groupBy(*keys).agg(F.avg("quant").alias("mean")), keys)
-        data = data.select(*keys, "single", F.col("single" if method == "median-median" else "mean").alias("whole"))
-    else:
-        data = placed.groupBy(*keys).agg(single.alias("single"), whole.alias("whole"))
-    size = labels.groupBy(*keys).agg(F.count("*").alias("size"))
     own = F.sum("estimate") if method == "sum_exact" else F.avg("estimate")
-    now = known.groupBy(*keys).agg(own.alias("own"), F.count("estimate").alias("n"))
-    if method == "median-median":
-        now = now.drop("own").join(median_by_key(known, keys, "estimate", "own"), keys, "left")
+    if large is None:
+        by = Window.partitionBy(*keys)
+        middle = lambda c: F.median(F.when(~F.isnan(c), F.col(c)))
+        if method.startswith("median"):
+            single, whole = middle("quant"), middle("quant") if method == "median-median" else mean
+        own = middle("estimate") if method == "median-median" else own
+        packed = lambda df, key, value: df.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(f"_by_{key}"))  # noqa: E731  a row per entity
+        maps = packed(labels.where("sample is not null"), "sample", "component")
+        place = lambda df: df.join(maps, "entity").withColumn("component", F.try_element_at("_by_sample", "sample")).where("component is not null")
+        data = packed(place(cells).groupBy(*keys).agg(F.struct(single.alias("single"), whole.alias("whole")).alias("level")), "component", "level")
+        known = place(estimates).withColumns({"size": F.size(F.filter(F.map_values("_by_sample"), lambda x: x == F.col("component"))), "own": own.over(by), "n": F.count("estimate").over(by)})
+        out = known.join(data, "entity").withColumn("level", F.try_element_at("_by_component", "component")).where("level is not null").select("*", "level.*")
+    else:
+        labels = released(labels)
+        placed = cells.join(labels, ["entity", "sample"])
+        known = estimates.join(labels, ["entity", "sample"])
+        if method.startswith("median"):
+            placed = released(placed)
+            data = median_by_key(placed, keys, "quant", "single").join(placed.groupBy(*keys).agg(F.avg("quant").alias("mean")), keys)
+            data = data.select(*keys, "single", F.col("single" if method == "median-median" else "mean").alias("whole"))
+        else:
+            data = placed.groupBy(*keys).agg(single.alias("single"), whole.alias("whole"))
+        now = known.groupBy(*keys).agg(own.alias("own"), F.count("estimate").alias("n"))
+        if method == "median-median":
+            now = now.drop("own").join(median_by_key(known, keys, "estimate", "own"), keys, "left")
+        out = known.join(data, keys).join(labels.groupBy(*keys).agg(F.count("*").alias("size")), keys).join(now, keys)
     gap = (F.col("whole") - F.col("own")) / (F.col("n") if method.startswith("sum") else F.lit(1))
-    out = known.join(data, keys).join(size, keys).join(now, keys)
     value = F.when(F.col("n") == 0, F.col("estimate")).when(F.col("size") == 1, F.col("single")).otherwise(F.col("estimate") + gap)
     return out.select("entity", "sample", value.alias("estimate"))

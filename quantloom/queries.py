@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom import oracles as O
 from quantloom import sql as sql_surface
+from quantloom.durable import released
 from quantloom.operators import annotate, normalize, qc, quantify, reshape
 from quantloom.operators import predicates as P
 from quantloom.operators.grouped import quantify_grouped, sample_axis
@@ -381,14 +382,31 @@ _matrix("quant_weighted_maxlfq_spread", "F", "weighted_maxlfq", "leveled", *_WEI
 _matrix("quant_maxlfq_bit_spread", "E", "maxlfq_bit", "lfq", *_closed(), large=1)
 
 _LEVELS = {"median-mean": ("median(quant)", "avg(quant)", "avg(estimate)"), "median-median": ("median(quant)", "median(quant)", "median(estimate)"), "mean-mean": ("avg(quant)", "avg(quant)", "avg(estimate)"), "sum": ("sum(quant)", "sum(quant)", "avg(estimate)")}
+
+
+def _rescaled(method: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = _long(spark, sf, "C").where("sample is not null")
+        axis = sample_axis(rows)
+
+        def make(some: DataFrame, large: int | None) -> DataFrame:
+            c = reshape.log_cells(reshape.cells(some, "sum"))
+            c = c if large is None else released(c)
+            return quantify.rescale(quantify.mean_intensity(c), c, quantify.components(c, axis, large), method, large)
+
+        return quantify.by_size(rows, make).select("entity", "sample", _r("estimate", "estimate"))
+
+    run.__name__ = f"rescale_{method.replace('-', '_')}"
+    return run
+
+
 for _method, (_single, _whole, _own) in _LEVELS.items():
-    _estimates(
-        f"rescale_{_method.replace('-', '_')}", "C",
-        lambda c, m=_method: quantify.rescale(quantify.mean_intensity(c), c, quantify.components(c), m),
+    _sql = (
         f"select entity, sample, case when size = 1 then single else estimate + (whole - own) / {'n' if _method == 'sum' else '1'} end as estimate from est join lab using (entity, sample) join dat using (entity, component) join now using (entity, component) join sz using (entity, component)",
         *_COMPONENTS, "est as (select entity, sample, avg(quant) as estimate from c group by all)", f"dat as (select entity, component, {_single} as single, {_whole} as whole from c join lab using (entity, sample) group by all)",
         f"now as (select entity, component, {_own} as own, count(*) as n from est join lab using (entity, sample) group by all)", "sz as (select entity, component, count(*) as size from lab group by all)",
     )
+    _query(_cte("C", *_sql[1:]) + f"select entity, sample, round(estimate, 6) as estimate from ({_sql[0]})")(_rescaled(_method))
 
 # Annotation, statistics, quality ----------------------------------------------------------------------------------------
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom import queries
 from quantloom.functions import kernels
 from quantloom.operators import large, normalize, quantify
 from quantloom.plans import pipelines
+from tests.conftest import SF
 
 SCHEMA = "entity string, ion long, sample string, quant double"
 
@@ -149,3 +153,26 @@ def test_median_by_key_of_any_size(spark):
         got = {r["k"]: r["mad"] for r in quantify.mad(table, ["k"], large=size).collect()}
         assert all(abs(got[k] - v) < 1e-12 for k, v in off.items())
     assert quantify.mad(table.where(F.lit(False)), ["k"]).count() == 0
+
+
+def test_rescaling_of_any_size(spark):
+    """Entities that come together, those that are spread, and both at once: as their matrices are rescaled."""
+    xs = {k: v for k, v in matrices(10).items() if k in ("holes", "two parts", "few", "one ion")}
+    xs["apart"] = np.array([[1.0, np.nan, np.nan], [2.0, np.nan, np.nan], [6.0, np.nan, np.nan], [np.nan, 3.0, 5.0]])
+    xs = {e: np.pad(x, ((0, 0), (0, 6 - x.shape[1])), constant_values=np.nan) for e, x in xs.items()}
+    axis = [f"s{j:04}" for j in range(6)]
+    table = cells(spark, xs).unionByName(spark.createDataFrame([(None, 1, axis[0], 9.0)], SCHEMA))
+    for method in ("median-median", "median-mean", "mean-mean", "sum", "sum_exact"):
+        make = lambda c, size, m=method: quantify.rescale(quantify.mean_intensity(c), c, quantify.components(c, axis, size), m, size)
+        for size in (10, 1000) if method == "median-median" else (1000,):
+            compare(quantify.by_size(table, make, size), xs, lambda x, m=method: kernels.rescale(np.array([np.nan if np.isnan(c).all() else np.nanmean(c) for c in x.T]), x, m))
+    assert quantify.by_size(table.where("ion < 0"), make).count() == 0
+
+
+def test_rescaling_brings_cells_together_once(spark):
+    """The rows are shuffled by entity, and neither they nor their cells by anything else; they are not written a second time."""
+    plan = queries.queries()["rescale_median_median"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
+    assert dealt and all(re.fullmatch(r"entity#\d+L?", keys) for keys in dealt), dealt
+    scans = re.findall(r"Scan ExistingRDD\[(.*?)\]", plan)
+    assert all("quant" not in columns for columns in scans), scans
